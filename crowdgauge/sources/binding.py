@@ -32,6 +32,16 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
+def _five_levels(d: Column) -> Column:
+    return (
+        F.when(d >= 20, "a_strong")
+        .when(d >= 5, "a_slight")
+        .when(d > -5, "even")
+        .when(d > -20, "b_slight")
+        .otherwise("b_strong")
+    )
+
+
 class Binding:
     def __init__(self, spark: SparkSession, directory: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -168,7 +178,7 @@ class Binding:
     @cached_property
     def ranked_orders(self) -> DataFrame:
         """One row per submission with its items in id order: at most one entry per catalog item."""
-        entry = F.struct("item_id", "price", "qty")
+        entry = F.struct("item_id", "price", "qty", "traits")
         return (
             self.order_items.groupBy("order_id")
             .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
@@ -231,12 +241,7 @@ class Binding:
             "item_a",
             "item_b",
             C.lookup("status", {"F": "top", "O": "mid", "P": "adc"}).alias("role"),
-            F.when(d >= 20, "a_strong")
-            .when(d >= 5, "a_slight")
-            .when(d > -5, "even")
-            .when(d > -20, "b_slight")
-            .otherwise("b_strong")
-            .alias("choice"),
+            _five_levels(d).alias("choice"),
             F.lit(False).alias("is_gold"),
             "is_retest_of",
         )
@@ -257,70 +262,68 @@ class Binding:
         )
 
     @cached_property
-    def duos(self) -> DataFrame:
-        """Two against two: the first two carries and the first two partners of a submission."""
+    def _with_duo(self) -> DataFrame:
+        """Submissions with their two-against-two answer, null where four items are missing."""
         e = F.col("entries")
-        carry = F.filter(e, lambda x: x["item_id"] % 3 != 1)
-        partner = F.filter(e, lambda x: x["item_id"] % 3 == 1)
-        role = {
-            "F": ("adc", "support", "bot"),
-            "O": ("top", "jungle", "top_jungle"),
-            "P": ("mid", "jungle", "mid_jungle"),
-        }
-        first = C.lookup("status", {k: v[0] for k, v in role.items()})
-        second = C.lookup("status", {k: v[1] for k, v in role.items()})
-        both = self.ranked_orders.withColumn("c", carry).withColumn("p", partner)
-        both = both.filter((F.size("c") >= 2) & (F.size("p") >= 2))
+        first = C.lookup("status", {"F": "adc", "O": "top", "P": "mid"})
+        second = C.lookup("status", {"F": "support", "O": "jungle", "P": "jungle"})
 
         def duo(k: int) -> Column:
-            return C.duo_struct(F.col("c")[k]["item_id"], first, F.col("p")[k]["item_id"], second)
+            x, y = F.get("c", F.lit(k))["item_id"], F.get("p", F.lit(k))["item_id"]
+            return C.duo_struct(x, F.col("r1"), y, F.col("r2"))
 
         def qty(k: int) -> Column:
-            return F.col("c")[k]["qty"] + F.col("p")[k]["qty"]
+            return F.get("c", F.lit(k))["qty"] + F.get("p", F.lit(k))["qty"]
+
+        d = F.col("d")
+        steps = {
+            "c": F.filter(e, lambda x: x["item_id"] % 3 != 1),
+            "p": F.filter(e, lambda x: x["item_id"] % 3 == 1),
+            "r1": first,
+            "r2": second,
+            "one": duo(0),
+            "two": duo(1),
+            "d": qty(0) - qty(1),
+            "swap": F.col("two.m1.item") < F.col("one.m1.item"),
+            "said": F.when(d > 10, "pair_1").when(d < -10, "pair_2").otherwise("similar"),
+            "lane_said": _five_levels(d),
+            "top": F.when(F.col("swap"), F.col("two")).otherwise(F.col("one")),
+            "bottom": F.when(F.col("swap"), F.col("one")).otherwise(F.col("two")),
+            "duo": F.when(
+                (F.size("c") >= 2) & (F.size("p") >= 2),
+                F.struct(
+                    F.col("top.m1.item").alias("item_a"),
+                    F.col("top.m2.item").alias("item_b"),
+                    F.col("bottom.m1.item").alias("item_c"),
+                    F.col("bottom.m2.item").alias("item_d"),
+                    F.col("top.m1.role").alias("role_a"),
+                    F.col("top.m2.role").alias("role_b"),
+                    F.col("bottom.m1.role").alias("role_c"),
+                    F.col("bottom.m2.role").alias("role_d"),
+                    C.lookup("status", {"F": "bot", "O": "top_jungle", "P": "mid_jungle"}).alias(
+                        "duo_ctx"
+                    ),
+                    F.when(F.col("swap"), C.flip_choice("said")).otherwise(F.col("said")).alias("choice"),
+                    F.when(F.col("swap"), C.flip_choice("lane_said"))
+                    .otherwise(F.col("lane_said"))
+                    .alias("lane_choice"),
+                ),
+            ),
+        }
+        df = self.ranked_orders
+        for name, column in steps.items():
+            df = df.withColumn(name, column)
+        return df.drop(*[n for n in steps if n != "duo"])
 
-        d = qty(0) - qty(1)
-        shown = both.select(
+    @cached_property
+    def duos(self) -> DataFrame:
+        """Two against two: the first two carries and the first two partners of a submission."""
+        return self._with_duo.filter(F.col("duo").isNotNull()).select(
             (F.col("order_id") * 10).alias("response_id"),
             "respondent_id",
             "patch_id",
             "created_at",
-            C.lookup("status", {k: v[2] for k, v in role.items()}).alias("duo_ctx"),
-            duo(0).alias("one"),
-            duo(1).alias("two"),
-            F.when(d > 10, "pair_1").when(d < -10, "pair_2").otherwise("similar").alias("said"),
-            F.when(d >= 20, "a_strong")
-            .when(d >= 5, "a_slight")
-            .when(d > -5, "even")
-            .when(d > -20, "b_slight")
-            .otherwise("b_strong")
-            .alias("lane_said"),
-        )
-        swap = F.col("two.m1.item") < F.col("one.m1.item")
-        canonical = (
-            shown.withColumn("top", F.when(swap, F.col("two")).otherwise(F.col("one")))
-            .withColumn("bottom", F.when(swap, F.col("one")).otherwise(F.col("two")))
-            .withColumn("choice", F.when(swap, C.flip_choice("said")).otherwise(F.col("said")))
-            .withColumn(
-                "lane_choice",
-                F.when(swap, C.flip_choice("lane_said")).otherwise(F.col("lane_said")),
-            )
-        )
-        return canonical.select(
-            "response_id",
-            "respondent_id",
-            "patch_id",
-            "created_at",
-            "duo_ctx",
-            F.col("top.m1.item").alias("item_a"),
-            F.col("top.m2.item").alias("item_b"),
-            F.col("bottom.m1.item").alias("item_c"),
-            F.col("bottom.m2.item").alias("item_d"),
-            F.col("top.m1.role").alias("role_a"),
-            F.col("top.m2.role").alias("role_b"),
-            F.col("bottom.m1.role").alias("role_c"),
-            F.col("bottom.m2.role").alias("role_d"),
-            "choice",
-            "lane_choice",
+            "duo.*",
             F.lit(False).alias("is_gold"),
             F.lit(None).cast("bigint").alias("is_retest_of"),
         )
@@ -346,98 +349,103 @@ class Binding:
 
     @cached_property
     def responses(self) -> DataFrame:
-        """The whole log: five types, six variants, with the columns of their questions."""
+        """The whole log: five types, six variants, with the columns of their questions.
+
+        Every answer of a submission comes out of its one row of ranked items, so the lines are
+        read and shuffled once for all types. The exploded entries stay slim; the columns of the
+        log are plain expressions behind them.
+        """
+        e = F.col("entries")
+
+        def entry(kind: int, a: Column, b: Column, up: Column, d: Column, traits: Column) -> Column:
+            return F.struct(
+                F.lit(kind).alias("kind"),
+                a.cast("int").alias("a"),
+                b.cast("int").alias("b"),
+                up.cast("boolean").alias("up"),
+                d.cast("double").alias("d"),
+                traits.cast("array<string>").alias("traits"),
+            )
+
         none = F.lit(None)
-        role_index = C.lookup("role", {"top": 1, "mid": 2, "adc": 3})
-        ctx_index = C.lookup("duo_ctx", {"bot": 1, "top_jungle": 2, "mid_jungle": 3})
-        patch = F.col("patch_id").cast("bigint")
-        duo_q = ((patch * 10 + ctx_index) * 100 + F.col("item_a")) * 100 + F.col("item_b")
-        duo_q = (duo_q * 100 + F.col("item_c")) * 100 + F.col("item_d")
-
-        def shape(df, type_, base, question, **extra):
-            columns = {
-                "item_b": none.cast("int"),
-                "item_c": none.cast("int"),
-                "item_d": none.cast("int"),
-                "dimension_id": none.cast("int"),
-                "role": none.cast("string"),
-                "duo_ctx": none.cast("string"),
-                "role_a": none.cast("string"),
-                "role_b": none.cast("string"),
-                "role_c": none.cast("string"),
-                "role_d": none.cast("string"),
-                "choice": none.cast("string"),
-                "minute": none.cast("int"),
-                "traits": none.cast("array<string>"),
-                "expected": none.cast("string"),
-                "ranking_id": none.cast("bigint"),
-            } | extra
-            return df.select(
-                (F.lit(base) + F.col("response_id")).alias("response_id"),
-                "respondent_id",
-                question.alias("question_id"),
-                F.lit(type_).alias("type"),
-                "patch_id",
-                "item_a",
-                *[c.alias(name) for name, c in columns.items()],
-                "is_gold",
-                "is_retest_of",
-                "created_at",
+
+        def pair(x: Column, y: Column) -> Column:
+            up, d = x["price"] >= y["price"], x["qty"] - y["qty"]
+            return F.array(
+                *[entry(k, x["item_id"], y["item_id"], up, d, none) for k in (0, 2)]
             )
 
-        def same(*names):
-            return {n: F.col(n) for n in names}
-
-        duo = same("item_b", "item_c", "item_d", "duo_ctx", "role_a", "role_b", "role_c", "role_d")
-        lane_q = ((patch * 10 + role_index) * 100 + F.col("item_a")) * 100 + F.col("item_b")
-        parts = [
-            shape(
-                self.pairs,
-                "pairwise_dimension",
-                0,
-                F.col("question_id"),
-                **same("item_b", "dimension_id", "choice", "expected", "ranking_id"),
-            ),
-            shape(
-                self.peaks,
-                "peak_timing",
-                10**13,
-                F.lit(10**9) + patch * 100 + F.col("item_a"),
-                **same("minute"),
-            ),
-            shape(
-                self.lane,
-                "lane_matchup",
-                2 * 10**13,
-                F.lit(4 * 10**9) + lane_q,
-                **same("item_b", "role", "choice"),
-            ),
-            shape(
-                self.duos.filter("duo_ctx = 'bot'"),
-                "lane_matchup",
-                3 * 10**13,
-                F.lit(6 * 10**12) + duo_q,
-                **(duo | {"choice": F.col("lane_choice")}),
-            ),
-            shape(
-                self.duos,
-                "duo_synergy",
-                4 * 10**13,
-                F.lit(5 * 10**12) + duo_q,
-                **(duo | same("choice")),
-            ),
-            shape(
-                self.peaks,
-                "trait_multiselect",
-                5 * 10**13,
-                F.lit(15 * 10**8) + patch * 100 + F.col("item_a"),
-                **same("traits"),
-            ),
-        ]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        def single(x: Column) -> Column:
+            return F.array(
+                *[entry(k, x["item_id"], none, none, x["qty"], x["traits"]) for k in (1, 5)]
+            )
+
+        pairs = F.flatten(
+            F.transform(
+                e,
+                lambda x, i: F.flatten(
+                    F.transform(F.slice(e, i + 2, F.size(e)), lambda y: pair(x, y))
+                ),
+            )
+        )
+        four = F.array(*[entry(k, none, none, none, none, none) for k in (3, 4)])
+        fours = F.when(F.col("duo").isNull(), F.slice(four, 1, 0)).otherwise(
+            F.when(F.col("status") == "F", four).otherwise(F.slice(four, 2, 1))
+        )
+        rows = self._with_duo.withColumn(
+            "x", F.explode(F.concat(pairs, F.flatten(F.transform(e, single)), fours))
+        )
+        order, kind = F.col("order_id"), F.col("x.kind")
+        a, b = F.col("x.a"), F.col("x.b")
+        patch, index = F.col("patch_id").cast("bigint"), C.lookup("status", {"F": 1, "O": 2, "P": 3})
+        two, four_items = kind.isin(0, 2), kind.isin(3, 4)
+        gold = F.when(kind == 0, (a * 31 + b) % 19 == 0).otherwise(F.lit(False))
+        pair_id = order * 10000 + a * 100 + b
+        local = F.when(two, pair_id).when(four_items, order * 10).otherwise(order * 100 + a)
+        duo = F.col("duo")
+        duo_q = ((patch * 10 + index) * 100 + duo["item_a"]) * 100 + duo["item_b"]
+        duo_q = (duo_q * 100 + duo["item_c"]) * 100 + duo["item_d"]
+        asked = (
+            F.when(kind == 0, ((patch * 10 + F.col("dimension_id")) * 100 + a) * 100 + b)
+            .when(kind == 1, F.lit(10**9) + patch * 100 + a)
+            .when(kind == 2, F.lit(4 * 10**9) + ((patch * 10 + index) * 100 + a) * 100 + b)
+            .when(kind == 3, F.lit(6 * 10**12) + duo_q)
+            .when(kind == 4, F.lit(5 * 10**12) + duo_q)
+            .otherwise(F.lit(15 * 10**8) + patch * 100 + a)
+        )
+        choice = (
+            F.when(
+                kind == 0,
+                F.when(order % 23 == 0, "unknown").when(F.col("x.up"), "a").otherwise("b"),
+            )
+            .when(kind == 2, _five_levels(F.col("x.d")))
+            .when(kind == 3, duo["lane_choice"])
+            .when(kind == 4, duo["choice"])
+        )
+        types = {0: 0, 1: 1, 2: 2, 3: 2, 4: 3, 5: 4}
+        return rows.select(
+            _pick(S.QUESTION_TYPES, C.lookup(kind, types)).alias("type"),
+            (kind.cast("bigint") * 10**13 + local).alias("response_id"),
+            asked.alias("question_id"),
+            F.when(four_items, duo["item_a"]).otherwise(a).alias("item_a"),
+            F.when(four_items, duo["item_b"]).otherwise(b).alias("item_b"),
+            F.when(four_items, duo["item_c"]).alias("item_c"),
+            F.when(four_items, duo["item_d"]).alias("item_d"),
+            F.when(kind == 0, F.col("dimension_id")).alias("dimension_id"),
+            F.when(kind == 2, C.lookup("status", {"F": "top", "O": "mid", "P": "adc"})).alias("role"),
+            F.when(four_items, duo["duo_ctx"]).alias("duo_ctx"),
+            *[F.when(four_items, duo[f"role_{m}"]).alias(f"role_{m}") for m in "abcd"],
+            choice.alias("choice"),
+            F.when(kind == 1, F.col("x.d").cast("int") % 41).alias("minute"),
+            F.when(kind == 5, F.col("x.traits")).alias("traits"),
+            F.when(gold, F.when(a % 2 == 0, "a").otherwise("b")).alias("expected"),
+            F.when(kind == 0, order).alias("ranking_id"),
+            gold.alias("is_gold"),
+            F.when(two & (order % 29 == 0), pair_id - 1).alias("is_retest_of"),
+            "respondent_id",
+            "patch_id",
+            "created_at",
+        )
 
     QUESTION_COLUMNS = (
         "question_id", "type", "patch_id", "item_a", "item_b", "item_c", "item_d", "dimension_id",
@@ -447,7 +455,7 @@ class Binding:
     @cached_property
     def questions(self) -> DataFrame:
         """Every question that was answered at least once."""
-        return self.responses.select(*self.QUESTION_COLUMNS).distinct()
+        return self.responses.select(*self.QUESTION_COLUMNS).dropDuplicates(["question_id"])
 
     @cached_property
     def wresponses(self) -> DataFrame:
