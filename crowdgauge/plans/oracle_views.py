@@ -272,18 +272,29 @@ FROM {_name} t JOIN respondents r USING (respondent_id)
 WHERE t.is_retest_of IS NULL AND NOT t.is_gold AND NOT r.is_flagged AND r.trust_score >= 0.3
   AND t.patch_id BETWEEN 1996 AND 2000""",
     )
+_EVENTS = ("view", "click", "signup", "purchase", "error")
+_SAID = {
+    "pairwise_dimension": ("a", "b", "a", "b", "unknown"),
+    "lane_matchup": ("a_strong", "even", "b_slight", "a_slight", "b_strong"),
+    "duo_synergy": ("pair_1", "pair_2", "similar", "pair_1", "pair_2"),
+}
+_CHOICE = " ".join(
+    f"WHEN '{kind}' THEN {_case('event', dict(zip(_EVENTS, answers, strict=True)))}"
+    for kind, answers in _SAID.items()
+)
 _view(
     "elog",
     "",
-    """
-SELECT event_id AS response_id, user_id AS respondent_id, ts AS created_at,
-  CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS question_id,
-  (['pairwise_dimension','peak_timing','lane_matchup','duo_synergy','trait_multiselect'])[
-     CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % 5 + 1] AS type,
-  event_type AS choice, CAST(round(value * 100) AS BIGINT) AS response_time_ms,
-  CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % 10 = 0 AS is_gold,
-  CASE WHEN CAST(regexp_extract(props, '[0-9]+') AS INTEGER) % 10 = 0 THEN 'click' END AS expected
-FROM events""",
+    f"""
+SELECT * EXCLUDE (k), k AS question_id, k % 10 = 0 AS is_gold, CASE WHEN k % 10 = 0 THEN 'b' END AS expected,
+  CASE type {_CHOICE} END AS choice,
+  CASE WHEN type = 'peak_timing' THEN CAST(response_time_ms % 41 AS INTEGER) END AS minute,
+  CASE WHEN type = 'trait_multiselect' THEN CASE event WHEN 'view' THEN ['A'] WHEN 'click' THEN ['A', 'N']
+    WHEN 'signup' THEN ['R'] WHEN 'purchase' THEN ['A', 'N', 'R'] ELSE ['N'] END END AS traits
+FROM (SELECT event_id AS response_id, user_id AS respondent_id, ts AS created_at, event_type AS event, k,
+    CAST(round(value * 100) AS BIGINT) AS response_time_ms,
+    (['pairwise_dimension','peak_timing','lane_matchup','duo_synergy','trait_multiselect'])[k % 5 + 1] AS type
+  FROM (SELECT *, CAST(regexp_extract(props, '[0-9]+') AS INTEGER) AS k FROM events))""",
 )
 _ANSWERS = {
     "pairwise_dimension": ['{"choice":"a"}', '{"choice":"b"}', '{"choice":"unknown"}',
@@ -297,12 +308,10 @@ _ANSWERS = {
                           '{"traits":["A","A"]}', '{"traits":["A","Z"]}'],
 }
 _WHENS = " ".join(
-    f"WHEN type = '{kind}' AND choice = '{name}' THEN "
+    f"WHEN type = '{kind}' AND event = '{name}' THEN "
     + ("'{\"minute\": ' || (response_time_ms % 50) || '}'" if text is None else f"'{text}'")
     for kind, answers in _ANSWERS.items()
-    for name, text in zip(
-        ("view", "click", "signup", "purchase", "error"), answers, strict=True
-    )
+    for name, text in zip(_EVENTS, answers, strict=True)
 )
 _view(
     "raw_answers",

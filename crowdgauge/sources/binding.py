@@ -26,6 +26,7 @@ MIN_TRUST = 0.30
 ENABLED_TIERS = 2
 CURRENT_PATCH = 2001
 TRAITS = ("A", "N", "R")
+EVENTS = ("view", "click", "signup", "purchase", "error")
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
@@ -499,17 +500,34 @@ class Binding:
     @cached_property
     def log(self) -> DataFrame:
         """Events as submissions, one row each."""
-        k = C.json_get("props", "$.k").cast("int")
+        k, event = C.json_get("props", "$.k").cast("int"), F.col("event_type")
+        type_ = _pick(S.QUESTION_TYPES, k % 5)
+        said = {
+            "pairwise_dimension": ("a", "b", "a", "b", "unknown"),
+            "lane_matchup": ("a_strong", "even", "b_slight", "a_slight", "b_strong"),
+            "duo_synergy": ("pair_1", "pair_2", "similar", "pair_1", "pair_2"),
+        }
+        choice = None
+        for name, answers in said.items():
+            value = C.lookup(event, dict(zip(EVENTS, answers, strict=True)))
+            choice = F.when(type_ == name, value) if choice is None else choice.when(type_ == name, value)
+        sets = F.when(event == "view", F.array(F.lit("A")))
+        for name, codes in {"click": "AN", "signup": "R", "purchase": "ANR", "error": "N"}.items():
+            sets = sets.when(event == name, F.array(*[F.lit(c) for c in codes]))
+        ms = F.round(F.col("value") * 100).cast("bigint")
         return self.raw("events").select(
             F.col("event_id").alias("response_id"),
             F.col("user_id").alias("respondent_id"),
             F.col("ts").cast("timestamp").alias("created_at"),
             k.alias("question_id"),
-            _pick(S.QUESTION_TYPES, k % 5).alias("type"),
-            F.col("event_type").alias("choice"),
-            F.round(F.col("value") * 100).cast("bigint").alias("response_time_ms"),
+            type_.alias("type"),
+            event.alias("event"),
+            choice.alias("choice"),
+            F.when(type_ == "peak_timing", (ms % 41).cast("int")).alias("minute"),
+            F.when(type_ == "trait_multiselect", sets).alias("traits"),
+            ms.alias("response_time_ms"),
             (k % 10 == 0).alias("is_gold"),
-            F.when(k % 10 == 0, F.lit("click")).alias("expected"),
+            F.when(k % 10 == 0, F.lit("b")).alias("expected"),
         )
 
     @cached_property
@@ -523,7 +541,7 @@ class Binding:
     @cached_property
     def raw_answers(self) -> DataFrame:
         """Answers as a client might send them, malformed ones among them."""
-        event = F.col("choice")
+        event = F.col("event")
         minute = F.concat(F.lit('{"minute": '), F.col("response_time_ms") % 50, F.lit("}"))
         cases = {
             "pairwise_dimension": ('{"choice":"a"}', '{"choice":"b"}', '{"choice":"unknown"}',
@@ -536,10 +554,9 @@ class Binding:
             "trait_multiselect": ('{"traits":["A"]}', '{"traits":["A","N"]}', '{"traits":[]}',
                                   '{"traits":["A","A"]}', '{"traits":["A","Z"]}'),
         }
-        names = ("view", "click", "signup", "purchase", "error")
         text = None
         for type_, answers in cases.items():
-            for name, answer in zip(names, answers, strict=True):
+            for name, answer in zip(EVENTS, answers, strict=True):
                 value = F.lit(answer) if isinstance(answer, str) else answer
                 test = (F.col("type") == type_) & (event == name)
                 text = F.when(test, value) if text is None else text.when(test, value)
