@@ -1,6 +1,6 @@
 """Registered queries. Importing the package registers all of them."""
 
-from crowdgauge.plans import estimation, people, questions, selection  # noqa: F401
+from crowdgauge.plans import estimation, people, questions, reporting, selection  # noqa: F401
 from crowdgauge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
