@@ -159,3 +159,156 @@ def g10_bootstrap_width_ratio(b):
     )
     ratio = R.width_ratio(plain, people, "dimension_id")
     return ratio.select("dimension_id", *[P(c).alias(c) for c in ("narrow", "honest", "ratio")])
+
+
+# ------------------------------------------------------------------------------ ordinal models
+def _tau_frame(b, stats):
+    return stats.select("role").distinct().select(
+        "role", F.lit(0.4).alias("tau1"), F.lit(1.1).alias("tau2")
+    )
+
+
+_CELLS = """cells AS (SELECT role, item_a, item_b, list_position(['b_strong', 'b_slight', 'even', 'a_slight', 'a_strong'], choice) - 1 AS level,
+  sum(weight) AS w FROM wlane GROUP BY ALL),
+d AS (SELECT *, (item_a % 7 - item_b % 7) / 5.0::DOUBLE AS delta FROM cells),
+g AS (SELECT *, CASE level WHEN 0 THEN 1.0::DOUBLE ELSE 1 / (1 + exp(-(delta - ([-1.1, -0.4, 0.4, 1.1])[level]))) END AS u,
+  CASE level WHEN 4 THEN 0.0::DOUBLE ELSE 1 / (1 + exp(-(delta - ([-1.1, -0.4, 0.4, 1.1])[level + 1]))) END AS l FROM d)"""
+
+
+@query(
+    "e3_ordinal_gradient",
+    "wlane",
+    f"""
+WITH {_CELLS}, s AS (
+  SELECT role, CAST(item_a AS VARCHAR) AS param, w * (1 - u - l) AS s, w * (u * (1 - u) + l * (1 - l)) AS c FROM g
+  UNION ALL SELECT role, CAST(item_b AS VARCHAR), -w * (1 - u - l), w * (u * (1 - u) + l * (1 - l)) FROM g
+  UNION ALL SELECT role, 'tau1', w * (CASE level WHEN 2 THEN u * (1 - u) WHEN 3 THEN -u * (1 - u) ELSE 0 END
+    + CASE level WHEN 1 THEN -l * (1 - l) WHEN 2 THEN l * (1 - l) ELSE 0 END) / (u - l), 0 FROM g
+  UNION ALL SELECT role, 'tau2', w * (CASE level WHEN 1 THEN u * (1 - u) WHEN 4 THEN -u * (1 - u) ELSE 0 END
+    + CASE level WHEN 0 THEN -l * (1 - l) WHEN 3 THEN l * (1 - l) ELSE 0 END) / (u - l), 0 FROM g),
+t AS (SELECT role, param, sum(s) AS slope, sum(c) AS curvature FROM s GROUP BY 1, 2),
+x AS (SELECT *, CASE WHEN param LIKE 'tau%' THEN NULL ELSE (CAST(replace(param, 'tau', '') AS INTEGER) % 7) / 5.0::DOUBLE END AS v FROM t)
+SELECT role, param, round(slope - coalesce(0.5::DOUBLE * (2 / (1 + exp(-v)) - 1), 0), 5) AS slope,
+  CASE WHEN v IS NOT NULL THEN round(curvature + 1.0::DOUBLE / (1 + exp(-v)) * (1 - 1 / (1 + exp(-v))), 5) END AS curvature FROM x""",
+)
+def e3_ordinal_gradient(b):
+    """Slope and curvature of the penalised likelihood at fixed strengths and thresholds."""
+    from crowdgauge.operators import ordinal as O
+
+    leveled = b.wlane.withColumn("level", C.level("choice", "lane"))
+    stats = O._lane_sides(O.lane_stats(leveled, ["role"]))
+    params = (
+        stats.select("role", F.explode(F.array("item_a", "item_b")).alias("i"))
+        .distinct()
+        .select("role", F.col("i").cast("string").alias("param"), (F.col("i") % 7 / F.lit(5.0)).alias("value"))
+    )
+    gradient = O.ordinal_gradient(stats, params, _tau_frame(b, stats), ["role"], 5)
+    full = O.penalised(gradient, params, ["role"], "epsilon", F.lit(0.5))
+    return full.select(
+        "role",
+        "param",
+        P("slope", 5).alias("slope"),
+        F.when(F.col("value").isNotNull(), P("curvature", 5)).alias("curvature"),
+    )
+
+
+@query("e3_lane_strengths")
+def e3_lane_strengths(b):
+    from crowdgauge.operators import ordinal as O
+
+    strengths, _, _ = O.fit_lanes(b.wlane, b.pool, n_rep=REPS, seed=SEED)
+    return strengths.select("role", "item_id", *[P(c).alias(c) for c in ("value", "low", "high")], "n", "support")
+
+
+@query(
+    "e4_advantage_matrix",
+    "wlane pool",
+    """
+WITH it AS (SELECT DISTINCT role, unnest([item_a, item_b]) AS item_id FROM wlane),
+pr AS (SELECT x.role, x.item_id AS item_a, y.item_id AS item_b, (x.item_id % 7 - y.item_id % 7) / 5.0::DOUBLE AS d
+  FROM it x JOIN it y ON x.role = y.role AND x.item_id < y.item_id
+  JOIN pool px ON px.item_id = x.item_id AND list_contains(px.roles, x.role)
+  JOIN pool py ON py.item_id = y.item_id AND list_contains(py.roles, y.role)),
+g AS (SELECT *, 1 / (1 + exp(-(d + 1.1))) AS g1, 1 / (1 + exp(-(d + 0.4))) AS g2, 1 / (1 + exp(-(d - 0.4))) AS g3, 1 / (1 + exp(-(d - 1.1))) AS g4 FROM pr),
+m AS (SELECT *, -1 * (1 - g1) - 0.5 * (g1 - g2) + 0.5 * (g3 - g4) + g4 AS a FROM g)
+SELECT role, item_a, item_b, CASE WHEN abs(a) < 5e-7 THEN 0.0::DOUBLE ELSE round(a, 6) END AS value FROM m""",
+)
+def e4_advantage_matrix(b):
+    """Expected margins at fixed strengths, so that SQL can say the same."""
+    from crowdgauge.operators import ordinal as O
+
+    seen = b.wlane.select("role", F.explode(F.array("item_a", "item_b")).alias("item_id")).distinct()
+    theta = seen.withColumn("theta", F.col("item_id") % 7 / F.lit(5.0))
+    labels = seen.select("role", F.col("item_id").alias("node"), F.lit(1).alias("label"))
+    margins = O.advantage(theta, _tau_frame(b, seen), labels, b.pool, ["role"])
+    return margins.select("role", "item_a", "item_b", P("value").alias("value"))
+
+
+@query("e4_matchups_with_intervals")
+def e4_matchups_with_intervals(b):
+    from crowdgauge.operators import ordinal as O
+
+    _, matchups, _ = O.fit_lanes(b.wlane, b.pool, n_rep=REPS, seed=SEED)
+    return matchups.select(
+        "role", "item_a", "item_b", *[P(c).alias(c) for c in ("value", "low", "high")], "n", "support", "is_observed",
+    )
+
+
+def _duo_rows(duos):
+    return duos.select(
+        "duo_ctx", C.duo_label(F.col("duo")).alias("duo"),
+        *[P(c).alias(c) for c in ("value", "low", "high")], "n", "support", "is_observed",
+    )
+
+
+@query("e5_duo_synergy")
+def e5_duo_synergy(b):
+    from crowdgauge.operators import ordinal as O
+
+    duos, _ = O.fit_duos(b.wduos, b.pool, "synergy", n_rep=REPS, seed=SEED)
+    return _duo_rows(duos)
+
+
+@query("e5_duo_lane_strength")
+def e5_duo_lane_strength(b):
+    from crowdgauge.operators import ordinal as O
+
+    lane = b.wduos.filter("duo_ctx = 'bot'").withColumn("choice", F.col("lane_choice"))
+    duos, _ = O.fit_duos(lane, b.pool, "lane", n_rep=REPS, seed=SEED)
+    return _duo_rows(duos)
+
+
+@query(
+    "e6_duo_grid",
+    "wduos pool",
+    """
+WITH sides AS (SELECT duo_ctx, item_a AS a, role_a AS ra, item_b AS b, role_b AS rb FROM wduos
+  UNION SELECT duo_ctx, item_c, role_c, item_d, role_d FROM wduos),
+seen AS (SELECT DISTINCT duo_ctx, unnest([a, b]) AS item_id FROM sides),
+legal AS (SELECT ctx AS duo_ctx, least(x.item_id, y.item_id) AS a, CASE WHEN x.item_id < y.item_id THEN r1 ELSE r2 END AS ra,
+    greatest(x.item_id, y.item_id) AS b, CASE WHEN x.item_id < y.item_id THEN r2 ELSE r1 END AS rb
+  FROM (VALUES ('bot', 'adc', 'support'), ('top_jungle', 'top', 'jungle'), ('mid_jungle', 'mid', 'jungle')) c(ctx, r1, r2)
+  JOIN pool x ON list_contains(x.roles, r1) JOIN pool y ON list_contains(y.roles, r2)
+  JOIN seen sx ON sx.duo_ctx = ctx AND sx.item_id = x.item_id JOIN seen sy ON sy.duo_ctx = ctx AND sy.item_id = y.item_id
+  WHERE x.item_id <> y.item_id),
+grid AS (SELECT * FROM sides UNION SELECT * FROM legal),
+v AS (SELECT g.*, (a % 5) * 0.3::DOUBLE + (b % 5) * 0.3::DOUBLE + CASE WHEN s.a IS NOT NULL THEN 0.1::DOUBLE ELSE 0 END AS value
+  FROM grid g LEFT JOIN sides s USING (duo_ctx, a, ra, b, rb)),
+c AS (SELECT *, value - avg(value) OVER (PARTITION BY duo_ctx) AS cv FROM v)
+SELECT duo_ctx, a || ':' || ra || '|' || b || ':' || rb AS duo, CASE WHEN abs(cv) < 5e-7 THEN 0.0::DOUBLE ELSE round(cv, 6) END AS value FROM c""",
+)
+def e6_duo_grid(b):
+    """The prediction grid at fixed effects: 0.3 (item mod 5) and 0.1 per observed duo."""
+    from crowdgauge.operators import ordinal as O
+
+    stats = O._duo_columns(b.wduos)
+    grid = O.duo_candidates(stats, b.pool)
+    duos = stats.select("duo_ctx", F.explode(F.array("top", "bottom")).alias("duo")).distinct()
+    items = duos.select("duo_ctx", F.explode(F.array("duo.m1.item", "duo.m2.item")).alias("i")).distinct()
+    params = items.select(
+        "duo_ctx", F.col("i").cast("string").alias("param"), (F.col("i") % 5 * F.lit(0.3)).alias("value")
+    ).unionByName(
+        duos.select("duo_ctx", C.duo_label(F.col("duo")).alias("param"), F.lit(0.1).alias("value"))
+    )
+    out = O.duo_grid(params, grid, ["duo_ctx"])
+    return out.select("duo_ctx", C.duo_label(F.col("duo")).alias("duo"), P("value").alias("value"))
