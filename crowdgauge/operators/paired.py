@@ -215,7 +215,7 @@ def fit_dimensions(
     )
     edges = _edges_of(win, fit)
     nodes = edges.select(*fit, F.explode(F.array("u", "v")).alias("node"))
-    labels = graph.components(edges, nodes, fit)
+    labels = pin(graph.components_of_many(edges, nodes, fit))
     main = graph.largest(labels, fit).select(*fit, "main", "components")
     members = pool.select("item_id")
 

@@ -104,7 +104,7 @@ def admissible_replicates(
     """
     fit = list(fit)
     nodes = rep_edges.select(*fit, "rep", F.explode(F.array("u", "v")).alias("node"))
-    rep_labels = graph.components(rep_edges, nodes, [*fit, "rep"])
+    rep_labels = graph.components_of_many(rep_edges, nodes, [*fit, "rep"])
     verdict = graph.preserved(rep_labels, labels, fit)
     good = verdict.filter("preserved").groupBy(*fit).agg(
         F.slice(F.array_sort(F.collect_list("rep")), 1, n_rep).alias("reps")

@@ -1,6 +1,15 @@
 """Registered queries. Importing the package registers all of them."""
 
-from crowdgauge.plans import estimation, models, people, questions, reporting, selection  # noqa: F401
+from crowdgauge.plans import (  # noqa: F401
+    estimation,
+    models,
+    people,
+    publishing,
+    questions,
+    reporting,
+    sampling,
+    selection,
+)
 from crowdgauge.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
