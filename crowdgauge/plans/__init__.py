@@ -9,6 +9,7 @@ from crowdgauge.plans import (  # noqa: F401
     reporting,
     sampling,
     selection,
+    streams,
 )
 from crowdgauge.plans.registry import ORACLES, QUERIES
 
