@@ -96,9 +96,28 @@ def plain(x: Column | str, digits: int = 6) -> Column:
     return F.when(value == 0, F.lit(0.0)).otherwise(value)
 
 
+def _untied(x: Column, digits: int) -> Column:
+    """A value whose shortest text ends in a lone 5 behind the last digit, moved to the side its
+    binary value lies on (the even digit when it lies exactly between).
+
+    The residue of the product by twice the scale is exact because the scale has few bits.
+    """
+    scale = float(10**digits)
+    size = F.abs(x)
+    product = size * F.lit(2 * scale)
+    high = size * F.lit(134217729.0) - (size * F.lit(134217729.0) - size)
+    residue = (high * F.lit(2 * scale) - product) + (size - high) * F.lit(2 * scale)
+    below = F.floor(product / 2)
+    tied = (product < F.lit(9e15)) & (product == F.floor(product)) & (F.pmod(product, F.lit(2.0)) == 1)
+    up = (residue > 0) | ((residue == 0) & (F.pmod(below, F.lit(2)) == 1))
+    moved = (below + F.when(up, 1).otherwise(0)) / F.lit(scale)
+    return F.when(tied, F.signum(x) * moved).otherwise(x)
+
+
 def fmt_number(x: Column | str, digits: int) -> Column:
     """``%.Nf`` on the exact binary value, empty for null and never ``-0.000``."""
-    text = F.translate(F.format_number(_col(x).cast("double"), digits), ",", "")
+    value = _untied(_col(x).cast("double"), digits)
+    text = F.translate(F.format_number(value, digits), ",", "")
     return F.coalesce(F.regexp_replace(text, r"^-(0(\.0*)?)$", "$1"), F.lit(""))
 
 
