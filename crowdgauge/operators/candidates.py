@@ -58,14 +58,13 @@ def priority_topk(
     return hot.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
 
 
-def _draw_variant(draw: Column, blocked: Column, open_variants: Column) -> Column:
-    """A variant by weight among the open ones whose type is not blocked."""
+def _draw_variant(draw: Column, blocked: Column) -> Column:
+    """A variant by weight among the open ones (columns ``_w_<variant>``) of another type than
+    the blocked one."""
 
     def weight(name: str) -> Column:
-        free = F.array_contains(open_variants, F.lit(name)) & ~F.coalesce(
-            blocked == F.lit(VARIANT_TYPE[name]), F.lit(False)
-        )
-        return F.when(free, F.lit(float(S.VARIANT_WEIGHTS[name]))).otherwise(F.lit(0.0))
+        barred = F.coalesce(blocked == F.lit(VARIANT_TYPE[name]), F.lit(False))
+        return F.when(barred, F.lit(0.0)).otherwise(F.col(f"_w_{name}"))
 
     total = reduce(lambda x, y: x + y, [weight(n) for n in S.VARIANTS])
     result, passed = None, F.lit(0.0)
@@ -76,6 +75,26 @@ def _draw_variant(draw: Column, blocked: Column, open_variants: Column) -> Colum
     return result
 
 
+def _folded(hot: DataFrame, cold: DataFrame, bridges: DataFrame) -> DataFrame:
+    """The candidate lists as one row: question ids per variant in place order, and the bridges."""
+
+    def per_variant(df: DataFrame, place: Column, name: str) -> DataFrame:
+        entry = F.struct(place.cast("bigint").alias("p"), F.col("question_id").cast("bigint").alias("q"))
+        ids = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["q"])
+        lists = df.groupBy("variant").agg(ids.alias("ids"))
+        return lists.agg(F.map_from_entries(F.collect_list(F.struct("variant", "ids"))).alias(name))
+
+    entry = F.struct(F.col("place").cast("bigint").alias("p"), F.col("question_id").cast("bigint").alias("q"))
+    joining = bridges.agg(
+        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["q"]).alias("_bridges")
+    )
+    return (
+        per_variant(hot, F.col("place"), "_hot_all")
+        .join(F.broadcast(per_variant(cold, F.lit(0), "_cold_all")), F.lit(True))
+        .join(F.broadcast(joining), F.lit(True))
+    )
+
+
 def next_questions(
     respondents: DataFrame,
     hot: DataFrame,
@@ -93,101 +112,102 @@ def next_questions(
     row. A respondent brings only the candidates already answered and the last types
     (``recent``, oldest first) and ``answers_count``. The first positions are paired comparisons,
     no type comes four times in a row while another is open, and a paired slot takes the best
-    unanswered bridge first. All randomness is a hash of seed, respondent and slot.
+    unanswered bridge first. All randomness is a hash of seed, respondent and place.
     """
-    lists = (
-        hot.select("variant", F.col("place").cast("bigint").alias("place"), "question_id", F.lit("hot").alias("list"))
-        .unionByName(
-            cold.select("variant", F.lit(0).cast("bigint").alias("place"), "question_id", F.lit("cold").alias("list"))
-        )
-        .unionByName(
-            bridges.select(
-                F.lit("pairwise_dimension").alias("variant"),
-                F.col("place").cast("bigint").alias("place"),
-                "question_id",
-                F.lit("bridge").alias("list"),
-            )
-        )
-    )
-    entry = F.struct("list", "variant", "place", "question_id")
-    folded = lists.agg(F.array_sort(F.collect_list(entry)).alias("_all"))
+    empty = F.array().cast("array<bigint>")
+    listed = reduce(
+        lambda x, y: x.unionByName(y), [df.select("question_id") for df in (hot, cold, bridges)]
+    ).distinct()
     seen = (
-        answered.join(lists.select("question_id").distinct(), "question_id", "left_semi")
+        answered.join(listed, "question_id", "left_semi")
         .groupBy("respondent_id")
-        .agg(F.collect_set("question_id").alias("_seen"))
+        .agg(F.collect_set(F.col("question_id").cast("bigint")).alias("_seen"))
     )
     who = (
-        respondents.join(seen, "respondent_id", "left")
-        .join(F.broadcast(folded), F.lit(True))
-        .withColumn("_seen", F.coalesce("_seen", F.array().cast("array<bigint>")))
-        .withColumn("_left", F.filter("_all", lambda e: ~F.array_contains("_seen", e["question_id"])))
-        .withColumn("_open", F.array_distinct(F.transform("_left", lambda e: e["variant"])))
+        respondents.select("respondent_id", "answers_count", "recent")
+        .join(seen, "respondent_id", "left")
+        .join(F.broadcast(_folded(hot, cold, bridges)), F.lit(True))
+        .withColumn("_seen", F.coalesce("_seen", empty))
     )
 
+    def left(name: str, variant: Column) -> Column:
+        all_ids = F.coalesce(F.try_element_at(F.col(name), variant), empty)
+        return F.array_except(all_ids, F.col("_seen"))
+
+    for name in S.VARIANTS:
+        some = F.size(left("_hot_all", F.lit(name))) + F.size(left("_cold_all", F.lit(name)))
+        if name == "pairwise_dimension":
+            some = some + F.size(F.array_except("_bridges", "_seen"))
+        who = who.withColumn(
+            f"_w_{name}", F.when(some > 0, float(S.VARIANT_WEIGHTS[name])).otherwise(0.0)
+        )
+
     def step(state: Column, slot: Column) -> Column:
-        tail = F.slice(state, -S.VARIETY_RUN, S.VARIETY_RUN)
-        kinds = F.transform(tail, lambda v: C.lookup(v, VARIANT_TYPE | {t: t for t in S.QUESTION_TYPES}))
-        full = F.size(state) >= S.VARIETY_RUN
-        same = full & (F.size(F.array_distinct(kinds)) == 1)
-        warm = (F.col("answers_count") + slot < S.WARMUP_PAIRWISE) & F.array_contains(
-            "_open", F.lit("pairwise_dimension")
+        same = (state["a"] == state["b"]) & (state["b"] == state["c"])
+        warm = (F.col("answers_count") + slot < S.WARMUP_PAIRWISE) & (
+            F.col("_w_pairwise_dimension") > 0
         )
         draw = C.hash_draw(seed, "respondent_id", slot, F.lit("variant"))
-        varied = _draw_variant(draw, F.when(same, kinds[0]), F.col("_open"))
-        free = _draw_variant(draw, F.lit(None).cast("string"), F.col("_open"))
-        chosen = F.when(warm, F.lit("pairwise_dimension")).otherwise(F.coalesce(varied, free))
-        return F.concat(state, F.array(chosen))
-
-    # recent types take part in the run; a short history simply has no run yet
-    walk = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.col("recent"), step)
-    slots = F.slice(walk, F.size("recent") + 1, n)
-    rows = (
-        who.withColumn("_slots", slots)
-        .select("respondent_id", "_left", "_slots", F.posexplode("_slots").alias("slot", "variant"))
-        .filter(F.col("variant").isNotNull())
-    )
+        free = _draw_variant(draw, F.lit(None).cast("string"))
+        varied = F.when(same, F.coalesce(_draw_variant(draw, state["c"]), free)).otherwise(free)
+        chosen = F.when(warm, F.lit("pairwise_dimension")).otherwise(varied)
+        return F.struct(
+            F.concat(state["out"], F.array(chosen)).alias("out"),
+            state["b"].alias("a"),
+            state["c"].alias("b"),
+            C.lookup(chosen, VARIANT_TYPE).alias("c"),
+        )
 
-    def listed(name: str) -> Column:
-        mine = F.filter(
-            "_left", lambda e: (e["list"] == name) & (e["variant"] == F.col("variant"))
+    start = F.struct(
+        F.array().cast("array<string>").alias("out"),
+        *[F.get("recent", F.size("recent") - back).alias(k) for k, back in (("a", 3), ("b", 2), ("c", 1))],
+    )
+    slots = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step, lambda s: s["out"])
+    # one row per respondent and variant, with the slots it fills
+    wanted = (
+        who.withColumn("_slots", slots)
+        .select(
+            "respondent_id", "_seen", "_hot_all", "_cold_all", "_bridges", "_slots",
+            F.explode(F.array_compact(F.array_distinct("_slots"))).alias("variant"),
         )
-        if name != "cold":
-            return F.transform(mine, lambda e: e["question_id"])
-        drawn = F.array_sort(
-            F.transform(
-                mine,
-                lambda e: F.struct(
-                    F.xxhash64(F.lit(seed), F.col("respondent_id"), e["question_id"]).alias("h"),
-                    e["question_id"].alias("q"),
-                ),
-            )
+        .withColumn(
+            "_at",
+            F.filter(
+                F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("_slots", i) == F.col("variant")
+            ),
         )
-        return F.transform(drawn, lambda x: x["q"])
+        .withColumn("_hot", left("_hot_all", F.col("variant")))
+        .withColumn("_cold", left("_cold_all", F.col("variant")))
+    )
 
     def take(state: Column, j: Column) -> Column:
         """The j-th pick of a variant: explore or exploit by a draw, the other list when one ends."""
         draw = C.hash_draw(seed, "respondent_id", "variant", j, F.lit("branch"))
-        has_cold, has_hot = state["c"] < F.size("_cold"), state["h"] < F.size("_hot")
+        has_cold, has_hot = state["c"] < F.size("_drawn"), state["h"] < F.size("_hot")
         from_cold = has_cold & ((draw < F.lit(float(epsilon))) | ~has_hot)
-        found = F.when(from_cold, F.get("_cold", state["c"])).otherwise(F.get("_hot", state["h"]))
+        found = F.when(from_cold, F.get("_drawn", state["c"])["q"]).otherwise(F.get("_hot", state["h"]))
         return F.struct(
             F.concat(state["out"], F.array(found)).alias("out"),
             (state["c"] + F.when(from_cold, 1).otherwise(0)).alias("c"),
             (state["h"] + F.when(from_cold, 0).otherwise(1)).alias("h"),
         )
 
-    start = F.struct(
-        F.array().cast("array<bigint>").alias("out"), F.lit(0).alias("c"), F.lit(0).alias("h")
-    )
-    merged = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, take, lambda s: s["out"])
-    chain = F.array_distinct(F.array_compact(F.concat(listed("bridge"), merged)))
-    earlier = F.size(
-        F.filter(F.slice("_slots", 1, F.col("slot")), lambda v: v == F.col("variant"))
+    drawn = F.array_sort(
+        F.transform(
+            "_cold",
+            lambda q: F.struct(F.xxhash64(F.lit(seed), F.col("respondent_id"), q).alias("h"), q.alias("q")),
+        )
     )
+    zero = F.struct(empty.alias("out"), F.lit(0).alias("c"), F.lit(0).alias("h"))
+    merged = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), zero, take, lambda s: s["out"])
+    joining = F.when(
+        F.col("variant") == "pairwise_dimension", F.array_except("_bridges", "_seen")
+    ).otherwise(empty)
     return (
-        rows.withColumn("_cold", listed("cold"))
-        .withColumn("_hot", listed("hot"))
-        .withColumn("question_id", F.get(chain, earlier))
+        wanted.withColumn("_drawn", drawn)
+        .withColumn("_chain", F.array_distinct(F.array_compact(F.concat(joining, merged))))
+        .select("respondent_id", "variant", "_chain", F.posexplode("_at").alias("j", "slot"))
+        .withColumn("question_id", F.get("_chain", F.col("j")))
         .filter(F.col("question_id").isNotNull())
         .select("respondent_id", "slot", "variant", "question_id")
     )

@@ -535,22 +535,26 @@ def c9_legal_duos(b):
     "c10_null_safe_identity",
     "questions",
     """
-SELECT DISTINCT type, 2002 AS patch_id, item_a, coalesce(item_b, 0) AS item_b,
-  coalesce(dimension_id, 0) AS dimension_id, coalesce(role, '') AS role
-FROM questions q WHERE item_c IS NULL AND NOT EXISTS (SELECT 1 FROM questions k
+SELECT DISTINCT type, 2002 AS patch_id, item_a, coalesce(item_b, 0) AS item_b, coalesce(item_c, 0) AS item_c,
+  coalesce(item_d, 0) AS item_d, coalesce(dimension_id, 0) AS dimension_id, coalesce(role, '') AS role
+FROM questions q WHERE NOT EXISTS (SELECT 1 FROM questions k
   WHERE k.patch_id = 2000 AND k.type = q.type AND k.item_a = q.item_a
-    AND k.item_b IS NOT DISTINCT FROM q.item_b AND k.item_c IS NULL AND k.item_d IS NULL
-    AND k.dimension_id IS NOT DISTINCT FROM q.dimension_id AND k.role IS NOT DISTINCT FROM q.role)""",
+    AND k.item_b IS NOT DISTINCT FROM q.item_b AND k.item_c IS NOT DISTINCT FROM q.item_c
+    AND k.item_d IS NOT DISTINCT FROM q.item_d AND k.dimension_id IS NOT DISTINCT FROM q.dimension_id
+    AND k.role IS NOT DISTINCT FROM q.role AND k.duo_ctx IS NOT DISTINCT FROM q.duo_ctx
+    AND k.role_a IS NOT DISTINCT FROM q.role_a AND k.role_b IS NOT DISTINCT FROM q.role_b
+    AND k.role_c IS NOT DISTINCT FROM q.role_c AND k.role_d IS NOT DISTINCT FROM q.role_d)""",
 )
 def c10_null_safe_identity(b):
-    combos = b.questions.filter("item_c is null").withColumn("patch_id", F.lit(2002))
+    """Questions of other patches that the patch of 2000 does not hold under any identity."""
+    combos = b.questions.withColumn("patch_id", F.lit(2002))
     known = b.questions.filter("patch_id = 2000").withColumn("patch_id", F.lit(2002))
-    return merge.materialize(known, combos).select(
-        "type", "patch_id", "item_a",
-        F.coalesce("item_b", F.lit(0)).alias("item_b"),
-        F.coalesce("dimension_id", F.lit(0)).alias("dimension_id"),
-        F.coalesce("role", F.lit("")).alias("role"),
-    )
+    none = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("item_b", "item_c", "item_d", "dimension_id")}
+    return (
+        merge.materialize(known, combos)
+        .select("type", "patch_id", "item_a", *none.values(), F.coalesce("role", F.lit("")).alias("role"))
+        .distinct()
+    )
 
 
 @query(
