@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crowdgauge import settings as S
 from crowdgauge.functions import columns as C
 from crowdgauge.operators import behaviour, select
+from crowdgauge.runtime import pin
 
 VARIANT_TYPE = {
     "pairwise_dimension": "pairwise_dimension",
@@ -46,13 +47,9 @@ def priority_topk(
 
     Keeping the first k of a window prunes before the shuffle, so six groups are no bottleneck.
     """
-    members = F.array_compact(F.array("item_a", "item_b", "item_c", "item_d"))
-    enabled = pool.agg(F.collect_set("item_id").alias("_pool"))
-    hot = (
-        questions.filter(~F.col("is_gold") & (F.col("exposure_count") >= cold))
-        .join(F.broadcast(enabled), F.lit(True))
-        .filter(F.size(F.array_except(members, F.col("_pool"))) == 0)
-        .select("question_id", C.variant("type", "item_c").alias("variant"), priority(weights).alias("priority"))
+    open_questions = questions.filter(~F.col("is_gold") & (F.col("exposure_count") >= cold))
+    hot = select.members_inside(open_questions, pool).select(
+        "question_id", C.variant("type", "item_c").alias("variant"), priority(weights).alias("priority")
     )
     place = Window.partitionBy("variant").orderBy(F.desc("priority"), "question_id")
     return hot.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
@@ -289,23 +286,46 @@ def retest_candidates(
 def unseen_gold(
     respondents: DataFrame, gold: DataFrame, responses: DataFrame, seed: int = 0
 ) -> DataFrame:
-    """Per respondent the number of admissible gold questions not seen yet and a hash-drawn one.
+    """Per respondent the number of gold questions not seen yet and one of them.
 
-    The gold catalog is a short list and travels as one broadcast row; a respondent brings only
-    the gold already seen.
+    Gold is put in one hash-drawn circle; a respondent starts at an own place and takes the first
+    one not seen. That is the smallest number missing among the places already seen, so nobody
+    meets the whole catalog: a respondent's window holds only the gold they answered.
     """
-    folded = gold.agg(F.array_sort(F.collect_set("question_id")).alias("_gold"))
+    circle = gold.select("question_id").distinct()
+    size = circle.agg(F.count("*").cast("bigint").alias("_size"))
+    place = F.row_number().over(Window.orderBy(C.hash_draw(seed, "question_id"), "question_id")) - 1
+    placed = pin(circle.withColumn("_g", place.cast("bigint")).join(F.broadcast(size), F.lit(True)))
+    start = F.pmod(F.xxhash64(F.lit(seed), "respondent_id"), F.col("_size"))
     seen = (
-        responses.join(gold.select("question_id"), "question_id", "left_semi")
+        responses.select("respondent_id", "question_id")
+        .join(placed, "question_id")
+        .select("respondent_id", F.pmod(F.col("_g") - start, F.col("_size")).alias("_at"))
+        .distinct()
+    )
+    steps = Window.partitionBy("respondent_id").orderBy("_at")
+    gaps = (
+        seen.withColumn("_i", (F.row_number().over(steps) - 1).cast("bigint"))
         .groupBy("respondent_id")
-        .agg(F.collect_set("question_id").alias("_seen"))
+        .agg(
+            F.count("*").alias("_seen"),
+            F.min(F.when(F.col("_at") != F.col("_i"), F.col("_i"))).alias("_gap"),
+        )
     )
-    left = F.array_except("_gold", F.coalesce("_seen", F.array().cast("array<bigint>")))
-    at = F.floor(C.hash_draw(seed, "respondent_id") * F.size("_left")).cast("int")
-    return (
+    known = F.coalesce("_seen", F.lit(0))
+    who = (
         respondents.select("respondent_id")
-        .join(seen, "respondent_id", "left")
-        .join(F.broadcast(folded), F.lit(True))
-        .withColumn("_left", left)
-        .select("respondent_id", F.size("_left").alias("unseen"), F.get("_left", at).alias("question_id"))
+        .join(gaps, "respondent_id", "left")
+        .join(F.broadcast(size), F.lit(True))
+        .withColumn("unseen", F.col("_size") - known)
+        .withColumn(
+            "_g",
+            F.when(
+                F.col("unseen") > 0,
+                F.pmod(F.coalesce("_gap", known) + start, F.nullif(F.col("_size"), F.lit(0))),
+            ),
+        )
+    )
+    return who.join(placed.select("_g", "question_id"), "_g", "left").select(
+        "respondent_id", "unseen", "question_id"
     )

@@ -205,6 +205,24 @@ def admissible(
     )
 
 
+def members_inside(questions: DataFrame, pool: DataFrame) -> DataFrame:
+    """Questions whose items are all in the pool, by a folded pool or, beyond the limit, by an
+    anti-join of the questions with an item outside."""
+    members = F.array_compact(F.array("item_a", "item_b", "item_c", "item_d"))
+    ids = pool.select("item_id")
+    if ids.limit(CATALOG_LIMIT + 1).count() <= CATALOG_LIMIT:
+        folded = ids.agg(F.collect_set("item_id").alias("_pool"))
+        return (
+            questions.join(F.broadcast(folded), F.lit(True))
+            .filter(F.size(F.array_except(members, F.col("_pool"))) == 0)
+            .drop("_pool")
+        )
+    outside = questions.select("question_id", F.explode(members).alias("item_id")).join(
+        ids, "item_id", "left_anti"
+    )
+    return questions.join(outside.select("question_id"), "question_id", "left_anti")
+
+
 def fit_id() -> Column:
     """The independent model a weighted response feeds, so that all fits share one plan."""
     kind = C.variant("type", "item_c")

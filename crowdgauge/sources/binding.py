@@ -176,16 +176,23 @@ class Binding:
             )
         )
 
-    @cached_property
-    def ranked_orders(self) -> DataFrame:
+    def _ranked(self, *columns: str) -> DataFrame:
         """One row per submission with its items in id order: at most one entry per catalog item."""
-        entry = F.struct("item_id", "price", "qty", "traits")
+        entry = F.struct("item_id", *columns)
         return (
             self.order_items.groupBy("order_id")
             .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
             .join(self.orders, "order_id")
         )
 
+    @cached_property
+    def ranked_orders(self) -> DataFrame:
+        return self._ranked("price", "qty")
+
+    @cached_property
+    def full_orders(self) -> DataFrame:
+        return self._ranked("price", "qty", "traits")
+
     @cached_property
     def compared(self) -> DataFrame:
         """Canonical pairs of every submission."""
@@ -311,7 +318,7 @@ class Binding:
                 ),
             ),
         }
-        df = self.ranked_orders
+        df = self.full_orders
         for name, column in steps.items():
             df = df.withColumn(name, column)
         return df.drop(*[n for n in steps if n != "duo"])

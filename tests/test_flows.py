@@ -207,3 +207,30 @@ def test_admissible_with_and_without_a_folded_pool(spark, monkeypatch):
     folded = served()
     monkeypatch.setattr(select, "CATALOG_LIMIT", 0)
     assert folded and served() == folded
+
+
+def test_unseen_gold_against_brute_force(spark):
+    gold = spark.createDataFrame([(q,) for q in range(7)], "question_id bigint")
+    people = spark.createDataFrame([("none",), ("some",), ("all",), ("one",)], "respondent_id string")
+    seen = {"some": [0, 3, 5], "all": range(7), "one": [2]}
+    rows = [(p, q) for p, qs in seen.items() for q in qs] + [("some", 3), ("some", 99)]
+    log = spark.createDataFrame(rows, "respondent_id string, question_id bigint")
+    picks = set()
+    for seed in range(3):
+        got = {r["respondent_id"]: r for r in candidates.unseen_gold(people, gold, log, seed).collect()}
+        for person in ("none", "some", "all", "one"):
+            left = set(range(7)) - set(seen.get(person, []))
+            assert got[person]["unseen"] == len(left)
+            assert got[person]["question_id"] in left if left else got[person]["question_id"] is None
+        picks.add(got["some"]["question_id"])
+    assert len(picks) > 1
+
+
+def test_members_inside_both_ways(spark, monkeypatch):
+    rows = [(1, 1, 2, None, None), (2, 1, 9, None, None), (3, 3, None, None, None), (4, 1, 2, 3, 9)]
+    q = spark.createDataFrame(rows, "question_id int, item_a int, item_b int, item_c int, item_d int")
+    pool = spark.createDataFrame([(i,) for i in (1, 2, 3)], "item_id int")
+    for limit in (20_000, 0):
+        monkeypatch.setattr(select, "CATALOG_LIMIT", limit)
+        got = {r["question_id"] for r in select.members_inside(q, pool).collect()}
+        assert got == {1, 3}
