@@ -114,12 +114,13 @@ def merge_gold(
 ) -> tuple[DataFrame, DataFrame]:
     """Load a gold catalog: (classified entries, problems).
 
-    An item answers to its name, its key or its id text. The pair is put in canonical order and
+    An item answers to its name, its alternative name or its key. The pair is put in canonical order and
     the expected side flipped with it. An entry is created, converted, reactivated, unchanged or
     skipped against the question that already holds its identity.
     """
+    names = [c for c in ("name", "alt_name", "key") if c in items.columns]
     aliases = items.select(
-        "item_id", "pool_tier", F.explode(F.array_distinct(F.array("name", "key"))).alias("alias")
+        "item_id", "pool_tier", F.explode(F.array_distinct(F.array(*names))).alias("alias")
     )
 
     def resolved(side: str) -> DataFrame:

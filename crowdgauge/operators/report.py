@@ -96,8 +96,13 @@ def _spread(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def pair_coverage(pairwise: DataFrame, lane: DataFrame, duos: DataFrame, pool: DataFrame) -> DataFrame:
-    """Possible and observed pairs per magnitude, with the answers behind an observed pair."""
+def pair_coverage(
+    pairwise: DataFrame, lane: DataFrame, bot: DataFrame, duos: DataFrame, pool: DataFrame
+) -> DataFrame:
+    """Possible and observed pairs per magnitude, with the answers behind an observed pair.
+
+    ``bot`` holds the two-against-two lane answers, ``duos`` the synergy answers.
+    """
     ids = pool.select("item_id")
 
     def in_pool(df: DataFrame) -> DataFrame:
@@ -119,20 +124,18 @@ def pair_coverage(pairwise: DataFrame, lane: DataFrame, duos: DataFrame, pool: D
         .withColumn("magnitude", F.concat(F.lit("lane_strength "), "role"))
     )
     legal_duo = legal_duos(pool).distinct()
-    shown = duo_sides(duos).groupBy("duo_ctx", "duo").agg(F.count("*").alias("n"))
-    duo_rows = (
-        legal_duo.groupBy("duo_ctx")
-        .agg(F.count("*").alias("possible"))
-        .join(
-            _spread(shown.join(legal_duo, ["duo_ctx", "duo"], "left_semi"), ["duo_ctx"]),
-            "duo_ctx",
-            "left",
-        )
-        .withColumn("magnitude", F.concat(F.lit("synergy "), "duo_ctx"))
-    )
+    possible = legal_duo.groupBy("duo_ctx").agg(F.count("*").alias("possible"))
+
+    def duo_rows(answers: DataFrame, label: Column) -> DataFrame:
+        shown = duo_sides(answers).groupBy("duo_ctx", "duo").agg(F.count("*").alias("n"))
+        counted = _spread(shown.join(legal_duo, ["duo_ctx", "duo"], "left_semi"), ["duo_ctx"])
+        return possible.join(counted, "duo_ctx", "left").withColumn("magnitude", label)
+
+    synergy_rows = duo_rows(duos, F.concat(F.lit("synergy "), "duo_ctx"))
+    bot_rows = duo_rows(bot, F.lit("duo lane_strength bot")).filter("duo_ctx = 'bot'")
     columns = ["magnitude", "possible", "observed", "least", "median", "most"]
     out = score_rows.select(*columns)
-    for frame in (lane_rows, duo_rows):
+    for frame in (lane_rows, bot_rows, synergy_rows):
         out = out.unionByName(frame.select(*columns))
     return out.withColumn("observed", F.coalesce("observed", F.lit(0)))
 

@@ -264,6 +264,38 @@ def validate_pick_rate(snapshot: DataFrame) -> DataFrame:
     return outside.unionByName(twice).unionByName(repeated).unionByName(gaps)
 
 
+def validate_gold_entries(entries: DataFrame) -> DataFrame:
+    """Problems of a gold catalog file: (entry_id, problem).
+
+    Entries have name_a, name_b, dimension, expected and rationale. A pair may appear once per
+    dimension, in whichever order it is written.
+    """
+    blank = F.trim(F.coalesce("rationale", F.lit(""))) == ""
+    single = violations(
+        entries,
+        "entry_id",
+        [
+            (
+                F.col("name_a").isNull() | F.col("name_b").isNull() | F.col("dimension").isNull(),
+                "missing_field",
+            ),
+            (F.col("name_a") == F.col("name_b"), "same_item"),
+            (~F.col("dimension").isin(*S.GOLD_DIMENSIONS), "dimension_not_allowed"),
+            (~F.coalesce(F.col("expected").isin("a", "b"), F.lit(False)), "expected"),
+            (blank, "no_rationale"),
+        ],
+    ).withColumnRenamed("rule", "problem")
+    low, high = C.canonical_pair("name_a", "name_b")
+    keyed = entries.select("entry_id", low.alias("_a"), high.alias("_b"), "dimension")
+    first = keyed.groupBy("_a", "_b", "dimension").agg(F.min("entry_id").alias("_first"))
+    repeated = (
+        keyed.join(first, ["_a", "_b", "dimension"])
+        .filter(F.col("entry_id") != F.col("_first"))
+        .select("entry_id", F.lit("repeated_pair").alias("problem"))
+    )
+    return single.unionByName(repeated)
+
+
 def canonical_question(questions: DataFrame) -> DataFrame:
     """Members in canonical order, roles travelling with their item, the answer flipped when the
     two sides of the question change places."""

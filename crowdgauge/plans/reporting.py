@@ -184,16 +184,19 @@ c AS (
   SELECT 'score ' || dimension_id AS magnitude, count(*) AS n FROM wpairs WHERE choice IN ('a', 'b')
     AND item_a IN (SELECT item_id FROM pool) AND item_b IN (SELECT item_id FROM pool) GROUP BY dimension_id, item_a, item_b
   UNION ALL SELECT 'lane_strength ' || role, count(*) FROM wlane JOIN legal USING (role, item_a, item_b) GROUP BY role, item_a, item_b
+  UNION ALL SELECT 'duo lane_strength bot', count(*) FROM sides JOIN ld USING (duo_ctx, a, b, ra, rb) WHERE duo_ctx = 'bot' GROUP BY a, b, ra, rb
   UNION ALL SELECT 'synergy ' || duo_ctx, count(*) FROM sides JOIN ld USING (duo_ctx, a, b, ra, rb) GROUP BY duo_ctx, a, b, ra, rb),
 poss AS (
   SELECT DISTINCT 'score ' || dimension_id AS magnitude, (SELECT count(*) * (count(*) - 1) // 2 FROM pool) AS possible FROM wpairs
   UNION ALL SELECT 'lane_strength ' || role, count(*) FROM legal GROUP BY role
+  UNION ALL SELECT 'duo lane_strength bot', count(*) FROM ld WHERE duo_ctx = 'bot'
   UNION ALL SELECT 'synergy ' || duo_ctx, count(*) FROM ld GROUP BY duo_ctx)
 SELECT magnitude, possible, count(n) AS observed, min(n) AS least, median(CAST(n AS DOUBLE)) AS median, max(n) AS most
 FROM poss LEFT JOIN c USING (magnitude) GROUP BY 1, 2""",
 )
 def g1_pair_coverage(b):
-    return R.pair_coverage(b.wpairs, b.wlane, b.wduos, b.pool)
+    bot = b.wduos.filter("duo_ctx = 'bot'")
+    return R.pair_coverage(b.wpairs, b.wlane, bot, b.wduos, b.pool)
 
 
 @query(

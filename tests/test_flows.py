@@ -234,3 +234,22 @@ def test_members_inside_both_ways(spark, monkeypatch):
         monkeypatch.setattr(select, "CATALOG_LIMIT", limit)
         got = {r["question_id"] for r in select.members_inside(q, pool).collect()}
         assert got == {1, 3}
+
+
+def test_gold_catalog_files_are_checked(spark):
+    rows = [
+        (1, "A", "B", "poke", "a", "longer reach"),
+        (2, "B", "A", "poke", "b", "the same pair"),
+        (3, "C", "C", "poke", "a", "alone"),
+        (4, "A", "C", "scaling", "a", "no fact decides"),
+        (5, "A", "D", "peel", "even", " "),
+    ]
+    schema = "entry_id int, name_a string, name_b string, dimension string, expected string, rationale string"
+    got = {(r["entry_id"], r["problem"]) for r in validate.validate_gold_entries(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {
+        (2, "repeated_pair"),
+        (3, "same_item"),
+        (4, "dimension_not_allowed"),
+        (5, "expected"),
+        (5, "no_rationale"),
+    }
