@@ -1,7 +1,10 @@
 """The per-request and periodic work of a collection service as Structured Streaming jobs.
 
 All state lives in built-in aggregations, so a busy respondent is pre-aggregated before the
-shuffle. Watermarks bound state only; no answer is dropped for being late to its patch.
+shuffle. No answer is dropped for being late to its patch, and the ingest keeps every answer. The
+windowed and session results are bounded by their watermark: an answer that arrives later than
+``delay`` behind the newest one of an earlier trigger is left out of them. Choose the delay to cover
+how late answers come; the batch operators over the stored log are always complete.
 """
 
 from __future__ import annotations

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from crowdgauge import settings as S
-from crowdgauge.operators import candidates, merge, rankings, select, validate
+from crowdgauge.operators import behaviour, candidates, merge, rankings, select, validate
 from crowdgauge.plans import run as full
 from crowdgauge.sources import binding, catalogs, outputs
 from crowdgauge.streaming import streams
@@ -172,12 +173,21 @@ def test_next_questions_are_new_distinct_and_varied(spark):
 
 
 def test_streams_over_many_files_equal_the_batch(spark, tmp_path):
-    """The same log in eight files, one per trigger, against the batch twins."""
+    """The same log in eight files, one per trigger and newest first, against the batch twins.
+
+    Files are read by modification time. With the newest first, everything else is late: a
+    watermark that reaches over the whole log keeps it all, a short one drops answers.
+    """
     b = binding.Binding(spark, DIRECTORY)
     log = b.log.select("response_id", "respondent_id", "question_id", "type", "choice", "created_at", "is_gold", "expected")
     log = log.withColumn("is_retest_of", F.lit(None).cast("bigint"))
     path = str(tmp_path / "log")
     log.repartitionByRange(8, "created_at").write.parquet(path)
+    # part numbers follow the ranges, so the highest one holds the newest answers
+    parts = sorted((tmp_path / "log").glob("part-*.parquet"), reverse=True)
+    assert len(parts) == 8
+    for age, part in enumerate(parts):
+        os.utime(part, (1_700_000_000 + 60 * age,) * 2)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in log.schema.fields)
 
     def live():
@@ -188,12 +198,17 @@ def test_streams_over_many_files_equal_the_batch(spark, tmp_path):
     state = streams.drain(streams.running_counters(live(), log), str(tmp_path / "c"), "complete")
     twin = streams.running_counters(log, log)
     assert sorted(map(tuple, state.collect())) == sorted(map(tuple, twin.collect()))
-    sessions = streams.drain(streams.answer_sessions(live()), str(tmp_path / "s"), "complete")
-    from crowdgauge.operators import behaviour
 
-    best = {r["respondent_id"]: r["b"] for r in sessions.groupBy("respondent_id").agg(F.max("n").alias("b")).collect()}
-    want = {r["respondent_id"]: r["best_streak"] for r in behaviour.answer_streak(log).collect()}
-    assert best == want
+    def best(delay):
+        sessions = streams.answer_sessions(live(), delay=delay)
+        table = streams.drain(sessions, str(tmp_path / f"s-{delay}"), "complete")
+        grouped = table.groupBy("respondent_id").agg(F.max("n").alias("best"), F.sum("n").alias("answers"))
+        return {r["respondent_id"]: (r["best"], r["answers"]) for r in grouped.collect()}
+
+    volume = {r["respondent_id"]: r["n"] for r in log.groupBy("respondent_id").agg(F.count("*").alias("n")).collect()}
+    want = {r["respondent_id"]: (r["best_streak"], volume[r["respondent_id"]]) for r in behaviour.answer_streak(log).collect()}
+    assert best("60 days") == want
+    assert sum(n for _, n in best("1 hour").values()) < sum(volume.values())
 
 
 def test_admissible_with_and_without_a_folded_pool(spark, monkeypatch):
