@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdgauge.llm import text as X
@@ -29,8 +29,8 @@ from crowdgauge.llm.runs import shared_rows
 from crowdgauge.runtime import pin, unpin
 
 _U = np.uint64
-#: Members of a bucket that are compared with the whole bucket in one round.
-PIVOTS = 16
+#: Rows of a block when members of a group are compared with each other.
+BLOCK = 1024
 #: Ids that are broadcast to pick documents; above it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -192,6 +192,91 @@ def _plausible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _fold(rows: np.ndarray, words: int) -> np.ndarray:
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def _compare(percent: int):
+    """Plausible pairs of different labels between a group's queries and its data rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, label, size = (table.column(c).to_numpy() for c in ("cls", "label", "n_shingles"))
+        query = table.column("query").to_numpy()
+        lists = table.column("sketch").combine_chunks()
+        width = np.diff(lists.offsets.to_numpy())
+        bits = lists.values.to_numpy().view(_U)
+        at = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        left, right = [], []
+        for w in np.unique(width):
+            for v in np.unique(width):
+                short = min(w, v)
+                if max(w, v) > 2 * short:
+                    continue  # sizes too far apart
+                qs, ds = np.flatnonzero(query & (width == w)), np.flatnonzero(~query & (width == v))
+                if not len(qs) or not len(ds):
+                    continue
+                data = _fold(bits[at[ds][:, None] + np.arange(v)], short)
+                for i in range(0, len(qs), 256):
+                    q = qs[i : i + 256]
+                    part = _fold(bits[at[q][:, None] + np.arange(w)], short)
+                    apart = np.zeros((len(q), len(ds)), np.int64)
+                    for j in range(short):
+                        apart += np.bitwise_count(part[:, j, None] ^ data[None, :, j])
+                    x, y = size[q][:, None], size[ds][None, :]
+                    near = apart * (100 + percent) <= (100 - percent) * (x + y)
+                    near &= 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+                    near &= label[q][:, None] != label[ds][None, :]
+                    r, c = np.nonzero(near)
+                    left.append(cls[q[r]])
+                    right.append(cls[ds[c]])
+        a = np.concatenate(left) if left else np.zeros(0, np.int64)
+        b = np.concatenate(right) if right else np.zeros(0, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _within_groups(buckets: DataFrame, labels: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs (a, b) that meet in a bucket and have different labels.
+
+    Buckets of one label are settled. The members of all other buckets are gathered by the bucket's
+    centre, once for each centre and member, and only members apart from the centre's label are
+    compared with the rest: in blocks of ``BLOCK`` by ``BLOCK`` rows, on sketches alone, so a task
+    holds two blocks and emits only pairs that the exact sets must decide.
+    """
+    label = labels.select(F.col("node").alias("cls"), F.col("component").alias("label"))
+    main = labels.select(F.col("node").alias("center"), F.col("component").alias("main"))
+    marked = (
+        buckets.join(label, "cls", "left")
+        .join(main, "center", "left")
+        .withColumn("label", F.coalesce("label", "cls"))
+        .withColumn("main", F.coalesce("main", "center"))
+    )
+    unsettled = marked.filter("label <> main").select("key").distinct()
+    members = pin(
+        marked.join(unsettled, "key", "left_semi")
+        .select("center", "cls", "label", "main")
+        .distinct()
+    )
+    count = members.groupBy("center").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    blocked = (
+        members.join(count, "center")
+        .join(signs.select("cls", "n_shingles", "sketch"), "cls")
+        .withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    data = blocked.withColumn("other", every).withColumn("query", F.lit(False))
+    queries = blocked.filter("label <> main").withColumn("other", every).withColumn("query", F.lit(True))
+    columns = ["cls", "label", "n_shingles", "sketch", "query"]
+    rows = data.select("center", F.col("block").alias("d"), F.col("other").alias("q"), *columns).unionByName(
+        queries.select("center", F.col("other").alias("d"), F.col("block").alias("q"), *columns)
+    )
+    return rows.groupBy("center", "d", "q").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, k: int, fold: bool, percent: int) -> DataFrame:
     """Pinned pairs (a, b) whose exact sets are similar."""
     ids = pin(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
@@ -221,9 +306,9 @@ def jaccard_components(
 
     Documents link when ``100 * |intersection| >= percent * |union|`` of their distinct shingles of
     ``words`` words; a shorter text is one shingle. ``component_id`` is the smallest doc_id that links
-    reach. No link is lost: documents with equal sets are one class, buckets are compared round by
-    round, each time up to ``PIVOTS`` members with the whole bucket, until every bucket is one
-    component or all its members have been compared.
+    reach. No link is lost: documents with equal sets are one class; every member of a bucket is first
+    compared with the bucket's smallest, its centre, and then all members that are not yet in one
+    component with it are compared with the whole bucket.
 
     Null and empty texts have the empty set, size 0 and link with nothing. A null doc_id keeps its
     row, with a null component. Rows that repeat a doc_id are one document with several texts. Other
@@ -254,68 +339,22 @@ def jaccard_components(
     buckets = pin(places.join(shared.filter("center < top").drop("top"), "key"))
     unpin(met)
 
-    labels, links, seen, first = None, None, None, True
-    while True:
-        if labels is None:
-            marked = buckets.withColumn("label", F.col("cls")).withColumn("main", F.col("center"))
-        else:
-            named = labels.select(F.col("node").alias("cls"), F.col("component").alias("label"))
-            heads = labels.select(F.col("node").alias("center"), F.col("component").alias("main"))
-            marked = (
-                buckets.join(named, "cls", "left")
-                .join(heads, "center", "left")
-                .withColumn("label", F.coalesce("label", "cls"))
-                .withColumn("main", F.coalesce("main", "center"))
-            )
-        open_keys = marked.filter("label <> main").select("key").distinct()
-        marked = pin(marked.join(open_keys, "key", "left_semi"))
-        if marked.isEmpty():
-            unpin(marked)
-            break
-        pivots = marked.filter("cls = center").select("key", F.col("cls").alias("p"), F.col("label").alias("pl"))
-        if not first:
-            turn = Window.partitionBy("key").orderBy("cls")
-            others = (
-                marked.filter("label <> main")
-                .withColumn("turn", F.row_number().over(turn))
-                .filter(F.col("turn") <= PIVOTS)
-                .select("key", F.col("cls").alias("p"), F.col("label").alias("pl"))
-            )
-            others = pin(others)
-            pivots = pivots.unionByName(others)
-        pairs = (
-            marked.join(pivots, "key")
-            .filter("label <> pl")
-            .select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
-            .distinct()
-        )
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        likely = _plausible(pairs, sketches, percent)
-        if first:
-            # one centre a member is enough to begin with; the rest is open only if that one fails
-            likely = likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        likely = pin(likely)
-        if not likely.isEmpty():
-            new = _linked(likely, docs, words, fold, percent)
-            links_before, seen_before, labels_before = links, seen, labels
-            links = new if links is None else pin(links.unionByName(new))
-            seen = likely if seen is None else pin(seen.unionByName(likely))
-            labels = components(links)
-            unpin(*(d for d in (links_before, seen_before, labels_before) if d is not None and d is not links and d is not seen))
-        if not first:
-            # what was compared with its whole bucket needs no further turn there
-            rest = marked.join(others.select("key", F.col("p").alias("cls")), ["key", "cls"], "left_anti")
-            kept = pin(rest.select("key", "cls", "center"))
-        else:
-            kept = pin(marked.select("key", "cls", "center"))
-        unpin(buckets, marked)
-        buckets, first = kept, False
-
-    named = member
-    if labels is not None:
-        found = labels.select(F.col("node").alias("cls"), "component")
-        named = member.join(found, "cls", "left").withColumn("cls", F.coalesce("component", "cls"))
+    centers = buckets.filter("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b"))
+    likely = _plausible(centers.distinct(), sketches, percent)
+    # one centre a member is enough to begin with; the rest is compared in its group
+    likely = pin(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = _linked(likely, docs, words, fold, percent)
+    labels = components(links)
+    rest = pin(_within_groups(buckets, labels, sketches, percent).join(likely, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        more = _linked(rest, docs, words, fold, percent)
+        unpin(labels)
+        labels = components(links.unionByName(more))
+        unpin(more)
+    unpin(buckets, likely, rest, links)
+
+    found = labels.select(F.col("node").alias("cls"), "component")
+    named = member.join(found, "cls", "left").withColumn("cls", F.coalesce("component", "cls"))
     lowest = named.groupBy("doc_id").agg(F.min("cls").alias("cls"))
     return sizes.join(lowest, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("cls", "doc_id").alias("component_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdgauge.llm import langid, line_dedup, mixing, ngram_join, packing
+from crowdgauge.llm import knn_join, langid, line_dedup, mixing, multi_index, ngram_join, packing, substring
 from crowdgauge.llm.queries import query, table
 
 
@@ -127,3 +127,40 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(
         "doc_id", "size", "source_size", "target", "taken", first.alias("first_position")
     ).orderBy("first_position", "doc_id")
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document and those that windows of 50 words repeat from smaller ids."""
+    done = substring.dedup_substrings(table(spark, sf_dir, "documents"), k=50)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op7_embedding_near_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 among vectors of a label, and their components."""
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op9_exact_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, [floor(64 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), s AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+    ), r AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+        FROM s
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best others of every twentieth vector."""
+    return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
