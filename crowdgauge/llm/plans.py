@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdgauge.llm import knn_join, langid, line_dedup, mixing, multi_index, ngram_join, packing, substring
+from crowdgauge.llm import (
+    chains,
+    knn_join,
+    langid,
+    line_dedup,
+    mixing,
+    multi_index,
+    ngram_join,
+    packing,
+    rollup,
+    substring,
+)
 from crowdgauge.llm.queries import query, table
+from crowdgauge.runtime import ensure_checkpoint_dir, pin
 
 
 @query("op1_ngram_jaccard")
@@ -164,3 +178,68 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best others of every twentieth vector."""
     return knn_join.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op4_toxicity_chain")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of low quality, then of toxicity, of every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    given = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return chains.predict(docs, chains.learn(docs, given, ["low_quality", "toxic"]))
+
+
+#: Words; words that hold a letter or digit; runs of letters and digits and single other characters.
+_COUNTS = {
+    "words": r"[^\x20\x09-\x0D]+",
+    "spoken": r"[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*",
+    "pieces": r"[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]",
+}
+
+
+@query(
+    "op10_token_rollup",
+    r"""
+    WITH d AS (
+        SELECT source, lang,
+               row_number() OVER (PARTITION BY text ORDER BY doc_id) AS turn, text,
+               len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]*[\p{L}\p{N}][^\x20\x09-\x0D]*')) AS spoken,
+               len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\x20\x09-\x0D\p{L}\p{N}]')) AS pieces
+        FROM documents
+    ), k AS (SELECT * FROM d WHERE turn = 1 OR text IS NULL)
+    SELECT source, lang, 'words/1' AS tokenizer, count(*) AS documents, CAST(sum(spoken) AS BIGINT) AS tokens
+    FROM k GROUP BY source, lang
+    UNION ALL
+    SELECT source, lang, 'words/2', count(*), CAST(sum(pieces) AS BIGINT) FROM k GROUP BY source, lang
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after five batches over all documents: loaded under one tokenizer, counts revised,
+    loaded under a second one, copies of earlier texts deleted from both, two batches sent again."""
+    docs = table(spark, sf_dir, "documents")
+    count = lambda p: F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("bigint")
+    sized = pin(
+        docs.select(
+            "doc_id", "source", "lang", F.md5("text").alias("digest"), *(count(p).alias(n) for n, p in _COUNTS.items())
+        )
+    )
+    firsts = sized.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = pin(sized.join(firsts, "digest").filter("doc_id > first"))
+
+    def change(rows: DataFrame, op: str, tokenizer: str, tokens: str, old: str | None = None) -> DataFrame:
+        before = F.col(old) if old else F.lit(None).cast("bigint")
+        return rows.select(
+            F.lit(op).alias("op"), "source", "lang", F.lit(tokenizer).alias("tokenizer"),
+            F.col(tokens).alias("tokens"), before.alias("old_tokens"),
+        )
+
+    load = change(sized, "insert", "words/1", "words")
+    gone = change(copies, "delete", "words/1", "spoken").unionByName(change(copies, "delete", "words/2", "pieces"))
+    totals = rollup.TokenRollup(spark, f"{ensure_checkpoint_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    totals.commit("load", load)
+    totals.commit("recount", change(sized, "revise", "words/1", "spoken", "words"))
+    totals.commit("second tokenizer", change(sized, "insert", "words/2", "pieces"))
+    totals.commit("copies", gone)
+    totals.compact()
+    totals.commit("load", load)
+    totals.commit("copies", gone)
+    return totals.totals()
