@@ -33,7 +33,7 @@ def _word_lists(column: pa.Array):
 
 
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in X.small(batches):
         lists = []
         for low, high, doc, hashes in _word_lists(batch.column("text")):
             cuts = np.searchsorted(doc, np.arange(high - low + 1))
@@ -229,7 +229,7 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Chain = shared.value
-        for batch in batches:
+        for batch in X.small(batches):
             parts = [[np.zeros(0)] for _ in names]
             for low, high, doc, hashes in _word_lists(batch.column("text")):
                 for part, p in zip(parts, model.probabilities(*model.places(doc, hashes), high - low), strict=True):

@@ -38,7 +38,7 @@ SCRIPTS = (
 )
 BUCKETS = 1 << 16
 UNDETERMINED = "und"
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _GAP = 32
 _OTHER = len(SCRIPTS)
 
@@ -87,7 +87,7 @@ def _words(raw: np.ndarray, starts: np.ndarray):
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts of each language's buckets and scripts, one set of rows per task."""
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in X.small(batches):
         langs = batch.column("lang").to_pylist()
         for low, high, raw, starts in X.chunks(batch.column("text"), _CHUNK):
             bucket, size, script, words, _, _ = _words(raw, starts)
@@ -216,7 +216,7 @@ def _predict(shared, penalty: float, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         names = np.array([*model.langs, UNDETERMINED], object)
-        for batch in batches:
+        for batch in X.small(batches):
             out = [[], [], [], [], [], []]
             for low, high, raw, starts in X.chunks(batch.column("text"), _CHUNK):
                 for whole, part in zip(out, _predict_chunk(model, raw, starts, penalty), strict=True):

@@ -40,7 +40,7 @@ def _windows(raw: np.ndarray, starts: np.ndarray, width: int):
 
 def _window_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.small(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for low, high, raw, starts in X.chunks(batch.column("text")):
                 keys, first, begin, _ = _windows(raw, starts, width)
@@ -63,7 +63,7 @@ def _window_rows(width: int):
 
 def _rebuild(width: int, text: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.small(batches):
             column = batch.column(text)
             repeats = batch.column("_repeats")
             out, counts, gone_counts = [], [], []

@@ -109,7 +109,7 @@ def bit_sketch(found: np.ndarray) -> np.ndarray:
 
 def _signatures(k: int, fold: bool, bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.small(batches):
             sizes, sums, xors, keys, sketches = [], [], [], [], []
             for found in X.shingle_sets(batch.column("text"), k, fold):
                 sizes.append(len(found))
@@ -142,7 +142,7 @@ def shingle_arrays(docs: DataFrame, k: int, fold: bool) -> DataFrame:
     """(doc_id, shingles): the distinct shingle hashes of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.small(batches):
             sets = [X.signed(s) for s in X.shingle_sets(batch.column("text"), k, fold)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), X.list_array(sets, pa.int64())], names=["doc_id", "shingles"]

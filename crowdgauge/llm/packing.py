@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crowdgauge.llm import text as X
 from crowdgauge.llm import tokens
 from crowdgauge.runtime import pin
 
@@ -128,7 +129,7 @@ def _place(capacity: int, windows: int, end_id: int, ranks: str | None):
         task = TaskContext.get().partitionId()
         packer = Packer(capacity, windows, task << 32)
         end = np.array([end_id], np.uint32)
-        for batch in batches:
+        for batch in X.small(batches):
             ids = batch.column("doc_id").to_pylist()
             for doc, found in zip(ids, tokens.encode(batch.column("text"), ranks), strict=True):
                 packer.add(doc, 0, np.concatenate([found, end]), len(found) + 1)

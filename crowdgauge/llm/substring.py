@@ -60,7 +60,7 @@ def _grams(column: pa.Array, k: int):
 
 def _anchor_rows(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.small(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             keys, docs, places = [], [], []
             for row, _, grams in _grams(batch.column("text"), k):
@@ -85,7 +85,7 @@ def _segment_rows(k: int):
     """The words around each shared anchor: from the first window that can hold it to the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.small(batches):
             lists = batch.column("anchors")
             docs = batch.column("doc_id")
             keys, own, begins, names, words = [], [], [], [], []
@@ -187,7 +187,7 @@ def _covered(hits, n: int) -> np.ndarray:
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in X.small(batches):
         hits, texts, counts, gone = batch.column("hits"), [], [], []
         marked = ~np.asarray(hits.is_null())
         for low, _, raw, starts in X.chunks(batch.column("text")):

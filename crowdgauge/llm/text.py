@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,37 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
         row = end
 
 
+def small(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``size`` bytes of text each, or one longer text.
+
+    What a task holds beside its input stays small that way. At the end, and now and then, memory that
+    is free is given back, because Python workers live on between tasks.
+    """
+    for turn, batch in enumerate(batches):
+        if not batch.num_rows:
+            yield batch
+            continue
+        _, starts = buffers(batch.column(column))
+        row = 0
+        while row < batch.num_rows:
+            end = int(np.searchsorted(starts, starts[row] + size, side="right")) - 1
+            end = min(batch.num_rows, max(end, row + 1))
+            yield batch.slice(row, end - row)
+            row = end
+        if turn % 4 == 3:
+            give_back()
+    give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def spans(solid: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(begin, end) of maximal runs of solid bytes that no document border crosses, and the index of
     every document's first run."""

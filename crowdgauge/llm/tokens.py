@@ -19,7 +19,7 @@ from crowdgauge.llm import text as X
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of text whose pieces are encoded together.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 @lru_cache(maxsize=2)
