@@ -334,10 +334,12 @@ def jaccard_components(
     sizes = pin(signs.select("doc_id", "n_shingles"))
     unpin(signs)
 
-    places = met.join(member, "doc_id").select("key", "cls").distinct()
+    places = pin(met.join(member, "doc_id").select("key", "cls").distinct())
     shared = places.groupBy("key").agg(F.min("cls").alias("center"), F.max("cls").alias("top"))
-    buckets = pin(places.join(shared.filter("center < top").drop("top"), "key"))
-    unpin(met)
+    # written first: a join with a table of its own can split a hot key, one with an aggregate cannot
+    shared = pin(shared.filter("center < top").drop("top"))
+    buckets = pin(places.join(shared, "key"))
+    unpin(met, shared, places)
 
     centers = buckets.filter("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b"))
     likely = _plausible(centers.distinct(), sketches, percent)

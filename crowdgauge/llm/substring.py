@@ -137,17 +137,19 @@ def _search(k: int):
         index = FMIndex(texts)
         least, _ = matching_minima(index, texts, first, size, of_place[index.suffixes], k)
         hit = least < of_place
-        # runs of hit windows: each covers its words and k - 1 more
-        change = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-        segment = np.searchsorted(first, begin, side="right") - 1
+        # a segment has fewer windows than a window has words, so its hit windows cover one interval
+        at = np.flatnonzero(least < of_place)
+        of_hit = np.searchsorted(first, at, side="right") - 1
+        edge = np.append(True, of_hit[1:] != of_hit[:-1]) if len(at) else np.zeros(0, bool)
+        begin, end = at[edge], at[np.append(edge[1:], True) if len(at) else edge] + k
+        segment = of_hit[edge]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(table.column("key").to_numpy()[segment], pa.int64()),
                 pa.array(table.column("segment").to_numpy()[segment], pa.int64()),
                 pa.array(docs[segment], pa.int64()),
                 pa.array(begin - first[segment], pa.int32()),
-                pa.array(end - 1 + k - first[segment], pa.int32()),
+                pa.array(end - first[segment], pa.int32()),
             ],
             names=["key", "segment", "doc_id", "low", "high"],
         )
@@ -218,9 +220,11 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> DataFrame:
     rows = docs.mapInArrow(_anchor_rows(k), "key bigint, doc_id bigint, place int")
     met = pin(shared_rows(rows, "key", "doc_id", "place"))
     among = met.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    held = met.join(among.filter("low < high").select("key"), "key", "left_semi")
+    # written first: a join with a table of its own can split a hot key, one with an aggregate cannot
+    several = pin(among.filter("low < high").select("key"))
+    held = met.join(several, "key", "left_semi")
     placed = pin(held.groupBy("doc_id").agg(F.collect_list(F.struct("place", "key")).alias("anchors")))
-    unpin(met)
+    unpin(met, several)
     ids = pin(placed.select("doc_id"))
     texts = pick(docs, ids).join(placed, "doc_id")
     segments = pin(
@@ -235,7 +239,7 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> DataFrame:
         codec="zstd",
     )
     unpin(placed, ids)
-    sizes = firsts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    sizes = pin(firsts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
     blocks = F.ceil(F.col("n") / F.lit(BLOCK))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
     dealt = (
