@@ -64,22 +64,30 @@ class Grid:
         cells = []
         for a, b in zip(first, second, strict=True):
             rows, columns = np.flatnonzero(a <= self.limit), np.flatnonzero(b <= self.limit)
-            total = a[rows][:, None] + b[columns][None, :]
+            total = np.round(a[rows][:, None] + b[columns][None, :], 10)
             i, j = np.nonzero(total <= self.limit)
             order = np.argsort(total[i, j], kind="stable")
             cells.append((rows[i] * len(self.books[1]) + columns[j])[order])
         return cells
 
+    def sums(self, first: np.ndarray, second: np.ndarray, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The bound of each (row, cell), rounded so that it is the same wherever it is computed."""
+        n = len(self.books[1])
+        return np.round(first[row, cell // n] + second[row, cell % n], 10)
+
     def _calibrated(self, units: np.ndarray, threshold: float, recall: float) -> float:
-        """The limit that reaches the recall among the similar pairs of the sample."""
+        """The limit up to which that share of the sample's linked vectors meet all their links."""
         first, second = self.bounds(units)
         cell = self.home(units)
-        i, j = np.nonzero(units @ units.T >= threshold)
-        i, j = i[i != j], j[i != j]
-        if not len(i):
+        worst = np.full(len(units), -1.0)
+        for i in range(0, len(units), 1024):
+            r, c = np.nonzero(units[i : i + 1024] @ units.T >= threshold)
+            r = r + i
+            np.maximum.at(worst, r[r != c], self.sums(first, second, r[r != c], cell[c[r != c]]))
+        linked = worst[worst >= 0]
+        if not len(linked):
             return self.most
-        total = first[i, cell[j] // len(self.books[1])] + second[i, cell[j] % len(self.books[1])]
-        return min(self.most, float(np.quantile(total, recall, method="higher")) + _SLACK)
+        return min(self.most, float(np.quantile(linked, recall, method="higher")) + _SLACK)
 
 
 def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,22 +126,31 @@ def _place(shared):
     return run
 
 
-def _compare(threshold: float):
-    """Links of a group's queries, and a forest that joins what the links join within the group."""
+def _compare(threshold: float, shared):
+    """Links of a group's queries, and a forest that joins what the links join within the group.
+
+    A link whose data vector does not visit the query's own cell is counted for both here.
+    """
 
     def run(table: pa.Table) -> pa.Table:
+        grid: Grid = shared.value
         query = table.column("query").to_numpy()
         cls = table.column("cls").to_numpy()
-        copies = table.column("copies").to_numpy()
+        copies, home = table.column("copies").to_numpy(), table.column("home").to_numpy()
         flat = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64)
         units = flat.reshape(len(query), -1)
         q, d = np.flatnonzero(query), np.flatnonzero(~query)
         links = units[q] @ units[d].T >= threshold
         links &= cls[q][:, None] != cls[d][None, :]
         r, c = np.nonzero(links)
-        q, d = q[np.unique(r)], d[np.unique(c)]
-        links = links[np.ix_(np.unique(r), np.unique(c))]
+        some_q, r = np.unique(r, return_inverse=True)
+        some_d, c = np.unique(c, return_inverse=True)
+        q, d, links = q[some_q], d[some_d], links[np.ix_(some_q, some_d)]
         count = links @ copies[d]
+        back = np.zeros(len(d), np.int64)
+        if len(d) and grid.limit < grid.most:
+            alone = grid.sums(*grid.bounds(units[d]), c, home[q][r]) > grid.limit
+            np.add.at(back, c[alone], copies[q][r[alone]])
         root_q, root_d = cls[q].copy(), cls[d].copy()
         top = np.iinfo(np.int64).max
         while len(q):
@@ -146,7 +163,7 @@ def _compare(threshold: float):
             {
                 "a": np.concatenate([cls[q], cls[d]]),
                 "b": np.concatenate([root_q, root_d]),
-                "n": np.concatenate([count, np.zeros(len(d), np.int64)]).astype(np.int64),
+                "n": np.concatenate([count, back]).astype(np.int64),
             }
         )
 
@@ -156,9 +173,9 @@ def _compare(threshold: float):
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.98,
-    codes: int = 32,
+    codes: int = 16,
     sample: int = 8_192,
-    recall: float = 1.0,
+    recall: float = 0.999,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of ``vectors(vec_id, embedding, label)``.
 
@@ -166,8 +183,9 @@ def near_duplicates(
     is at least ``threshold``. Null and zero vectors and those with a null or non-finite component
     link with nothing. ``component_id`` is the smallest vec_id that links reach; ``kept`` says that it
     is the vector's own. The codebooks are fitted on ``sample`` vectors at most, chosen by the hash of
-    their id; every vector is indexed. A target ``recall`` of 1 visits every cell that can hold a
-    link, so none is lost; a smaller one stops earlier, by the sample's pairs. Equal vectors are
+    their id; every vector is indexed. The traversal goes as far as that share ``recall`` of the sample's
+    linked vectors needs to meet all their links; with 1, or a sample without links, it visits every
+    cell that can hold a link. A link counts for both ends, whichever of them meets the other. Equal vectors are
     compared once and counted as often as they occur; the vectors of a cell are compared in blocks.
     Rows that repeat a vec_id are vectors of their own. Other columns are ignored.
     """
@@ -211,7 +229,7 @@ def near_duplicates(
     blocks = pin(held.join(asked, cell))
     block = lambda n: F.pmod(F.xxhash64("cls"), n)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    columns = [*cell, "d", "q", "cls", "copies", "unit", "query"]
+    columns = [*cell, "d", "q", "cls", "copies", "home", "unit", "query"]
     rows = (
         data.join(blocks, cell)
         .withColumns({"d": block("d_blocks"), "query": F.lit(False)})
@@ -224,7 +242,7 @@ def near_duplicates(
             .select(*columns)
         )
     )
-    found = pin(rows.groupBy(*cell, "d", "q").applyInArrow(_compare(threshold), "a bigint, b bigint, n bigint"))
+    found = pin(rows.groupBy(*cell, "d", "q").applyInArrow(_compare(threshold, shared), "a bigint, b bigint, n bigint"))
     counts = found.groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("n"))
     labels = components(found.select("a", "b"))
     valid = placed.select("cls", "copies")
