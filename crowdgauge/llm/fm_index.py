@@ -52,8 +52,8 @@ class WaveletMatrix:
 class FMIndex:
     """Index of texts over a dense alphabet; patterns of at most ``depth`` symbols are exact.
 
-    ``texts`` are the symbols 1..n of all texts one after the other, each ended by 0. Suffixes are
-    ordered by their first ``depth`` symbols.
+    ``texts`` are the symbols 1..n of all texts one after the other, each ended by 0; patterns hold no 0.
+    Suffixes are ordered by their first ``depth`` symbols.
     """
 
     def __init__(self, texts: np.ndarray, depth: int = 128):

@@ -266,7 +266,8 @@ def _predict_chunk(model: Model, raw: np.ndarray, starts: np.ndarray, penalty: f
             bytes_of = np.bincount(label, weights=size[a:z], minlength=none)
             best = int(bytes_of.argmax())
             total = scores[a:z].sum(axis=0, dtype=np.float64)
-            posterior = 1.0 / np.exp(np.minimum(total - total[best], 50.0)).sum()
+            # one span: how sure the whole text is; several: the text is mixed, and the share tells
+            posterior = 1.0 / np.exp(np.minimum(total - total[best], 50.0)).sum() if len(firsts) == 1 else 1.0
             lang[i], share[i] = best, bytes_of[best] / bytes_of.sum() * posterior
             count[i] = len(firsts)
             begin.append(b[firsts] - starts[i])
@@ -279,8 +280,8 @@ def _predict_chunk(model: Model, raw: np.ndarray, starts: np.ndarray, penalty: f
 def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and spans (begin, end, lang; offsets in UTF-8 bytes).
 
-    ``lang_pred`` has most bytes of letters; ``score`` is its share of them times its probability for
-    the whole text. Null and empty texts and texts without a letter are ``und`` with score 0 and
+    ``lang_pred`` has most bytes of letters; ``score`` is its share of them, and where all are its own,
+    its probability for the whole text. Null and empty texts and texts without a letter are ``und`` with score 0 and
     without spans, and so is everything if nothing was learned. Only ``text`` is read; other columns
     pass unchanged, and must not be called like the three new ones.
     """

@@ -39,14 +39,17 @@ def encoder(ranks: str | None = None):
     return tiktoken.Encoding("bpe", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={}), sizes
 
 
+def _surely_solid(raw: np.ndarray) -> np.ndarray:
+    """Last bytes of characters that are no white space: ASCII, and two bytes from U+00C0 on."""
+    solid = X._SOLID[raw] & (raw < 128)
+    solid[1:] |= (raw[1:] >= 128) & (raw[:-1] >= 0xC3) & (raw[:-1] <= 0xDF)
+    return solid
+
+
 def _cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Begins of pieces: documents, and ASCII white space after a character that is surely none."""
-    space = ~X._SOLID[raw]
-    before = np.zeros(len(raw), bool)  # the character before is not white space
-    before[1:] = ~space[:-1] & (raw[:-1] < 128)
-    # two-byte characters from U+00C0 on: none of them is white space
-    before[2:] |= (raw[1:-1] >= 128) & (raw[:-2] >= 0xC3) & (raw[:-2] <= 0xDF)
-    begin = space & before
+    begin = np.zeros(len(raw), bool)
+    begin[1:] = ~X._SOLID[raw[1:]] & _surely_solid(raw)[:-1]
     begin[starts[:-1][starts[:-1] < len(raw)]] = True
     return np.flatnonzero(begin)
 
@@ -61,10 +64,8 @@ def _encode_pieces(raw: np.ndarray, starts: np.ndarray, ranks: str | None):
     hashes = X.span_hashes(raw, begin, end, X._BYTES)
     _, at, back = np.unique(hashes, return_index=True, return_inverse=True)
     b, e = begin[at], end[at]
-    # pieces that do not start with white space or hold nothing else could grow together: apart
-    solid = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(X._SOLID[raw], out=solid[1:])
-    joins = ~X._SOLID[raw[b]] & (solid[e] > solid[b])
+    # pieces that do not start with white space, or may end with it, could grow together: apart
+    joins = ~X._SOLID[raw[b]] & _surely_solid(raw)[e - 1]
     ids, counts = [], np.zeros(len(at), np.int64)
     many = np.flatnonzero(joins)
     if len(many):
