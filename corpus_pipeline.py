@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from crowdgauge.llm import langid, line_dedup, mixing, ngram_join, packing
 from crowdgauge.runtime import pin
 
-#: A document whose language is no surer than this is rejected.
-LEAST_SCORE = 0.5
+#: A document whose language is no surer than this is rejected. Short and evenly mixed texts are kept.
+LEAST_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
