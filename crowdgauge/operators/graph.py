@@ -15,8 +15,6 @@ from crowdgauge.operators.estimate import decisive
 from crowdgauge.operators.scan import largest_group
 from crowdgauge.runtime import pin
 
-MAX_ROUNDS = 64
-REDRAWS = 10
 
 
 def both_ways(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -33,7 +31,7 @@ def components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataF
     keys = list(keys)
     links = pin(both_ways(edges, keys))
     labels = nodes.select(*keys, "node").distinct().withColumn("label", F.col("node"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         heard = (
             links.join(labels.withColumnRenamed("node", "v"), [*keys, "v"])
             .groupBy(*keys, F.col("u").alias("node"))
@@ -55,7 +53,6 @@ def components(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataF
         labels = jumped.drop("_old")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 EDGES_PER_TASK = 500_000
@@ -156,7 +153,7 @@ def kept_bridges(
     kept = None
     current = labels
     bridges = pin(marked.select(key, "question_id", "u", "v"))
-    for _ in range(MAX_ROUNDS):
+    while True:
         ends = current.select(key, F.col("node"), F.col("label"))
         crossing = (
             bridges.join(ends.withColumnRenamed("node", "u").withColumnRenamed("label", "lu"), [key, "u"])
@@ -188,54 +185,75 @@ def kept_bridges(
     return kept, current
 
 
-def bridge_chain(
-    labels: DataFrame, gold: DataFrame, seed: int, key: str = "dimension_id"
+def bridge_round(
+    labels: DataFrame, gold: DataFrame, seed: int, upward: bool, key: str = "dimension_id"
 ) -> DataFrame:
-    """A chain of new bridges through the components in a hash-drawn order, never a gold pair.
+    """(key, label, item_a, item_b): for each component one allowed pair with an earlier one, if any is.
 
-    Each component offers one hash-drawn member per redraw. A component that cannot be joined to
-    the one before it without hitting gold is tried against earlier ones, nearest first. The
-    windows hold components of one graph, never its answers.
+    Nodes are numbered by component, then by hash, so those of earlier components come first. A member
+    with fewer gold partners among them than there are has an allowed partner among its first gold
+    partners + 1 of them: only so many are looked at, which together is no more than gold pairs and
+    components. ``upward`` orders components the other way round.
     """
-    roots = labels.select(key, "label").distinct()
-    place = F.row_number().over(
-        Window.partitionBy(key).orderBy(C.hash_draw(seed, key, "label"), "label")
-    )
-    placed = roots.withColumn("place", place)
-    draws = F.explode(F.sequence(F.lit(1), F.lit(REDRAWS))).alias("draw")
-    members = (
-        labels.select(key, "label", "node", draws)
-        .groupBy(key, "label", "draw")
-        .agg(F.min_by("node", F.struct(C.hash_draw(seed, key, "draw", "node"), F.col("node"))).alias("node"))
-        .join(placed, [key, "label"])
+    order = F.col("label").desc() if upward else F.col("label").asc()
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order, C.hash_draw(seed, key, "node"), "node"))
+    placed = pin(labels.select(key, "node", "label", place.alias("place")))
+    earlier = placed.groupBy(key, "label").agg((F.min("place") - 1).alias("earlier"))
+    nodes = placed.join(earlier, [key, "label"])
+    pairs = gold.select(key, F.col("item_a").alias("x"), F.col("item_b").alias("y"))
+    both = pairs.unionByName(pairs.select(key, F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    other = placed.select(key, F.col("node").alias("y"), F.col("place").alias("py"))
+    own = nodes.select(key, F.col("node").alias("x"), "earlier")
+    taken = (
+        both.join(own, [key, "x"]).join(other, [key, "y"]).filter(F.col("py") <= F.col("earlier"))
+    ).groupBy(key, F.col("x").alias("node")).agg(F.count("*").alias("taken"))
+    free = (
+        nodes.join(taken, [key, "node"], "left")
+        .withColumn("taken", F.coalesce("taken", F.lit(0)))
+        .filter(F.col("taken") < F.col("earlier"))
     )
-    left = members.select(key, "draw", F.col("node").alias("x"), F.col("place").alias("px"))
-    right = members.select(key, "draw", F.col("node").alias("y"), F.col("place").alias("py"))
+    drawn = F.struct(C.hash_draw(seed, key, "node"), F.col("node"))
+    members = free.groupBy(key, "label").agg(F.min_by(F.struct("node", "taken"), drawn).alias("m"))
+    looked = members.select(
+        key, "label", F.col("m.node").alias("x"), F.explode(F.sequence(F.lit(1), F.col("m.taken").cast("int") + 1)).alias("py")
+    ).join(other, [key, "py"])
+    allowed = looked.join(both, [key, "x", "y"], "left_anti")
+    best = allowed.groupBy(key, "label").agg(F.min_by(F.struct("x", "y"), "py").alias("b"))
     low, high = C.canonical_pair("x", "y")
+    return best.select(key, "label", "b.x", "b.y").select(key, "label", low.alias("item_a"), high.alias("item_b"))
 
-    def offers(step) -> DataFrame:
-        return (
-            left.join(right, [key, "draw"])
-            .filter(step)
-            .select(key, "draw", "px", "py", low.alias("item_a"), high.alias("item_b"))
-            .join(gold.select(key, "item_a", "item_b"), [key, "item_a", "item_b"], "left_anti")
-        )
 
-    best = F.struct(-F.col("px"), F.col("draw"))
-    pick = F.min_by(F.struct("px", "item_a", "item_b"), best).alias("b")
-    next_to = offers(F.col("px") == F.col("py") - 1).groupBy(key, "py").agg(pick)
-    open_places = placed.filter("place > 1").select(key, F.col("place").alias("py")).join(
-        next_to.select(key, "py"), [key, "py"], "left_anti"
-    )
-    further = (
-        offers(F.col("px") < F.col("py") - 1)
-        .join(open_places, [key, "py"], "left_semi")
-        .groupBy(key, "py")
-        .agg(pick)
-    )
-    return next_to.unionByName(further).select(
-        key, F.col("py").alias("place"), "b.px", "b.item_a", "b.item_b"
-    )
+def new_bridges(labels: DataFrame, gold: DataFrame, seed: int, key: str = "dimension_id") -> DataFrame:
+    """Pairs that join all components that allowed pairs can join, none of them gold.
+
+    Every round each component takes one pair with an earlier one, so no circle arises; then the
+    components merge. Rounds look at earlier and later components by turns and end when neither finds
+    a pair.
+    """
+    found, current, idle, turn = None, labels, 0, 0
+    while idle < 2:
+        step = pin(bridge_round(current, gold, seed + turn, turn % 2 == 1, key))
+        turn += 1
+        if step.isEmpty():
+            idle += 1
+            continue
+        idle = 0
+        found = step if found is None else found.unionByName(step)
+        ends = current.select(key, "node", "label")
+        joins = (
+            step.select(key, "item_a", "item_b")
+            .join(ends.select(key, F.col("node").alias("item_a"), F.col("label").alias("u")), [key, "item_a"])
+            .join(ends.select(key, F.col("node").alias("item_b"), F.col("label").alias("v")), [key, "item_b"])
+            .select(key, "u", "v")
+        )
+        roots = current.select(key, F.col("label").alias("node")).distinct()
+        merged = components(joins, roots, [key]).select(
+            key, F.col("node").alias("label"), F.col("label").alias("_root")
+        )
+        current = pin(
+            current.join(merged, [key, "label"]).select(key, "node", F.col("_root").alias("label"))
+        )
+    return step.select(key, "item_a", "item_b") if found is None else found.select(key, "item_a", "item_b")
 
 
 def bridge_plan(
@@ -261,7 +279,7 @@ def bridge_plan(
             F.col("question_id").cast("bigint").alias("question_id"),
         )
 
-    new = bridge_chain(joined, gold, seed, key).select(
+    new = new_bridges(joined, gold, seed, key).select(
         key, F.lit("mark").alias("action"), "item_a", "item_b", none.alias("question_id")
     )
     return old(kept, "keep").unionByName(old(cleared, "clear")).unionByName(new)

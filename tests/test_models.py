@@ -119,6 +119,37 @@ def test_bridge_plan_joins_everything_and_avoids_gold(spark):
     assert len(new) == 3  # four components after the kept bridge
 
 
+def test_bridge_plan_joins_all_that_allowed_pairs_can_join(spark):
+    """Every dimension is another graph: nearly all pairs gold, in every order, some beyond joining."""
+    rng = random.Random(4)
+    edges, nodes, gold = [], [], []
+    for d in range(12):
+        n = rng.randint(3, 7)
+        pairs = [(a, b) for a in range(n) for b in range(a + 1, n)]
+        nodes += [(d, i) for i in range(n)]
+        gold += [(d, a, b) for a, b in pairs if rng.random() < (0.2, 0.6, 0.9, 1.0)[d % 4]]
+        edges += [(d, a, b) for a, b in pairs if rng.random() < 0.1]
+    nodes += [(99, i) for i in range(6)]
+    gold += [(99, 0, 1), (99, 1, 2), (99, 2, 3)]
+    plan = graph.bridge_plan(
+        spark.createDataFrame(edges, "dimension_id int, u int, v int"),
+        spark.createDataFrame(nodes, "dimension_id int, node int"),
+        spark.createDataFrame([], "dimension_id int, u int, v int, question_id bigint"),
+        spark.createDataFrame(gold, "dimension_id int, item_a int, item_b int"),
+        seed=5,
+    ).collect()
+    new = [(r["dimension_id"], r["item_a"], r["item_b"]) for r in plan]
+    assert not set(new) & set(gold)
+    places = {}
+    for d, i in nodes:
+        places.setdefault(d, []).append(i)
+    allowed = [(d, a, b) for d, ids in places.items() for a in ids for b in ids if a < b and (d, a, b) not in set(gold)]
+    before, after, best = (_brute_labels(e, nodes) for e in (edges, edges + new, edges + allowed))
+    assert after == best
+    roots = lambda labels: sum(k[1] == v for k, v in labels.items())
+    assert len(new) == roots(before) - roots(after)  # no circles
+
+
 @pytest.mark.parametrize("limit", [10**6, 7])
 def test_ordered_scan_in_blocks(spark, limit):
     """lag, running sum and position agree with brute force whether a group fits a task or not."""
