@@ -584,14 +584,10 @@ def c11_range_join_patches(b):
     "i1_union_keys",
     "pairs lane",
     """
-SELECT item_a, item_b FROM pairs WHERE choice = 'unknown' UNION
-SELECT item_a, item_b FROM lane WHERE choice = 'even' AND role = 'mid'""",
+SELECT item_a, item_b FROM pairs UNION SELECT item_a, item_b FROM lane""",
 )
 def i1_union_keys(b):
-    return merge.union_keys(
-        b.pairs.filter("choice = 'unknown'").select("item_a", "item_b"),
-        b.lane.filter("choice = 'even' and role = 'mid'").select("item_a", "item_b"),
-    )
+    return merge.union_keys(b.pairs.select("item_a", "item_b"), b.lane.select("item_a", "item_b"))
 
 
 @query("i2_distinct_keys", "pairs", "SELECT DISTINCT dimension_id, item_a, item_b FROM pairs")
@@ -630,14 +626,14 @@ def i4_missing_codes(b):
     "questions",
     """
 SELECT DISTINCT item_a, item_b, dimension_id FROM questions
-WHERE type = 'pairwise_dimension' AND patch_id > 1996 EXCEPT
+WHERE type = 'pairwise_dimension' AND patch_id > 1995 EXCEPT
 SELECT item_a, item_b, dimension_id FROM questions
-WHERE type = 'pairwise_dimension' AND patch_id = 1995""",
+WHERE type = 'pairwise_dimension' AND patch_id <= 1995""",
 )
 def i5_idempotent_append(b):
     key = ["item_a", "item_b", "dimension_id"]
     q = b.questions.filter("type = 'pairwise_dimension'").select(*key, "patch_id")
-    return merge.append_new(q.filter("patch_id = 1995"), q.filter("patch_id > 1996"), key).select(*key)
+    return merge.append_new(q.filter("patch_id <= 1995"), q.filter("patch_id > 1995"), key).select(*key)
 
 
 # ----------------------------------------------------------------------- catalogs, merges
