@@ -304,10 +304,15 @@ def hmac256(column: Column | str, salt: str) -> Column:
     return F.when(value != "", F.sha2(F.concat(outer_pad, inner), 256))
 
 
+def hash_bits(digits: int, seed: int, *keys: Column | str) -> Column:
+    """The first hex digits of an MD5 over the seed and the keys, as a number any engine can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[_col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("bigint")
+
+
 def hash_draw(seed: int, *keys: Column | str) -> Column:
     """A uniform draw in [0, 1) that depends on nothing but the seed and the keys."""
-    mixed = F.xxhash64(F.lit(seed), *[_col(k) for k in keys])
-    return F.shiftrightunsigned(mixed, 11).cast("double") / F.lit(float(2**53))
+    return hash_bits(13, seed, *keys).cast("double") / F.lit(float(2**52))
 
 
 def seed_text(text: Column | str) -> Column:

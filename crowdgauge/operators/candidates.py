@@ -42,12 +42,17 @@ def priority_topk(
     weights: Mapping[str, float] = S.DEFAULTS["sampler.weights"],
     cold: int = S.DEFAULTS["sampler.cold_threshold"],
     k: int = S.DEFAULTS["sampler.candidate_limit"],
+    patch_id: int | None = None,
 ) -> DataFrame:
     """The best ``k`` questions per variant above the cold threshold, all members in the pool.
 
+    With ``patch_id`` only questions of that patch are served.
+
     Keeping the first k of a window prunes before the shuffle, so six groups are no bottleneck.
     """
     open_questions = questions.filter(~F.col("is_gold") & (F.col("exposure_count") >= cold))
+    if patch_id is not None:
+        open_questions = open_questions.filter(F.col("patch_id") == patch_id)
     hot = select.members_inside(open_questions, pool).select(
         "question_id", C.variant("type", "item_c").alias("variant"), priority(weights).alias("priority")
     )

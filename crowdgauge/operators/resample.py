@@ -21,7 +21,6 @@ from crowdgauge.runtime import pin
 
 #: Rows a drawn-from table may have to be broadcast; beyond it the draws are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-POISSON_MAX = 16
 
 
 def indexed(rows: DataFrame, fit: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -36,8 +35,17 @@ def _reps(n_rep: int):
 
 
 def _target(seed: int, fit: Sequence[str]):
-    mixed = F.xxhash64(F.lit(seed), *[F.col(f) for f in fit], F.col("rep"), F.col("_index"))
-    return F.pmod(mixed, F.col("_size").cast("bigint"))
+    return C.hash_bits(15, seed, *fit, "rep", "_index") % F.col("_size").cast("bigint")
+
+
+def poisson_steps() -> list[float]:
+    """P(N <= k) of a Poisson(1) number, up to the k where doubles reach their end."""
+    steps, step, total = [], math.exp(-1.0), 0.0
+    while total + step > total and total < 1.0:
+        total += step
+        steps.append(total)
+        step /= len(steps)
+    return steps
 
 
 def resample(
@@ -59,14 +67,9 @@ def resample(
     payload = [c for c in rows.columns if c not in fit]
     if mode == "poisson":
         unit = cluster or key[0]
-        draw = C.hash_draw(seed, *fit, "rep", unit)
-        times, step, total = F.lit(0), math.exp(-1.0), 0.0
-        for k in range(POISSON_MAX):
-            total += step
-            step /= k + 1
-            times = times + (draw >= F.lit(total)).cast("int")
-        spread = rows.select("*", _reps(n_rep)).withColumn("times", times)
-        return spread.filter("times > 0")
+        spread = rows.select("*", _reps(n_rep)).withColumn("_draw", C.hash_draw(seed, *fit, "rep", unit))
+        above = F.filter(F.array(*[F.lit(t) for t in poisson_steps()]), lambda t: F.col("_draw") >= t)
+        return spread.withColumn("times", F.size(above)).drop("_draw").filter("times > 0")
     if cluster is not None:
         units = indexed(rows.select(*fit, cluster).distinct(), fit, [cluster])
         drawn = units.select(*fit, "_size", "_index", _reps(n_rep)).select(

@@ -8,7 +8,6 @@ from crowdgauge.functions import columns as C
 from crowdgauge.operators import estimate, graph, paired, resample
 from crowdgauge.operators import report as R
 from crowdgauge.plans.registry import query
-from crowdgauge.sources import binding as B
 
 P = C.plain
 REPS, SEED = 20, 20260101
@@ -95,29 +94,58 @@ def _draw_summary(drawn):
     )
 
 
-@query("e7_bootstrap_by_comparison")
+def _hash_sql(digits: int, *keys: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join([str(SEED), *keys])})), 1, {digits}))::BIGINT"
+
+
+_ROWS = "SELECT dimension_id, response_id, respondent_id, weight FROM wpairs WHERE choice IN ('a', 'b')"
+_REPS = f"(SELECT CAST(unnest(range({REPS})) AS INTEGER) AS rep)"
+_TIMES = " + ".join(f"CAST(draw >= {t!r}e0 AS BIGINT)" for t in resample.poisson_steps())
+
+
+@query(
+    "e7_bootstrap_by_comparison",
+    "wpairs",
+    f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY dimension_id ORDER BY response_id) - 1 AS i, count(*) OVER (PARTITION BY dimension_id) AS n FROM ({_ROWS})),
+d AS (SELECT dimension_id, rep, {_hash_sql(15, "dimension_id", "rep", "i")} % n AS i FROM r, {_REPS})
+SELECT dimension_id, rep, count(*) AS rows, round(sum(weight), 6) AS weight FROM d JOIN r USING (dimension_id, i) GROUP BY ALL""",
+)
 def e7_bootstrap_by_comparison(b):
     return _draw_summary(_drawn(b))
 
 
-@query("e7_bootstrap_poisson")
+@query(
+    "e7_bootstrap_poisson",
+    "wpairs",
+    f"""
+WITH d AS (SELECT *, {_hash_sql(13, "dimension_id", "rep", "response_id")} / 4503599627370496e0 AS draw FROM ({_ROWS}), {_REPS}),
+t AS (SELECT *, {_TIMES} AS times FROM d)
+SELECT dimension_id, rep, CAST(sum(times) AS BIGINT) AS rows, round(sum(weight * times), 6) AS weight FROM t WHERE times > 0 GROUP BY ALL""",
+)
 def e7_bootstrap_poisson(b):
     return _draw_summary(_drawn(b, mode="poisson"))
 
 
-@query("e8_bootstrap_by_respondent")
+@query(
+    "e8_bootstrap_by_respondent",
+    "wpairs",
+    f"""
+WITH r AS ({_ROWS}),
+u AS (SELECT *, row_number() OVER (PARTITION BY dimension_id ORDER BY respondent_id) - 1 AS i, count(*) OVER (PARTITION BY dimension_id) AS n
+  FROM (SELECT DISTINCT dimension_id, respondent_id FROM r)),
+d AS (SELECT dimension_id, rep, {_hash_sql(15, "dimension_id", "rep", "i")} % n AS i, count(*) AS times FROM u, {_REPS} GROUP BY ALL),
+c AS (SELECT dimension_id, respondent_id, rep, times FROM d JOIN u USING (dimension_id, i))
+SELECT dimension_id, rep, CAST(sum(times) AS BIGINT) AS rows, round(sum(weight * times), 6) AS weight FROM r JOIN c USING (dimension_id, respondent_id) GROUP BY ALL""",
+)
 def e8_bootstrap_by_respondent(b):
     return _draw_summary(_drawn(b, cluster="respondent_id"))
 
 
 @query("e12_replicate_admissibility")
 def e12_replicate_admissibility(b):
-    """Replicates of the sparse graphs of gold pairs, where some lose an edge they need."""
-    from crowdgauge.operators.select import with_weight
-
-    log = b.pairs.filter("is_gold").join(b.respondents, "respondent_id")
-    w = with_weight(estimate.decisive(log), B.EXPORTED_AT, B.HALFLIFE)
-    rows = w.select(
+    """Replicates of all comparisons, and which of them keep the graph."""
+    rows = estimate.decisive(b.wpairs).select(
         "dimension_id",
         "response_id",
         F.col("item_a").alias("winner"),

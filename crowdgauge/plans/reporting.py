@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crowdgauge.functions import columns as C
@@ -316,44 +317,63 @@ def g8_consistency_checks(b):
 
 
 # -------------------------------------------------------------------------------------- graphs
-_EDGES = """
-e AS (SELECT DISTINCT dimension_id, item_a AS u, item_b AS v FROM pairs WHERE is_gold AND choice IN ('a', 'b')
-  AND item_a IN (SELECT item_id FROM pool) AND item_b IN (SELECT item_id FROM pool)),
+#: The part of a dimension's pairs that makes its backbone.
+BACKBONE = 0.1
+_PAIRS = """
+counted AS (SELECT dimension_id, item_a AS u, item_b AS v, count(*) AS n FROM wpairs WHERE choice IN ('a', 'b')
+  AND item_a IN (SELECT item_id FROM pool) AND item_b IN (SELECT item_id FROM pool) GROUP BY ALL)"""
+_WALK = """
 nodes AS (SELECT dimension_id, item_id AS node FROM dimensions CROSS JOIN pool),
 both_ AS (SELECT dimension_id, u, v FROM e UNION SELECT dimension_id, v, u FROM e),
 walk AS (SELECT dimension_id, node, node AS seen FROM nodes
   UNION SELECT w.dimension_id, w.node, b.v FROM walk w JOIN both_ b ON b.dimension_id = w.dimension_id AND b.u = w.seen),
 comp AS (SELECT dimension_id, node, min(seen) AS label FROM walk GROUP BY 1, 2)"""
+_EDGES = f"{_PAIRS}, e AS (SELECT dimension_id, u, v FROM counted), {_WALK}"
+_BACKBONE = f"""{_PAIRS}, e AS (SELECT dimension_id, u, v FROM counted
+  QUALIFY percent_rank() OVER (PARTITION BY dimension_id ORDER BY n DESC) < {BACKBONE}), {_WALK}"""
 
 
-def _sparse(b):
-    """Edges of the gold pairs and the pool's nodes, per dimension: graphs in several parts."""
+def _nodes(b):
     from crowdgauge.operators import select
 
-    edges = graph.inside(graph.comparison_edges(b.pairs.filter("is_gold")), b.pool)
     nodes = select.with_catalog(b.pool.select("item_id"), b.dimensions, ["dimension_id"])
-    return edges, nodes.withColumnRenamed("item_id", "node")
+    return nodes.withColumnRenamed("item_id", "node")
+
+
+def _whole(b):
+    """Edges of all comparisons inside the pool and the pool's nodes, per dimension."""
+    return graph.inside(graph.comparison_edges(b.wpairs), b.pool), _nodes(b)
+
+
+def _backbone(b):
+    """The most compared tenth of each dimension's pairs, counted over all comparisons: graphs in
+    several parts. The rank is over pairs of catalog items, never over answers."""
+    pair = ["dimension_id", F.col("item_a").alias("u"), F.col("item_b").alias("v")]
+    counted = graph.inside(estimate.decisive(b.wpairs).groupBy(*pair).agg(F.count("*").alias("n")), b.pool)
+    rank = F.percent_rank().over(Window.partitionBy("dimension_id").orderBy(F.desc("n")))
+    edges = counted.withColumn("rank", rank).filter(F.col("rank") < BACKBONE)
+    return edges.select("dimension_id", "u", "v"), _nodes(b)
 
 
 @query(
     "e10_connected_components",
-    "pairs pool dimensions",
-    f"WITH RECURSIVE {_EDGES} SELECT dimension_id, node, label FROM comp",
+    "wpairs pool dimensions",
+    f"WITH RECURSIVE {_BACKBONE} SELECT dimension_id, node, label FROM comp",
 )
 def e10_connected_components(b):
-    edges, nodes = _sparse(b)
+    edges, nodes = _backbone(b)
     return graph.components(edges, nodes, ["dimension_id"])
 
 
 @query(
     "e11_largest_component",
-    "pairs pool dimensions",
+    "wpairs pool dimensions",
     f"""
-WITH RECURSIVE {_EDGES}, s AS (SELECT dimension_id, label, count(*) AS n FROM comp GROUP BY 1, 2)
+WITH RECURSIVE {_BACKBONE}, s AS (SELECT dimension_id, label, count(*) AS n FROM comp GROUP BY 1, 2)
 SELECT dimension_id, min_by(label, (-n, label)) AS main, max(n) AS largest, count(*) AS components FROM s GROUP BY 1""",
 )
 def e11_largest_component(b):
-    edges, nodes = _sparse(b)
+    edges, nodes = _backbone(b)
     return graph.largest(graph.components(edges, nodes, ["dimension_id"]), ["dimension_id"])
 
 
@@ -379,14 +399,14 @@ def _marked(b):
 
 @query("e14_bridge_plan")
 def e14_bridge_plan(b):
-    edges, nodes = _sparse(b)
+    edges, nodes = _backbone(b)
     gold = b.questions.filter("is_gold").select("dimension_id", "item_a", "item_b").distinct()
     return graph.bridge_plan(edges, nodes, _marked(b), gold, seed=7)
 
 
 @query(
     "g14_connectivity_report",
-    "pairs pool dimensions questions",
+    "wpairs pool dimensions questions",
     f"""
 WITH RECURSIVE {_EDGES}, s AS (SELECT dimension_id, label, count(*) AS n FROM comp GROUP BY 1, 2),
 m AS (SELECT dimension_id, item_a, item_b FROM questions WHERE type = 'pairwise_dimension' AND (item_a + item_b) % 7 = 0
@@ -395,13 +415,13 @@ SELECT dimension_id, count(*) AS components, max(n) AS largest,
   (SELECT count(*) FROM m WHERE m.dimension_id = s.dimension_id) AS pending_bridges, count(*) <= 1 AS connected FROM s GROUP BY 1""",
 )
 def g14_connectivity_report(b):
-    edges, nodes = _sparse(b)
+    edges, nodes = _whole(b)
     return graph.connectivity_report(graph.components(edges, nodes, ["dimension_id"]), _marked(b))
 
 
 @query(
     "d30_tier_readiness",
-    "responses respondents items dimensions pairs pool",
+    "responses respondents items dimensions wpairs pool",
     f"""
 WITH RECURSIVE {_EDGES}, {_AGG}, s AS (SELECT dimension_id, count(DISTINCT label) AS components FROM comp GROUP BY 1),
 legal AS (SELECT item_id, CAST(dimension_id AS VARCHAR) AS cell FROM items CROSS JOIN dimensions WHERE items.is_active AND pool_tier = 1),
@@ -412,7 +432,7 @@ SELECT median_dn, connected, cn.dimensions, median_dn >= 25 AS meets_median, con
   median_dn >= 25 AND connected >= 6 AS ready FROM md, cn""",
 )
 def d30_tier_readiness(b):
-    edges, nodes = _sparse(b)
+    edges, nodes = _whole(b)
     report = graph.largest(graph.components(edges, nodes, ["dimension_id"]), ["dimension_id"])
     return Q.tier_readiness(_current(b), b.items, b.dimensions, report)
 

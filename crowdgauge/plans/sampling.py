@@ -12,7 +12,7 @@ from crowdgauge.sources import binding as B
 P = C.plain
 K = 20
 
-_Q = """
+_Q = f"""
 q AS (SELECT question_id, type, item_a, item_b, item_c, item_d, patch_id, is_gold, count(*) AS exposure_count,
   CASE WHEN question_id % 11 <> 0 THEN CAST(question_id % 101 AS DOUBLE) / 100 END AS entropy,
   CASE WHEN question_id % 13 <> 0 THEN CAST(question_id % 7 AS DOUBLE) / 7 END AS coverage_deficit,
@@ -20,7 +20,7 @@ q AS (SELECT question_id, type, item_a, item_b, item_c, item_d, patch_id, is_gol
 hot AS (SELECT question_id, CASE WHEN type = 'lane_matchup' THEN CASE WHEN item_c IS NULL THEN 'lane_1v1' ELSE 'lane_2v2' END ELSE type END AS variant,
   0.35::DOUBLE * (1.0::DOUBLE / (1 + exposure_count)) + 0.25::DOUBLE * coalesce(entropy, 0) + 0.2::DOUBLE * coalesce(coverage_deficit, 0)
     + CASE WHEN bridge_priority THEN 1.0::DOUBLE ELSE 0 END AS priority FROM q
-  WHERE NOT is_gold AND exposure_count >= 2 AND item_a IN (SELECT item_id FROM pool)
+  WHERE NOT is_gold AND exposure_count >= 2 AND patch_id = {B.CURRENT_PATCH} AND item_a IN (SELECT item_id FROM pool)
     AND (item_b IS NULL OR item_b IN (SELECT item_id FROM pool)) AND (item_c IS NULL OR item_c IN (SELECT item_id FROM pool))
     AND (item_d IS NULL OR item_d IN (SELECT item_id FROM pool)))"""
 
@@ -48,7 +48,7 @@ SELECT variant, question_id, round(priority, 6) AS priority, row_number() OVER (
 FROM hot QUALIFY place <= {K}""",
 )
 def h1_priority_topk(b):
-    top = candidates.priority_topk(_questions(b), b.pool, cold=2, k=K)
+    top = candidates.priority_topk(_questions(b), b.pool, cold=2, k=K, patch_id=B.CURRENT_PATCH)
     return top.select("variant", "question_id", P("priority").alias("priority"), "place")
 
 
@@ -68,9 +68,9 @@ def _people(b):
 @query("h2_next_questions")
 def h2_next_questions(b):
     q = _questions(b)
-    hot = candidates.priority_topk(q, b.pool, cold=5, k=K)
+    hot = candidates.priority_topk(q, b.pool, cold=5, k=K, patch_id=B.CURRENT_PATCH)
     cold = (
-        candidates.priority_topk(q.filter("exposure_count < 5"), b.pool, cold=0, k=K)
+        candidates.priority_topk(q.filter("exposure_count < 5"), b.pool, cold=0, k=K, patch_id=B.CURRENT_PATCH)
         .select("variant", "question_id")
     )
     bridges = hot.join(q.filter("bridge_priority").select("question_id"), "question_id", "left_semi")

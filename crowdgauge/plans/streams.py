@@ -84,7 +84,7 @@ def s2_deduplicated_stream(b):
     live = _live(b).log.select("response_id", "respondent_id", "question_id", "created_at")
     marked = live.join(retests, "response_id", "left")
     doubled = marked.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    kept = ST.drain(ST.dedupe(doubled, "60 days"), _folder(b))
+    kept = ST.drain(ST.dedupe(doubled), _folder(b))
     return kept.groupBy("respondent_id", "question_id").agg(F.count("*").alias("n"))
 
 

@@ -68,11 +68,16 @@ def ingest(
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
-def dedupe(stream: DataFrame, delay: str = DELAY) -> DataFrame:
-    """One answer per respondent and question, unless it is a claimed retest of a given answer."""
+def dedupe(stream: DataFrame) -> DataFrame:
+    """One answer per respondent and question, unless it is a claimed retest of a given answer.
+
+    The first to arrive stays, however late it is. The state is the set of keys seen, as a unique index
+    would hold it, spread by key; there is no watermark, so nothing new is dropped and no duplicate
+    gets in after any time. For long logs keep the state store in RocksDB.
+    """
     key = ["respondent_id", "question_id", "is_retest_of"]
     marked = stream.withColumn("is_retest_of", F.coalesce("is_retest_of", F.lit(-1).cast("bigint")))
-    kept = marked.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(key)
+    kept = marked.dropDuplicates(key)
     return kept.withColumn(
         "is_retest_of", F.when(F.col("is_retest_of") >= 0, F.col("is_retest_of"))
     )
