@@ -142,7 +142,26 @@ def e8_bootstrap_by_respondent(b):
     return _draw_summary(_drawn(b, cluster="respondent_id"))
 
 
-@query("e12_replicate_admissibility")
+_TRIES = resample.candidates(REPS)
+
+
+@query(
+    "e12_replicate_admissibility",
+    "wpairs",
+    f"""
+WITH RECURSIVE r AS (SELECT dimension_id, item_a AS u, item_b AS v, row_number() OVER (PARTITION BY dimension_id ORDER BY response_id) - 1 AS i,
+  count(*) OVER (PARTITION BY dimension_id) AS n FROM wpairs WHERE choice IN ('a', 'b')),
+d AS (SELECT dimension_id, rep, {_hash_sql(15, "dimension_id", "rep", "i")} % n AS i FROM r, (SELECT unnest(range({_TRIES})) AS rep)),
+e AS (SELECT dimension_id, rep, u, v FROM d JOIN r USING (dimension_id, i) UNION SELECT dimension_id, -1, u, v FROM r),
+both_ AS (SELECT dimension_id, rep, u, v FROM e UNION SELECT dimension_id, rep, v, u FROM e),
+walk AS (SELECT dimension_id, rep, node, node AS seen FROM (SELECT DISTINCT dimension_id, unnest([u, v]) AS node FROM r), (SELECT unnest(range(-1, {_TRIES})) AS rep)
+  UNION SELECT w.dimension_id, w.rep, w.node, b.v FROM walk w JOIN both_ b ON b.dimension_id = w.dimension_id AND b.rep = w.rep AND b.u = w.seen),
+k AS (SELECT dimension_id, rep, count(DISTINCT label) AS parts FROM (SELECT dimension_id, rep, node, min(seen) AS label FROM walk GROUP BY ALL) GROUP BY ALL),
+good AS (SELECT k.dimension_id, k.rep, row_number() OVER (PARTITION BY k.dimension_id ORDER BY k.rep) AS place
+  FROM k JOIN k f ON f.dimension_id = k.dimension_id AND f.rep = -1 AND f.parts = k.parts WHERE k.rep >= 0),
+s AS (SELECT f.dimension_id, count(place) AS got, max(good.rep) FILTER (place = {REPS}) + 1 AS tries FROM k f LEFT JOIN good USING (dimension_id) WHERE f.rep = -1 GROUP BY 1)
+SELECT dimension_id, coalesce(tries, {_TRIES}) AS attempts, coalesce(tries - {REPS}, {_TRIES} - got) AS discarded, got < {REPS} AS failed FROM s""",
+)
 def e12_replicate_admissibility(b):
     """Replicates of all comparisons, and which of them keep the graph."""
     rows = estimate.decisive(b.wpairs).select(
