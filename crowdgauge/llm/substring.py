@@ -1,8 +1,8 @@
 """Substring deduplication: repeated word windows found by FM-indexes of shards.
 
 A window of ``k`` words always holds the same anchor, the least hash among its short word n-grams, so
-equal windows have equal anchors at equal places. Words around anchors that several documents share
-are segments; all segments of an anchor go to one shard. A shard indexes its distinct segments and
+equal windows have equal anchors at equal places. The windows of an anchor that several documents
+share are a segment; all segments of an anchor go to one shard. A shard indexes its distinct segments and
 streams them through backward search, which gives, for every window, the smallest document that
 holds it.
 """
@@ -48,6 +48,23 @@ def anchors(grams: np.ndarray, width: int) -> np.ndarray:
     return np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == grams)
 
 
+def own_windows(grams: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the ``width``-gram windows whose least gram each place of ``at`` holds.
+
+    Those windows follow one another: a smaller gram on either side ends them.
+    """
+    least = _sliding(grams, width, np.minimum)
+    first, last = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for i in range(0, len(at), 16_384):
+        p = at[i : i + 16_384].astype(np.int64)
+        window = p[:, None] + np.arange(1 - width, 1)
+        inside = (window >= 0) & (window < len(least))
+        own = inside & (least[np.where(inside, window, 0)] == grams[p][:, None])
+        first[i : i + len(p)] = p + 1 - width + own.argmax(axis=1)
+        last[i : i + len(p)] = first[i : i + len(p)] + own.sum(axis=1) - 1
+    return first, last
+
+
 def _grams(column: pa.Array, k: int):
     """(row, word hashes, n-gram hashes) of every text with a whole window."""
     for low, _, raw, starts in X.chunks(column):
@@ -82,7 +99,7 @@ def _anchor_rows(k: int):
 
 
 def _segment_rows(k: int):
-    """The words around each shared anchor: from the first window that can hold it to the last."""
+    """The words of each shared anchor's own windows, from the first to the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.small(batches):
@@ -95,16 +112,18 @@ def _segment_rows(k: int):
                 fits = at < len(grams)  # the same id may name several texts
                 at, key = at[fits], key[fits]
                 same = X.signed(grams[at]) == key
+                first, last = own_windows(grams, at[same], k - GRAM + 1)
                 short = hashes.astype(np.uint32)
                 doc = docs[row].as_py()
-                for p, g in zip(at[same], key[same], strict=True):
-                    begin = max(0, int(p) - (k - GRAM))
-                    part = hashes[begin : int(p) + k]
+                for begin, end, g in zip(first, last + k, key[same], strict=True):
+                    if end < begin + k:
+                        continue  # an equal gram of another text of the same id, least in no window here
+                    part = hashes[begin:end]
                     keys.append(int(g))
                     own.append(doc)
-                    begins.append(begin)
+                    begins.append(int(begin))
                     names.append(np.bitwise_xor.reduce(X.mix(part + np.arange(len(part), dtype=_U) * _U(0x9E3779B97F4A7C15))))
-                    words.append(short[begin : int(p) + k].tobytes())
+                    words.append(short[begin:end].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys, pa.int64()),
@@ -213,6 +232,33 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def repeated_in(firsts: DataFrame, k: int) -> DataFrame:
+    """(key, segment, doc_id, low, high): the interval of each segment of ``firsts(key, segment,
+    first_doc, words)`` that windows of the same key in smaller documents cover, if any do."""
+    sizes = pin(firsts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    dealt = (
+        firsts.join(sizes, "key")
+        .withColumn("block", F.pmod(F.xxhash64("segment"), blocks))
+        .withColumn("other", other)
+        .select(
+            "key",
+            F.least("block", "other").alias("low_block"),
+            F.greatest("block", "other").alias("high_block"),
+            "segment",
+            "first_doc",
+            "words",
+        )
+    )
+    group = ["key", "low_block", "high_block"]
+    return (
+        dealt.repartition(*group)
+        .sortWithinPartitions(*group)
+        .mapInArrow(_search(k), "key bigint, segment bigint, doc_id bigint, low int, high int")
+    )
+
+
 def repeated_spans(docs: DataFrame, k: int = 50) -> DataFrame:
     """(doc_id, begin, end): word intervals of ``docs(doc_id, text)`` that equal windows of ``k`` words
     in documents of smaller ids cover. Intervals of a document may overlap."""
@@ -239,28 +285,7 @@ def repeated_spans(docs: DataFrame, k: int = 50) -> DataFrame:
         codec="zstd",
     )
     unpin(placed, ids)
-    sizes = pin(firsts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
-    dealt = (
-        firsts.join(sizes, "key")
-        .withColumn("block", F.pmod(F.xxhash64("segment"), blocks))
-        .withColumn("other", other)
-        .select(
-            "key",
-            F.least("block", "other").alias("low_block"),
-            F.greatest("block", "other").alias("high_block"),
-            "segment",
-            "first_doc",
-            "words",
-        )
-    )
-    group = ["key", "low_block", "high_block"]
-    found = (
-        dealt.repartition(*group)
-        .sortWithinPartitions(*group)
-        .mapInArrow(_search(k), "key bigint, segment bigint, doc_id bigint, low int, high int")
-    )
+    found = repeated_in(firsts, k)
     slim = segments.select("key", "segment", "doc_id", "begin", (F.octet_length("words") / 4).cast("int").alias("size"))
     copies = slim.join(firsts.select("key", "segment", "first_doc"), ["key", "segment"])
     # a later document that has the whole segment repeats all its windows

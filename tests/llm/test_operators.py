@@ -303,6 +303,19 @@ def test_substring_dedup(docs, rows, empty):
     assert substring.dedup_substrings(empty).count() == 0
 
 
+def test_own_windows_of_anchors():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, top, n) for top in (1, 2, 9, 10**6) for n in (41, 42, 90, 400)]
+    texts.append(np.tile(rng.integers(0, 99, 7), 40))
+    for grams in (t.astype(np.uint64) for t in texts):
+        at = substring.anchors(grams, 41)
+        least = np.array([grams[s : s + 41].min() for s in range(len(grams) - 40)])
+        first, last = substring.own_windows(grams, at, 41)
+        for p, a, b in zip(at, first, last, strict=True):
+            own = [s for s in range(max(0, p - 40), min(p + 1, len(least))) if least[s] == grams[p]]
+            assert own == list(range(a, b + 1))
+
+
 def test_substring_dedup_in_blocks(docs, monkeypatch):
     want = {tuple(r) for r in substring.dedup_substrings(docs).collect()}
     monkeypatch.setattr(substring, "BLOCK", 7)
