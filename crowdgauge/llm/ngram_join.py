@@ -245,7 +245,8 @@ def _within_groups(buckets: DataFrame, labels: DataFrame, signs: DataFrame, perc
     Buckets of one label are settled. The members of all other buckets are gathered by the bucket's
     centre, once for each centre and member, and only members apart from the centre's label are
     compared with the rest: in blocks of ``BLOCK`` by ``BLOCK`` rows, on sketches alone, so a task
-    holds two blocks and emits only pairs that the exact sets must decide.
+    holds two blocks and emits only pairs that the exact sets must decide. A group is sent once for
+    each block of such members, so a large group with few of them moves about once.
     """
     label = labels.select(F.col("node").alias("cls"), F.col("component").alias("label"))
     main = labels.select(F.col("node").alias("center"), F.col("component").alias("main"))
@@ -261,19 +262,25 @@ def _within_groups(buckets: DataFrame, labels: DataFrame, signs: DataFrame, perc
         .select("center", "cls", "label", "main")
         .distinct()
     )
-    count = members.groupBy("center").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    apart = F.col("label") != F.col("main")
+    count = members.groupBy("center").agg(
+        F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"),
+        F.ceil(F.count_if(apart) / F.lit(BLOCK)).alias("asks"),
+    )
     blocked = (
         members.join(count, "center")
         .join(signs.select("cls", "n_shingles", "sketch"), "cls")
-        .withColumn("block", F.pmod(F.xxhash64("cls"), "blocks"))
-    )
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    data = blocked.withColumn("other", every).withColumn("query", F.lit(False))
-    queries = blocked.filter("label <> main").withColumn("other", every).withColumn("query", F.lit(True))
-    columns = ["cls", "label", "n_shingles", "sketch", "query"]
-    rows = data.select("center", F.col("block").alias("d"), F.col("other").alias("q"), *columns).unionByName(
-        queries.select("center", F.col("other").alias("d"), F.col("block").alias("q"), *columns)
+        .withColumn("d", F.pmod(F.xxhash64("cls"), "blocks"))
+        .withColumn("q", F.pmod(F.xxhash64("cls"), "asks"))
     )
+
+    def every(blocks: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1))
+
+    columns = ["center", "d", "q", "cls", "label", "n_shingles", "sketch", "query"]
+    data = blocked.withColumn("q", every("asks")).withColumn("query", F.lit(False))
+    queries = blocked.filter(apart).withColumn("d", every("blocks")).withColumn("query", F.lit(True))
+    rows = data.select(*columns).unionByName(queries.select(*columns))
     return rows.groupBy("center", "d", "q").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
 
 

@@ -108,6 +108,29 @@ def test_ngram_join(docs, rows, k, percent):
     assert len(links) > 400  # the table has what is looked for
 
 
+def test_ngram_join_in_blocks(spark, monkeypatch):
+    draw = random.Random(8)
+    # a chain: every text is near the next, few are near the smallest
+    words = [f"w{i}" for i in range(200)]
+    chain = [(0, " ".join(words))]
+    for i in range(1, 60):
+        words[draw.randrange(200)] = f"x{i}"
+        chain.append((i, " ".join(words)))
+    table = spark.createDataFrame(chain, "doc_id bigint, text string")
+    compared = []
+    whole = ngram_join._within_groups
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(
+        ngram_join, "_within_groups", lambda *given: compared.append(whole(*given).cache()) or compared[-1]
+    )
+    got = ngram_join.jaccard_components(table, words=3, percent=90).collect()
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(198)} for i, t in chain}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])]
+    want = reach(sets, links)
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert compared and compared[0].count() > 0  # blocks were compared with each other
+
+
 def test_ngram_join_of_nothing(empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
