@@ -4,12 +4,14 @@ The halves of the unit vectors have codebooks of their own; the product of the t
 cells. A vector lies in the cell of its nearest centres. Vectors of cosine c are sqrt(2 - 2c) apart,
 and how far a cell is from a vector is bounded, half by half, by the border between the cell's centre
 and the vector's own. The multi-sequence traversal takes cells by the growing sum of both bounds; it
-ends where the sum passes the distance that the target recall asks for. Vectors that meet in a cell
-are verified by their cosine in double precision.
+ends where the sum passes the limit that the target recall asks for. That limit is taken from sampled
+vectors, each compared with all rows. Vectors that meet in a cell are verified by their cosine in
+double precision.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +31,11 @@ _SLACK = 1e-9
 class Grid:
     """Two codebooks and the squared distance up to which cells are visited."""
 
-    def __init__(self, units: np.ndarray, codes: int, threshold: float, recall: float):
+    def __init__(self, units: np.ndarray, codes: int, threshold: float):
         self.width = units.shape[1]
         self.cut = self.width // 2
         self.books = [V.k_means(half, codes) for half in self._halves(units)]
         self.limit = self.most = max(0.0, 2.0 - 2.0 * threshold) + _SLACK
-        if recall < 1.0 and len(units):
-            self.limit = self._calibrated(units, threshold, recall)
 
     def _halves(self, units: np.ndarray) -> list[np.ndarray]:
         units = V.fitted(units, self.width)
@@ -75,19 +75,19 @@ class Grid:
         n = len(self.books[1])
         return np.round(first[row, cell // n] + second[row, cell % n], 10)
 
-    def _calibrated(self, units: np.ndarray, threshold: float, recall: float) -> float:
-        """The limit up to which that share of the sample's linked vectors meet all their links."""
-        first, second = self.bounds(units)
-        cell = self.home(units)
-        worst = np.full(len(units), -1.0)
-        for i in range(0, len(units), 1024):
-            r, c = np.nonzero(units[i : i + 1024] @ units.T >= threshold)
-            r = r + i
-            np.maximum.at(worst, r[r != c], self.sums(first, second, r[r != c], cell[c[r != c]]))
-        linked = worst[worst >= 0]
-        if not len(linked):
-            return self.most
-        return min(self.most, float(np.quantile(linked, recall, method="higher")) + _SLACK)
+    def calibrate(self, worst: np.ndarray, recall: float, whole: bool) -> None:
+        """Set the limit up to which that share of linked vectors meet all their links.
+
+        ``worst`` is the largest sum of each sampled vector's links. Unless the sample is ``whole``,
+        it must hold so many linked vectors that one of them is beyond the share; with fewer the
+        limit stays the one that holds every link.
+        """
+        if recall < 1.0 and len(worst) and (whole or len(worst) >= least_linked(recall)):
+            self.limit = min(self.most, float(np.quantile(worst, recall, method="higher")) + _SLACK)
+
+
+def least_linked(recall: float) -> int:
+    return math.ceil(round(1.0 / (1.0 - recall), 6))
 
 
 def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,6 +98,59 @@ def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return some, scaled / np.sqrt((scaled * scaled).sum(axis=1))[:, None]
 
 
+def _worst(threshold: float, shared):
+    """The largest sum of each sampled vector's links to the rows of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid, sampled = shared.value
+        bounds = {key: grid.bounds(units) for key, (_, _, units) in sampled.items()}
+        found = {key: np.full(len(own), -1.0) for key, (own, _, _) in sampled.items()}
+        for batch in batches:
+            cls = batch.column("cls").to_numpy()
+            labels = np.array(batch.column("label").to_pylist(), object)
+            for rows, matrix in V.by_length(batch.column("embedding")):
+                some, units = _unit(matrix)
+                rows, home = rows[some], grid.home(units)
+                for label in set(labels[rows]):
+                    key = (label, matrix.shape[1])
+                    if key not in sampled:
+                        continue
+                    own, _, asked = sampled[key]
+                    at = np.flatnonzero(labels[rows] == label)
+                    for i in range(0, len(at), BLOCK):
+                        near = at[i : i + BLOCK]
+                        r, c = np.nonzero(asked @ units[near].T >= threshold)
+                        other = own[r] != cls[rows[near[c]]]
+                        r, c = r[other], c[other]
+                        np.maximum.at(found[key], r, grid.sums(*bounds[key], r, home[near[c]]))
+        place = np.concatenate([p[found[k] >= 0] for k, (_, p, _) in sampled.items()])
+        most = np.concatenate([found[k][found[k] >= 0] for k in sampled])
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(most, pa.float64())], names=["place", "worst"])
+
+    return run
+
+
+def _calibrated(classes: DataFrame, picked: pa.Table, grid: Grid, threshold: float, recall: float, whole: bool) -> Grid:
+    """The grid with the limit that the links of the ``picked`` classes to all classes ask for."""
+    labels = np.array(picked.column("label").to_pylist(), object)
+    cls = picked.column("cls").to_numpy()
+    sampled = {}
+    for rows, matrix in V.by_length(picked.column("embedding").combine_chunks()):
+        some, units = _unit(matrix)
+        rows = rows[some]
+        for label in sorted(set(labels[rows])):
+            at = np.flatnonzero(labels[rows] == label)
+            sampled[label, matrix.shape[1]] = (cls[rows[at]], rows[at], units[at])
+    if sampled:
+        shared = classes.sparkSession.sparkContext.broadcast((grid, sampled))
+        found = classes.select("cls", "label", "embedding").mapInArrow(
+            _worst(threshold, shared), "place bigint, worst double"
+        )
+        worst = found.groupBy("place").agg(F.max("worst").alias("worst")).toPandas()["worst"]
+        grid.calibrate(worst.to_numpy(np.float64), recall, whole)
+    return grid
+
+
 def _place(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid: Grid = shared.value
@@ -176,6 +229,7 @@ def near_duplicates(
     codes: int = 16,
     sample: int = 8_192,
     recall: float = 0.999,
+    asked: int = 16_384,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of ``vectors(vec_id, embedding, label)``.
 
@@ -183,9 +237,10 @@ def near_duplicates(
     is at least ``threshold``. Null and zero vectors and those with a null or non-finite component
     link with nothing. ``component_id`` is the smallest vec_id that links reach; ``kept`` says that it
     is the vector's own. The codebooks are fitted on ``sample`` vectors at most, chosen by the hash of
-    their id; every vector is indexed. The traversal goes as far as that share ``recall`` of the sample's
-    linked vectors needs to meet all their links; with 1, or a sample without links, it visits every
-    cell that can hold a link. A link counts for both ends, whichever of them meets the other. Equal vectors are
+    their id; every vector is indexed. The traversal goes as far as that share ``recall`` of linked vectors
+    needs to meet all their links, judged on ``asked`` vectors, each compared with all of its label; with
+    1, or fewer than 1 / (1 - recall) linked ones among them where there are more vectors than ``asked``,
+    it visits every cell that can hold a link. A link counts for both ends, whichever of them meets the other. Equal vectors are
     compared once and counted as often as they occur; the vectors of a cell are compared in blocks.
     Rows that repeat a vec_id are vectors of their own. Other columns are ignored.
     """
@@ -208,13 +263,19 @@ def near_duplicates(
             F.first("embedding").alias("embedding"),
         )
     )
-    picked = classes.orderBy(F.xxhash64("cls"), "cls").limit(sample).select("embedding").toArrow()
-    parts = [_unit(m)[1] for _, m in V.by_length(picked.column(0).combine_chunks())] if picked.num_rows else []
+    slimmed = classes.orderBy(F.xxhash64("cls"), "cls").limit(max(sample, asked)).select("cls", "label", "embedding")
+    picked = slimmed.toArrow()
+    fitting = picked.column("embedding").slice(0, sample).combine_chunks()
+    parts = [_unit(m)[1] for _, m in V.by_length(fitting)] if picked.num_rows else []
     width = max((p.shape[1] for p in parts if len(p)), default=2)
     units = np.concatenate([V.fitted(p, width) for p in parts]) if parts else np.zeros((0, width))
     if not len(units):
         units = np.zeros((1, width))
-    shared = vectors.sparkSession.sparkContext.broadcast(Grid(units, codes, threshold, recall))
+    grid = Grid(units, codes, threshold)
+    if recall < 1.0 and picked.num_rows:
+        whole = picked.num_rows < max(sample, asked) <= asked
+        grid = _calibrated(classes, picked.slice(0, asked), grid, threshold, recall, whole)
+    shared = vectors.sparkSession.sparkContext.broadcast(grid)
     placed = pin(
         classes.select("cls", "label", "copies", "embedding").mapInArrow(
             _place(shared),

@@ -306,6 +306,27 @@ def test_near_duplicate_vectors(spark):
     assert multi_index.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_near_duplicates_beyond_the_sample(spark):
+    """A tight group that the sample sees, and pairs across cell borders of which it sees hardly any."""
+    draw = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    tight = unit(unit(draw.normal(size=8)) + 1e-4 * draw.normal(size=(150, 8)))
+    firsts = unit(draw.normal(size=(600, 8)))
+    units = np.concatenate([tight, firsts, unit(firsts + 0.05 * draw.normal(size=firsts.shape))])
+    links = (units @ units.T >= 0.98).sum(axis=1) - 1
+    table = spark.createDataFrame(
+        [(i, u.tolist(), 1) for i, u in enumerate(units)], "vec_id bigint, embedding array<double>, label int"
+    )
+
+    def complete(**options):
+        got = {r.vec_id: r.n_links for r in multi_index.near_duplicates(table, codes=8, sample=64, **options).collect()}
+        return np.mean([got[i] == n for i, n in enumerate(links) if n])
+
+    assert complete() >= 0.999
+    assert complete(asked=64) == 1.0  # too few linked ones for 0.999: every cell is visited
+    assert complete(asked=300, recall=0.98) >= 0.97
+
+
 def test_substring_dedup(docs, rows, empty):
     texts = dict((r[0], r[1]) for r in rows)
     first, want = {}, {}
