@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from crowdgauge.llm import langid, line_dedup, mixing, ngram_join, packing
 from crowdgauge.runtime import pin
 
-#: A document whose language is no surer than this is rejected. Short and evenly mixed texts are kept.
-LEAST_SCORE = 0.2
+#: A document goes if less than this share of its letters is in words that its languages explain. Mixed
+#: texts are kept. In a text of fewer than ``SHORT`` bytes, one mail address or key can be most of it.
+LEAST_KNOWN, LEAST_KNOWN_SHORT, SHORT = 1 / 2, 1 / 3, 100
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: texts without letters, and those of which no language holds
-    ``LEAST_SCORE``, go. The model learns from the rows that name a language."""
+    """Documents in learned languages: texts without letters, and those of which the learned languages
+    explain less than ``LEAST_KNOWN``, go. The model learns from the rows that name a language."""
     model = langid.learn(docs)
     found = langid.identify(docs, model)
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(
+    least = F.when(F.octet_length("text") < SHORT, LEAST_KNOWN_SHORT).otherwise(LEAST_KNOWN)
+    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("known") >= least)).select(
         *docs.columns
     )
 

@@ -143,16 +143,19 @@ def learn(docs: DataFrame, smoothing: float = 0.5, least: float = 0.001) -> Mode
 
 #: Score of a word in a language that its script rules out, below its best score.
 _RULED_OUT = 30.0
+#: Log probability of a byte in the unknown class, to which all windows are alike.
+_UNKNOWN = -float(np.log(BUCKETS))
 
 
-def _emissions(model: Model, bucket, size, script) -> np.ndarray:
-    """Score of every word in every language, the best being 0."""
+def _emissions(model: Model, bucket, size, script) -> tuple[np.ndarray, np.ndarray]:
+    """Score of every word in every language, the best being 0, and the best's log probability."""
     first = np.cumsum(size) - size
     scores = np.add.reduceat(model.scores[bucket], first, axis=0)
     fits = model.allowed[script]
     scores = np.where(fits, scores, -np.inf)
-    scores -= scores.max(axis=1, keepdims=True)
-    return np.maximum(scores, -_RULED_OUT)
+    top = scores.max(axis=1, keepdims=True)
+    scores -= top
+    return np.maximum(scores, -_RULED_OUT), top[:, 0]
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, stop: np.ndarray, penalty: float) -> list[np.ndarray]:
@@ -217,11 +220,11 @@ def _predict(shared, penalty: float, columns: list[str]):
         model: Model = shared.value
         names = np.array([*model.langs, UNDETERMINED], object)
         for batch in X.small(batches):
-            out = [[], [], [], [], [], []]
+            out = [[], [], [], [], [], [], []]
             for low, high, raw, starts in X.chunks(batch.column("text"), _CHUNK):
                 for whole, part in zip(out, _predict_chunk(model, raw, starts, penalty), strict=True):
                     whole.append(part)
-            lang, share, count, begin, end, of_span = (
+            lang, share, known, count, begin, end, of_span = (
                 np.concatenate(x) if x else np.zeros(0, np.int64) for x in out
             )
             offsets = np.zeros(batch.num_rows + 1, np.int32)
@@ -235,22 +238,23 @@ def _predict(shared, penalty: float, columns: list[str]):
                     *(batch.column(c) for c in columns),
                     pa.array(names[lang.astype(int)], pa.string()),
                     pa.array(share, pa.float64()),
+                    pa.array(known, pa.float64()),
                     pa.ListArray.from_arrays(pa.array(offsets), spans),
                 ],
-                names=[*columns, "lang_pred", "score", "spans"],
+                names=[*columns, "lang_pred", "score", "known", "spans"],
             )
 
     return run
 
 
 def _predict_chunk(model: Model, raw: np.ndarray, starts: np.ndarray, penalty: float):
-    """Per document: language, score, number of spans; per span: begin, end (bytes), language."""
+    """Per document: language, score, known, number of spans; per span: begin, end (bytes), language."""
     n, none = len(starts) - 1, len(model.langs)
-    lang, share, count = np.full(n, none), np.zeros(n), np.zeros(n, np.int64)
+    lang, share, known, count = np.full(n, none), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
     begin, end, of_span = [], [], []
     bucket, size, script, words, b, e = _words(raw, starts)
     if len(b) and none:
-        scores = _emissions(model, bucket, size, script)
+        scores, top = _emissions(model, bucket, size, script)
         labels = _label(model, scores, words, penalty)
         for i in range(n):
             a, z = words[i], words[i + 1]
@@ -269,27 +273,32 @@ def _predict_chunk(model: Model, raw: np.ndarray, starts: np.ndarray, penalty: f
             # one span: how sure the whole text is; several: the text is mixed, and the share tells
             posterior = 1.0 / np.exp(np.minimum(total - total[best], 50.0)).sum() if len(firsts) == 1 else 1.0
             lang[i], share[i] = best, bytes_of[best] / bytes_of.sum() * posterior
+            reached = scores[np.arange(a, z), label] + top[a:z]
+            known[i] = size[a:z][reached > _UNKNOWN * size[a:z]].sum() / bytes_of.sum()
             count[i] = len(firsts)
             begin.append(b[firsts] - starts[i])
             end.append(e[lasts] - starts[i])
             of_span.append(labels[firsts])
     empty = [np.zeros(0, np.int64)]
-    return lang, share, count, *(np.concatenate(x or empty) for x in (begin, end, of_span))
+    return lang, share, known, count, *(np.concatenate(x or empty) for x in (begin, end, of_span))
 
 
 def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
-    """``docs`` with lang_pred, score (0 to 1) and spans (begin, end, lang; offsets in UTF-8 bytes).
+    """``docs`` with lang_pred, score (0 to 1), known (0 to 1) and spans (begin, end, lang; offsets in
+    UTF-8 bytes).
 
     ``lang_pred`` has most bytes of letters; ``score`` is its share of them, and where all are its own,
-    its probability for the whole text. Null and empty texts and texts without a letter are ``und`` with score 0 and
+    its probability for the whole text. Both compare the learned languages with each other; ``known`` is
+    absolute: the share of bytes in words that their span's language explains better than a class to which
+    all windows are alike. Random letters and languages that were not learned have little. Null and empty texts and texts without a letter are ``und`` with score 0 and
     without spans, and so is everything if nothing was learned. Only ``text`` is read; other columns
-    pass unchanged, and must not be called like the three new ones.
+    pass unchanged, and must not be called like the four new ones.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(
         _predict(shared, penalty, docs.columns),
-        f"{fields}, lang_pred string, score double, "
+        f"{fields}, lang_pred string, score double, known double, "
         "spans array<struct<begin: int, end: int, lang: string>>",
     )
 

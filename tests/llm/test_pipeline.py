@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import string
 from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
 from compare import compare, connect
-from crowdgauge.llm import queries
+from crowdgauge.llm import langid, queries
 from crowdgauge.runtime import pin
 
 DIRECTORY = "/root/testdata/sf0.001"
@@ -28,6 +30,32 @@ def test_stages(spark):
     assert ends == kept.count()
 
 
+def test_language_id_rejects_what_was_not_learned(spark):
+    draw = random.Random(4)
+    noise = lambda n: " ".join("".join(draw.choices(string.ascii_lowercase, k=draw.randint(5, 9))) for _ in range(n))
+    planted = [noise(20), noise(400), noise(400).replace(" ", "")]
+    planted.append("Rząd ogłosił, że nowa ustawa wejdzie w życie w przyszłym roku po głosowaniu w parlamencie. " * 3)
+    planted.append("Hallitus ilmoitti, että uusi laki tulee voimaan ensi vuonna eduskunnan äänestyksen jälkeen. " * 3)
+    planted.append("Правительство объявило, что новый закон вступит в силу в следующем году после голосования. " * 3)
+    docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
+    rows = [(10**9 + i, text) for i, text in enumerate([*planted, None, "", "12 !?"])]
+    more = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(more, allowMissingColumns=True), DIRECTORY)
+    kept = {r.doc_id for r in kept.select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert kept == clean
+
+
+def test_language_id_keeps_clean_texts_of_every_length(spark):
+    docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet")
+    model = langid.learn(docs.filter(~langid.held_out()))
+    words = [r.text.split() for r in docs.filter(langid.held_out()).select("text").collect() if r.text]
+    cut = [(i, " ".join(w[:n])) for n in (3, 5, 10, 30, 100, 300) for i, w in enumerate(words) if len(w) > n]
+    found = langid.identify(spark.createDataFrame(cut, "doc_id bigint, text string"), model).collect()
+    low = [r for r in found if r.known < (corpus_pipeline.LEAST_KNOWN_SHORT if len(r.text.encode()) < 100 else 0.5)]
+    assert len(found) > 100 and not low, low
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
