@@ -46,14 +46,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, whole, in the order of training."""
-    order = mixing.schedule(mixing.demand(docs)).select(F.col("doc_id").alias("_id"), "position")
-    order = pin(order)
-    return (
-        docs.join(order, F.col("doc_id").eqNullSafe(F.col("_id")))
-        .orderBy("position", "doc_id")
-        .select(*docs.columns)
-    )
+    """Documents as often as the mix takes them, whole, in the order of training.
+
+    Rows are told apart by a number that is written with them, so those without a doc_id and those that
+    repeat one are documents of their own.
+    """
+    rows = pin(docs.withColumn("_row", F.monotonically_increasing_id()), codec="zstd")
+    plan = mixing.demand(rows, key="_row")
+    order = pin(plan.select("_row", F.explode("passes.position").alias("_position")))
+    return rows.join(order, "_row").orderBy("_position", "doc_id", "_row").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

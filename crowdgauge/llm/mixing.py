@@ -93,6 +93,7 @@ def demand(
     share: float = 1.5,
     cap: int = 2,
     schedules: Sequence[Sequence[float]] = SCHEDULES,
+    key: str | None = None,
 ) -> DataFrame:
     """What the mix takes of every document: (doc_id, source, size, source_size, target, taken,
     passes: array of (words, position)).
@@ -102,15 +103,19 @@ def demand(
     one, whose last document may be taken in part. No document is taken more than ``cap`` times.
     ``passes`` has each time it is taken with its training position in [0, 1). The order depends on
     the ids alone, so reruns agree. A null source is a source of its own, last in order; rows without
-    a doc_id come first in theirs. Equal rows are documents of their own.
+    a doc_id come first in theirs. Equal rows are documents of their own. With ``key``, a column that
+    tells rows apart, the result has it too, and rows without a doc_id are spread by it.
     """
-    number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    nameless = F.concat(F.lit("row "), F.col(key).cast("string")) if key else F.lit("")
+    number = F.coalesce(F.col("doc_id").cast("string"), nameless)
+    keys = [key] if key else []
     sized = pin(
         docs.select(
             F.col("doc_id").cast("bigint").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text").cast("string")).alias("size"),
             F.substring(F.md5(number), 1, 16).alias("hashed"),
+            *keys,
         )
     )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -123,7 +128,7 @@ def demand(
     offsets = sums.select("place", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))
     within = (
         Window.partitionBy("place", "bucket")
-        .orderBy("hashed", "doc_id", "size")
+        .orderBy("hashed", "doc_id", "size", *keys)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     placed = (
@@ -158,10 +163,12 @@ def demand(
         "target",
         (F.col("full") * F.col("size") + F.col("part")).cast("bigint").alias("taken"),
         passes.alias("passes"),
+        *keys,
     )
 
 
-def schedule(plan: DataFrame) -> DataFrame:
-    """One row for each time a document is taken, in the order of training."""
+def schedule(plan: DataFrame, key: str | None = None) -> DataFrame:
+    """One row for each time a document is taken, in the order of training; with ``key`` its column too."""
     turns = plan.withColumn("turn", F.explode("passes"))
-    return turns.select("doc_id", "source", "turn.words", "turn.position").orderBy("position", "doc_id")
+    keys = [key] if key else []
+    return turns.select("doc_id", "source", "turn.words", "turn.position", *keys).orderBy("position", "doc_id", *keys)

@@ -10,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 from compare import compare, connect
-from crowdgauge.llm import langid, queries
+from crowdgauge.llm import langid, mixing, queries
 from crowdgauge.runtime import pin
 
 DIRECTORY = "/root/testdata/sf0.001"
@@ -56,6 +56,22 @@ def test_language_id_keeps_clean_texts_of_every_length(spark):
     assert len(found) > 100 and not low, low
 
 
+def test_mix_of_rows_without_an_id_and_with_the_same(spark):
+    """All texts have four words, so each source's rows are its target over four, rounded up."""
+    ids = [None] * 40 + [7] * 5 + list(range(100, 130))
+    rows = [(n, f"w{i} a b c", "en", "xyz"[i % 3] if i % 11 else None, 0) for i, n in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    mixed = [r.asDict() for r in corpus_pipeline.mix_sources(spark, docs, DIRECTORY).collect()]
+    sizes = {x: 4 * sum(r[3] == x for r in rows) for x in ("x", "y", "z", None)}
+    sources = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    for r in mixing.targets(sources).collect():
+        got = [m["text"] for m in mixed if m["source"] == r.source]
+        assert len(got) == -(-int(r.target) // 4), r.source
+        whole = int(r.target) // r.source_size
+        assert all(whole <= got.count(x[1]) <= whole + 1 for x in rows if x[3] == r.source)
+    assert {tuple(m.values()) for m in mixed} <= set(rows)
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
