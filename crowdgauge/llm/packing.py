@@ -129,9 +129,10 @@ def _place(capacity: int, windows: int, end_id: int, ranks: str | None):
         task = TaskContext.get().partitionId()
         packer = Packer(capacity, windows, task << 32)
         end = np.array([end_id], np.uint32)
+        added = tokens.added_tokens() if ranks is None else None
         for batch in X.small(batches):
             ids = batch.column("doc_id").to_pylist()
-            for doc, found in zip(ids, tokens.encode(batch.column("text"), ranks), strict=True):
+            for doc, found in zip(ids, tokens.encode(batch.column("text"), ranks, added), strict=True):
                 packer.add(doc, 0, np.concatenate([found, end]), len(found) + 1)
                 if len(packer.closed) >= 4096:
                     yield _with(packer.rows(), task, False)
@@ -166,7 +167,7 @@ def pack(
     without gaps from offset 0. Sequences hold ``capacity`` ids, but for the last of each merge,
     whose lengths are powers of two, so no sequence needs padding. Rows that repeat a doc_id are
     packed each; a null doc_id is kept as null. Other columns are ignored. ``ranks`` is the path of
-    a rank file; without it the public vocabulary is used.
+    a rank file; without it the public vocabulary is used, with the added tokens of its tokenizer file.
     """
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = pin(

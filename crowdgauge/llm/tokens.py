@@ -3,12 +3,15 @@
 The vocabulary is ``byte_bpe_50k.json``; its rank file holds the same one for a faster library. A
 text is cut before white space that follows something else, where the tokenizer always splits, so
 the pieces can be encoded apart. A chunk's distinct pieces are joined and encoded in one call, and
-the ids of every text are gathered from them.
+the ids of every text are gathered from them. The file's added tokens are no part of the rank file;
+where asked for, texts are cut at them first, as the tokenizer does.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +21,7 @@ import pyarrow as pa
 from crowdgauge.llm import text as X
 
 RANKS = "byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of text whose pieces are encoded together.
 CHUNK = 1 << 20
 
@@ -39,6 +43,18 @@ def encoder(ranks: str | None = None):
     return tiktoken.Encoding("bpe", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={}), sizes
 
 
+@lru_cache(maxsize=1)
+def added_tokens() -> dict[bytes, int]:
+    """The ids of the tokenizer file's added tokens, which it finds in plain text."""
+    import public_tokenizers as P
+
+    with open(P.path(TOKENIZER), "rb") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError(f"an added token of {TOKENIZER} is not matched literally")
+    return {t["content"].encode(): t["id"] for t in added}
+
+
 def _surely_solid(raw: np.ndarray) -> np.ndarray:
     """Last bytes of characters that are no white space: ASCII, and two bytes from U+00C0 on."""
     solid = X._SOLID[raw] & (raw < 128)
@@ -92,8 +108,29 @@ def _encode_pieces(raw: np.ndarray, starts: np.ndarray, ranks: str | None):
     return gathered, np.diff(totals)
 
 
-def encode(column: pa.Array, ranks: str | None = None) -> Iterator[np.ndarray]:
-    """The ids of every text of a string column, in order; null has none."""
+def _encode_around(raw: np.ndarray, starts: np.ndarray, ranks: str | None, added: dict[bytes, int]):
+    """``_encode_pieces`` of texts that are cut at the literals of added tokens, whose ids stand there."""
+    data = raw.tobytes()
+    literal = re.compile(b"|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+    if not added or not literal.search(data):
+        return _encode_pieces(raw, starts, ranks)
+    found = [m for a, b in zip(starts, starts[1:]) for m in literal.finditer(data, a, b)]
+    begins = np.array([m.start() for m in found], np.int64)
+    borders = np.unique(np.concatenate([starts, begins, np.array([m.end() for m in found], np.int64)]))
+    ids, counts = _encode_pieces(raw, borders, ranks)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    for at, m in zip(np.searchsorted(borders, begins), found, strict=True):
+        parts[at] = np.array([added[m.group()]], np.uint32)
+    before = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return np.concatenate(parts), np.diff(before[np.searchsorted(borders, starts)])
+
+
+def encode(column: pa.Array, ranks: str | None = None, added: dict[bytes, int] | None = None) -> Iterator[np.ndarray]:
+    """The ids of every text of a string column, in order; null has none.
+
+    The literals of ``added`` get their ids; without it they are plain text, as with the tokenizer's
+    ``encode_special_tokens``.
+    """
     for _, _, raw, starts in X.chunks(column, CHUNK):
-        ids, counts = _encode_pieces(raw, starts, ranks)
+        ids, counts = _encode_around(raw, starts, ranks, added or {})
         yield from np.split(ids, np.cumsum(counts)[:-1])

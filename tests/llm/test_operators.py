@@ -192,6 +192,26 @@ def test_tokens_of_odd_texts():
         assert ids.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+def test_packing_has_the_ids_of_the_tokenizer_as_loaded(spark):
+    """Its added token is found in plain text; literals do not reach over documents or into each other."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    draw = random.Random(10)
+    pieces = ["a", "it's", " ", "  ", "\n", "é", "漢字", "12", "...", "<|endoftext|>", "<|endoftext", "|>", "<|"]
+    texts = ["".join(draw.choices(pieces, k=draw.randint(0, 12))) for _ in range(1500)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|>" * 3, "<|endoftext", "|> b", None, "", "<|endo", "text|>"]
+    want = [[*tokenizer.encode(x or "", add_special_tokens=False).ids, 1] for x in texts]
+    assert 50256 in want[1500]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {}
+    for p in packing.pack(table.repartition(3)).collect():
+        found.setdefault(p.doc_id, {})[p.start] = np.frombuffer(p.ids, "<u4").tolist()
+    for i, ids in enumerate(want):
+        assert [x for _, part in sorted(found[i].items()) for x in part] == ids, repr(texts[i])
+
+
 def test_line_dedup(docs, rows, empty):
     seen, want = {}, {}
     texts = dict((r[0], r[1]) for r in rows)
