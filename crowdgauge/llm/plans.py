@@ -11,12 +11,14 @@ from crowdgauge.llm import (
     chains,
     knn_join,
     langid,
+    lexical,
     line_dedup,
     mixing,
     multi_index,
     ngram_join,
     packing,
     rollup,
+    sentence_pieces,
     substring,
 )
 from crowdgauge.llm.queries import query, table
@@ -243,3 +245,54 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals.commit("load", load)
     totals.commit("copies", gone)
     return totals.totals()
+
+
+@query(
+    "op12_bag_search",
+    r"""
+    WITH t AS (
+        SELECT doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS raw
+        FROM documents
+    ), d AS (
+        SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM t
+    ), sizes AS (
+        SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id
+    ), g AS (
+        SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS l FROM sizes
+    ), i AS (
+        SELECT DISTINCT item_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+        FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS raw
+              FROM benchmark)
+    ), tf AS (
+        SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY doc_id, term
+    ), w AS (
+        SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM tf, g GROUP BY term, big_n
+    ), s AS (
+        SELECT i.item_id, tf.doc_id,
+               CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // l)))) AS BIGINT) AS score
+        FROM tf JOIN w USING (term) JOIN sizes USING (doc_id) JOIN i USING (term), g
+        GROUP BY i.item_id, tf.doc_id
+    ), r AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+        FROM s WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for each benchmark item."""
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query("op13_sentence_pieces")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to, as digests."""
+    done = sentence_pieces.encode(table(spark, sf_dir, "documents"))
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(digits, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
