@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crowdgauge.llm import (
     chains,
+    hard_negatives,
     knn_join,
     langid,
     lexical,
@@ -296,3 +297,39 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(digits, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND label IS NOT NULL
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), s AS (
+        SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+               CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+        FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.e) = len(c.e)
+    ), p AS (
+        SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+            FROM s WHERE same
+        ) WHERE place <= 5
+    ), n AS (
+        SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id,
+               p.score AS positive_score, s.score AS negative_score,
+               CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)
+                    AS INTEGER) AS rank
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+            AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+    )
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten hard negatives for each of five positives of every hundredth vector, with every seventh label moved."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
