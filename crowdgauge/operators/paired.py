@@ -149,6 +149,131 @@ def bt_fit(
     return bt_iterate(win, group, eps, max_iter, tol)
 
 
+def _reached(at: np.ndarray, low: np.ndarray, begin: np.ndarray, nodes: np.ndarray, size: int) -> np.ndarray:
+    """Least label that each node hears, from values in the order of the nodes."""
+    out = np.full((size, low.shape[1]), size, low.dtype)
+    out[nodes] = np.minimum.reduceat(low[at], begin, axis=0)
+    return out
+
+
+class _Graph:
+    """The edges of one fit as codes, with what a node's sums over its edges need."""
+
+    def __init__(self, winner: np.ndarray, loser: np.ndarray, label: np.ndarray):
+        self.items, codes = np.unique(np.concatenate([winner, loser]), return_inverse=True)
+        half, self.size = len(winner), len(self.items)
+        self.winner, self.loser = codes[:half], codes[half:]
+        self.at, self.begin, self.nodes = self._order(codes)
+        self.won_at, self.won_begin, self.won_nodes = self._order(self.winner)
+        parts = np.empty(self.size, label.dtype)
+        parts[self.winner], parts[self.loser] = label, label
+        self.labels, self.part = np.unique(parts, return_inverse=True)
+        self.part_at, self.part_begin, _ = self._order(self.part)
+        self.part_size = np.bincount(self.part)[:, None].astype(float)
+
+    @staticmethod
+    def _order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.argsort(codes, kind="stable")
+        nodes, begin = np.unique(codes[at], return_index=True)
+        return at, begin, nodes
+
+    def preserved(self, drawn: np.ndarray) -> np.ndarray:
+        """Replicates (columns of ``drawn``) in which every part is still joined."""
+        own = np.broadcast_to(np.arange(self.size, dtype=np.int32)[:, None], (self.size, drawn.shape[1])).copy()
+        there = np.concatenate([drawn, drawn])
+        while True:
+            far = np.where(there, np.concatenate([own[self.loser], own[self.winner]]), self.size)
+            new = np.minimum(own, _reached(self.at, far, self.begin, self.nodes, self.size))
+            new = np.take_along_axis(new, new, axis=0)
+            if np.array_equal(new, own):
+                break
+            own = new
+        roots = (own == np.arange(self.size)[:, None]).sum(axis=0)
+        return roots == len(self.labels)
+
+    def settle(self, weight: np.ndarray, start: np.ndarray | None, eps: float, max_iter: int, tol: float) -> np.ndarray:
+        """Log-strengths [item, replicate]; every replicate stops when none of its parts moves."""
+        won = np.zeros((self.size, weight.shape[1]))
+        won[self.won_nodes] = np.add.reduceat(weight[self.won_at], self.won_begin, axis=0)
+        won += eps
+        pi = np.ones_like(won) if start is None else np.repeat(np.exp(start)[:, None], won.shape[1], axis=1)
+        out, live = np.empty_like(pi), np.arange(won.shape[1])
+        for _ in range(max_iter):
+            share = weight / (pi[self.winner] + pi[self.loser])
+            met = np.add.reduceat(np.concatenate([share, share])[self.at], self.begin, axis=0)
+            new = won / (met + 2.0 * eps / (pi + 1.0))
+            level = np.add.reduceat(np.log(new)[self.part_at], self.part_begin, axis=0) / self.part_size
+            new /= np.exp(level)[self.part]
+            open_ = np.abs(np.log(new / pi)).max(axis=0) >= tol
+            pi = new
+            if not open_.all():
+                out[:, live[~open_]] = pi[:, ~open_]
+                pi, won, weight, live = pi[:, open_], won[:, open_], weight[:, open_], live[open_]
+                if not len(live):
+                    break
+        out[:, live] = pi
+        return np.log(out)
+
+
+def bt_blocks(
+    blocks: DataFrame,
+    found: DataFrame,
+    labels: DataFrame,
+    fit: Sequence[str],
+    eps: float,
+    max_iter: int,
+    tol: float,
+    start: DataFrame | None = None,
+) -> DataFrame:
+    """(fit, rep, preserved, item_id, theta, label) from ``resample.replicate_blocks``, arrays but for rep.
+
+    A task solves a run of replicates of one fit side by side. ``start`` (fit, item_id, theta) are
+    strengths to begin with, such as those of all rows; without it all items begin equal.
+    """
+    keys, warm = list(fit), start is not None
+    kinds = dict(found.select(*keys, "winner").dtypes)
+    ends = found.select(*keys, "cell", "winner", "loser").join(labels.withColumnRenamed("node", "winner"), [*keys, "winner"])
+    for side in ("winner", "loser"):
+        if start is None:
+            ends = ends.withColumn(f"{side}_theta", F.lit(0.0))
+        else:
+            first = start.select(*keys, F.col("item_id").alias(side), F.col("theta").alias(f"{side}_theta"))
+            ends = ends.join(first, [*keys, side])
+    item = kinds["winner"]
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "rep int, preserved boolean"])
+
+    def solve(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("cell", kind="stable")
+        cell = part["cell"].to_numpy()
+        begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        # bundles of units may share a cell
+        weight = np.add.reduceat(np.stack(part["weights"].to_numpy()), begin, axis=0)
+        drawn = np.add.reduceat(np.stack(part["times"].to_numpy()), begin, axis=0) > 0
+        edges = part.iloc[begin]
+        g = _Graph(*(edges[c].to_numpy() for c in ("winner", "loser", "label")))
+        good = g.preserved(drawn)
+        theta0 = None
+        if warm:
+            theta0 = np.empty(g.size)
+            theta0[g.winner], theta0[g.loser] = edges["winner_theta"], edges["loser_theta"]
+        theta = np.zeros((g.size, len(good)))
+        if good.any():
+            theta[:, good] = g.settle(weight[:, good], theta0, eps, max_iter, tol)
+        out = pd.DataFrame({"rep": key[-1] + np.arange(len(good)), "preserved": good})
+        out["items"] = [g.items] * len(good)
+        out["theta"] = list(theta.T)
+        out["labels"] = [g.labels[g.part]] * len(good)
+        for name, value in zip(keys, key, strict=False):
+            out[name] = value
+        return out[[*keys, "rep", "preserved", "items", "theta", "labels"]]
+
+    return (
+        blocks.join(ends, [*keys, "cell"])
+        .groupBy(*keys, "first")
+        .applyInPandas(solve, f"{schema}, items array<{item}>, theta array<double>, labels array<{item}>")
+    )
+
+
 def center(
     theta: DataFrame, members: DataFrame, group: Sequence[str], value: str = "theta"
 ) -> DataFrame:
@@ -189,45 +314,37 @@ def fit_dimensions(
     max_iter: int = S.DEFAULTS["aggregation.max_iter"],
     tol: float = S.DEFAULTS["aggregation.tol"],
     cluster: str | None = None,
-    mode: str = "exact",
+    warm: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Scores with intervals of every fit at once: (estimates, report).
 
+    Replicates draw comparisons, or with ``cluster`` whole people; with ``warm`` they start from the
+    strengths of all rows.
+
     Estimates: fit, item_id, value, low, high, n, support, unknown_rate, norm for every pool item.
     Report: fit, comparisons, components, attempts, discarded, failed.
     """
     fit = list(fit)
     a_won = F.col("choice") == "a"
-    rows = pin(
-        estimate.decisive(w).select(
-            *fit,
-            "response_id",
-            "respondent_id",
-            F.when(a_won, F.col("item_a")).otherwise(F.col("item_b")).alias("winner"),
-            F.when(a_won, F.col("item_b")).otherwise(F.col("item_a")).alias("loser"),
-            "weight",
-        )
-    )
-    win = pin(
-        rows.groupBy(*fit, "winner", "loser").agg(
-            F.sum("weight").alias("weight"), F.count("*").alias("n")
-        )
+    w = pin(w.select(*fit, "respondent_id", "item_a", "item_b", "choice", "weight"))
+    rows = estimate.decisive(w).select(
+        *fit,
+        "respondent_id",
+        F.when(a_won, F.col("item_a")).otherwise(F.col("item_b")).alias("winner"),
+        F.when(a_won, F.col("item_b")).otherwise(F.col("item_a")).alias("loser"),
+        "weight",
     )
+    win = resample.cells(rows, fit, ["winner", "loser"])
     edges = _edges_of(win, fit)
     nodes = edges.select(*fit, F.explode(F.array("u", "v")).alias("node"))
     labels = pin(graph.components_of_many(edges, nodes, fit))
     main = graph.largest(labels, fit).select(*fit, "main", "components")
     members = pool.select("item_id")
 
-    def scores(edges: DataFrame, group: Sequence[str]) -> DataFrame:
-        theta = bt_fit(_labelled(edges, labels, fit), [*group, "label"], eps, max_iter, tol)
-        return center(theta, members, [*group, "label"])
-
-    full = scores(win, fit)
-    stats, report = resample.replicate_stats(
-        rows, labels, fit, ["winner", "loser"], _edges_of, n_rep, seed, cluster, mode
-    )
-    boot = scores(stats, [*fit, "rep"]).withColumnRenamed("theta", "value")
+    raw = pin(bt_fit(_labelled(win, labels, fit), [*fit, "label"], eps, max_iter, tol))
+    full = center(raw, members, [*fit, "label"])
+    solver = {"eps": eps, "max_iter": max_iter, "tol": tol, "start": raw if warm else None}
+    boot, report = _replicates(rows, win, labels, members, fit, n_rep, seed, cluster, solver)
     interval = estimate.percentile_interval(boot, [*fit, "item_id"])
     sizes = (
         win.select(*fit, "n", F.explode(F.array("winner", "loser")).alias("item_id"))
@@ -253,6 +370,38 @@ def fit_dimensions(
     return estimate.min_max_norm(estimates, fit), summary
 
 
+def _replicates(
+    rows: DataFrame,
+    win: DataFrame,
+    labels: DataFrame,
+    members: DataFrame,
+    fit: list[str],
+    n_rep: int,
+    seed: int,
+    cluster: str | None,
+    solver: dict[str, Any],
+) -> tuple[DataFrame, DataFrame]:
+    """(centred scores of the admissible replicates as ``value``, report)."""
+    tries, group = resample.candidates(n_rep), [*fit, "rep", "label"]
+    if largest_group(win, fit) > EDGES_PER_TASK:
+        stats, report = resample.replicate_stats(
+            rows, labels, fit, ["winner", "loser"], _edges_of, n_rep, seed, cluster
+        )
+        theta = bt_iterate(_labelled(stats, labels, fit), group, solver["eps"], solver["max_iter"], solver["tol"])
+    else:
+        blocks = resample.replicate_blocks(rows, win, fit, ["winner", "loser"], tries, seed, cluster)
+        solved = pin(bt_blocks(blocks, win, labels, fit, **solver))
+        kept, report = resample.first_admissible(solved, labels, fit, n_rep)
+        report = pin(report)
+        each = F.explode(F.arrays_zip("items", "theta", "labels")).alias("_e")
+        theta = (
+            solved.join(kept, [*fit, "rep"], "left_semi")
+            .select(*fit, "rep", each)
+            .select(*fit, "rep", F.col("_e.labels").alias("label"), F.col("_e.items").alias("item_id"), "_e.theta")
+        )
+    return center(theta, members, group).withColumnRenamed("theta", "value"), report
+
+
 def fit_segments(
     w: DataFrame, pool: DataFrame, sizes: DataFrame, **options
 ) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crowdgauge.functions import columns as C
 from crowdgauge.operators import estimate, graph, paired, resample
 from crowdgauge.operators import report as R
+from crowdgauge.plans.draws import hash_sql, times_sql
 from crowdgauge.plans.registry import query
 
 P = C.plain
@@ -83,78 +84,99 @@ def e1_scores_converged(b):
     return theta.withColumn("theta", P("theta"))
 
 
-def _drawn(b, **options):
-    rows = estimate.decisive(b.wpairs).select("dimension_id", "response_id", "respondent_id", "weight")
-    return resample.resample(rows, ["dimension_id"], REPS, SEED, **options)
+_COMPARED = """SELECT dimension_id, respondent_id, weight, CASE choice WHEN 'a' THEN item_a ELSE item_b END AS winner,
+  CASE choice WHEN 'a' THEN item_b ELSE item_a END AS loser FROM wpairs WHERE choice IN ('a', 'b')"""
+_TIMES = " + ".join(f"CAST(draw >= {t!r}e0 AS BIGINT)" for t in resample.poisson_steps())
+_REPS = f"(SELECT CAST(unnest(range({REPS})) AS INTEGER) AS rep)"
+_TRIES = resample.candidates(REPS)
 
 
-def _draw_summary(drawn):
-    return drawn.groupBy("dimension_id", "rep").agg(
-        F.sum("times").alias("rows"), P(F.sum(F.col("weight") * F.col("times"))).alias("weight")
-    )
+def _units_sql(fit: str = "dimension_id", rows: str = "r", stat: str = "winner, loser") -> str:
+    """Equal rows of a cell as units, in the order in which they are drawn from."""
+    return f"""units AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {fit} ORDER BY {stat}, weight) - 1 AS i FROM
+  (SELECT {fit}, {stat}, weight, count(*) AS c FROM {rows} GROUP BY ALL))"""
 
 
-def _hash_sql(digits: int, *keys: str) -> str:
-    return f"('0x' || substr(md5(concat_ws('|', {', '.join([str(SEED), *keys])})), 1, {digits}))::BIGINT"
+def _people_sql(rows: str = "r") -> str:
+    return f"""units AS MATERIALIZED (SELECT dimension_id, respondent_id, 1 AS c, row_number() OVER (PARTITION BY dimension_id ORDER BY respondent_id) - 1 AS i
+  FROM (SELECT DISTINCT dimension_id, respondent_id FROM {rows}))"""
 
 
-_ROWS = "SELECT dimension_id, response_id, respondent_id, weight FROM wpairs WHERE choice IN ('a', 'b')"
-_REPS = f"(SELECT CAST(unnest(range({REPS})) AS INTEGER) AS rep)"
-_TIMES = " + ".join(f"CAST(draw >= {t!r}e0 AS BIGINT)" for t in resample.poisson_steps())
+def _compared(b):
+    a_won = F.col("choice") == "a"
+    return estimate.decisive(b.wpairs).select(
+        "dimension_id",
+        "response_id",
+        "respondent_id",
+        F.when(a_won, F.col("item_a")).otherwise(F.col("item_b")).alias("winner"),
+        F.when(a_won, F.col("item_b")).otherwise(F.col("item_a")).alias("loser"),
+        "weight",
+    )
+
+
+def _draw_summary(drawn):
+    return drawn.groupBy("dimension_id", "rep").agg(F.sum("times").alias("rows"), P(F.sum("weight")).alias("weight"))
 
 
 @query(
     "e7_bootstrap_by_comparison",
     "wpairs",
     f"""
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY dimension_id ORDER BY response_id) - 1 AS i, count(*) OVER (PARTITION BY dimension_id) AS n FROM ({_ROWS})),
-d AS (SELECT dimension_id, rep, {_hash_sql(15, "dimension_id", "rep", "i")} % n AS i FROM r, {_REPS})
-SELECT dimension_id, rep, count(*) AS rows, round(sum(weight), 6) AS weight FROM d JOIN r USING (dimension_id, i) GROUP BY ALL""",
+WITH r AS ({_COMPARED}),
+{_units_sql()},
+{times_sql("units", ["dimension_id"], REPS, SEED)}
+SELECT dimension_id, rep, CAST(sum(times) AS BIGINT) AS rows, round(sum(weight * times), 6) AS weight
+FROM times JOIN units USING (dimension_id, i) GROUP BY ALL""",
 )
 def e7_bootstrap_by_comparison(b):
-    return _draw_summary(_drawn(b))
+    """As many draws as comparisons, summed per replicate."""
+    return _draw_summary(resample.resample(_compared(b), ["dimension_id"], ["winner", "loser"], REPS, SEED))
 
 
 @query(
     "e7_bootstrap_poisson",
     "wpairs",
     f"""
-WITH d AS (SELECT *, {_hash_sql(13, "dimension_id", "rep", "response_id")} / 4503599627370496e0 AS draw FROM ({_ROWS}), {_REPS}),
+WITH d AS (SELECT *, {hash_sql(13, SEED, "dimension_id", "rep", "response_id")} / 4503599627370496e0 AS draw FROM
+  (SELECT dimension_id, response_id, weight FROM wpairs WHERE choice IN ('a', 'b')), {_REPS}),
 t AS (SELECT *, {_TIMES} AS times FROM d)
 SELECT dimension_id, rep, CAST(sum(times) AS BIGINT) AS rows, round(sum(weight * times), 6) AS weight FROM t WHERE times > 0 GROUP BY ALL""",
 )
 def e7_bootstrap_poisson(b):
-    return _draw_summary(_drawn(b, mode="poisson"))
+    drawn = resample.poisson(_compared(b), ["dimension_id"], REPS, SEED)
+    return _draw_summary(drawn.withColumn("weight", F.col("weight") * F.col("times")))
 
 
 @query(
     "e8_bootstrap_by_respondent",
     "wpairs",
     f"""
-WITH r AS ({_ROWS}),
-u AS (SELECT *, row_number() OVER (PARTITION BY dimension_id ORDER BY respondent_id) - 1 AS i, count(*) OVER (PARTITION BY dimension_id) AS n
-  FROM (SELECT DISTINCT dimension_id, respondent_id FROM r)),
-d AS (SELECT dimension_id, rep, {_hash_sql(15, "dimension_id", "rep", "i")} % n AS i, count(*) AS times FROM u, {_REPS} GROUP BY ALL),
-c AS (SELECT dimension_id, respondent_id, rep, times FROM d JOIN u USING (dimension_id, i))
-SELECT dimension_id, rep, CAST(sum(times) AS BIGINT) AS rows, round(sum(weight * times), 6) AS weight FROM r JOIN c USING (dimension_id, respondent_id) GROUP BY ALL""",
+WITH r AS ({_COMPARED}),
+{_people_sql()},
+{times_sql("units", ["dimension_id"], REPS, SEED)},
+p AS (SELECT dimension_id, respondent_id, count(*) AS n, sum(weight) AS weight FROM r GROUP BY ALL)
+SELECT dimension_id, rep, CAST(sum(n * times) AS BIGINT) AS rows, round(sum(weight * times), 6) AS weight
+FROM times JOIN units USING (dimension_id, i) JOIN p USING (dimension_id, respondent_id) GROUP BY ALL""",
 )
 def e8_bootstrap_by_respondent(b):
-    return _draw_summary(_drawn(b, cluster="respondent_id"))
-
-
-_TRIES = resample.candidates(REPS)
+    """As many draws of people as there are people; their comparisons follow them."""
+    drawn = resample.resample(
+        _compared(b), ["dimension_id"], ["winner", "loser"], REPS, SEED, cluster="respondent_id"
+    )
+    return _draw_summary(drawn)
 
 
 @query(
     "e12_replicate_admissibility",
     "wpairs",
     f"""
-WITH RECURSIVE r AS (SELECT dimension_id, item_a AS u, item_b AS v, row_number() OVER (PARTITION BY dimension_id ORDER BY response_id) - 1 AS i,
-  count(*) OVER (PARTITION BY dimension_id) AS n FROM wpairs WHERE choice IN ('a', 'b')),
-d AS (SELECT dimension_id, rep, {_hash_sql(15, "dimension_id", "rep", "i")} % n AS i FROM r, (SELECT unnest(range({_TRIES})) AS rep)),
-e AS (SELECT dimension_id, rep, u, v FROM d JOIN r USING (dimension_id, i) UNION SELECT dimension_id, -1, u, v FROM r),
+WITH RECURSIVE r AS ({_COMPARED}),
+{_units_sql()},
+{times_sql("units", ["dimension_id"], _TRIES, SEED)},
+e AS (SELECT DISTINCT dimension_id, rep, least(winner, loser) AS u, greatest(winner, loser) AS v FROM times JOIN units USING (dimension_id, i)
+  UNION ALL SELECT DISTINCT dimension_id, -1, least(winner, loser), greatest(winner, loser) FROM r),
 both_ AS (SELECT dimension_id, rep, u, v FROM e UNION SELECT dimension_id, rep, v, u FROM e),
-walk AS (SELECT dimension_id, rep, node, node AS seen FROM (SELECT DISTINCT dimension_id, unnest([u, v]) AS node FROM r), (SELECT unnest(range(-1, {_TRIES})) AS rep)
+walk AS (SELECT dimension_id, rep, node, node AS seen FROM (SELECT DISTINCT dimension_id, unnest([winner, loser]) AS node FROM r), (SELECT unnest(range(-1, {_TRIES})) AS rep)
   UNION SELECT w.dimension_id, w.rep, w.node, b.v FROM walk w JOIN both_ b ON b.dimension_id = w.dimension_id AND b.rep = w.rep AND b.u = w.seen),
 k AS (SELECT dimension_id, rep, count(DISTINCT label) AS parts FROM (SELECT dimension_id, rep, node, min(seen) AS label FROM walk GROUP BY ALL) GROUP BY ALL),
 good AS (SELECT k.dimension_id, k.rep, row_number() OVER (PARTITION BY k.dimension_id ORDER BY k.rep) AS place
@@ -164,13 +186,7 @@ SELECT dimension_id, coalesce(tries, {_TRIES}) AS attempts, coalesce(tries - {RE
 )
 def e12_replicate_admissibility(b):
     """Replicates of all comparisons, and which of them keep the graph."""
-    rows = estimate.decisive(b.wpairs).select(
-        "dimension_id",
-        "response_id",
-        F.col("item_a").alias("winner"),
-        F.col("item_b").alias("loser"),
-        "weight",
-    )
+    rows = _compared(b)
     edges = paired._edges_of(rows, ["dimension_id"])
     nodes = edges.select("dimension_id", F.explode(F.array("u", "v")).alias("node"))
     labels = graph.components(edges, nodes, ["dimension_id"])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crowdgauge.operators import behaviour, graph, ordinal, paired, resample
+from crowdgauge.operators import behaviour, graph, multinomial, ordinal, paired, resample
 from crowdgauge.operators.scan import OrderedGroups
 
 WIN = "fit string, winner int, loser int, weight double"
@@ -170,40 +170,37 @@ def test_ordered_scan_in_blocks(spark, limit):
 
 
 def _rows(spark, n=60):
-    rows = [("f" if i % 3 else "g", i, f"p{i % 7}", 1.0 + i % 5) for i in range(n)]
-    return spark.createDataFrame(rows, "fit string, response_id bigint, respondent_id string, weight double")
+    rows = [("f" if i % 3 else "g", i, f"p{i % 7}", i % 9, 1.0 + i % 5) for i in range(n)]
+    return spark.createDataFrame(
+        rows, "fit string, response_id bigint, respondent_id string, cell_of int, weight double"
+    )
 
 
 def _drawn(df):
-    return sorted(
-        (r["fit"], r["rep"], r["response_id"], r["t"])
-        for r in df.groupBy("fit", "rep", "response_id").agg(F.sum("times").alias("t")).collect()
-    )
+    return sorted(map(tuple, df.collect()))
 
 
-def test_draws_do_not_depend_on_partitions(spark):
+def test_draws_do_not_depend_on_partitions_bundles_or_runs(spark):
     rows = _rows(spark)
-    one = _drawn(resample.resample(rows.coalesce(1), ["fit"], 4, 9))
-    many = _drawn(resample.resample(rows.repartition(7), ["fit"], 4, 9))
-    assert one == many
+    draw = lambda df, seed=9, **o: _drawn(resample.resample(df, ["fit"], ["cell_of"], 5, seed, **o))
+    one = draw(rows.coalesce(1))
+    assert one == draw(rows.repartition(7))
+    assert one == draw(rows, rows_per_task=1) == draw(rows, rows_per_task=4, reps_per_task=2)
     sizes = {}
-    for fit, rep, _, times in one:
+    for fit, rep, _, _, times in one:
         sizes[fit, rep] = sizes.get((fit, rep), 0) + times
-    assert sizes == {(f, r): (40 if f == "f" else 20) for f in "fg" for r in range(4)}
-    assert one != _drawn(resample.resample(rows, ["fit"], 4, 10))
-
-
-def test_draws_by_shuffle_equal_draws_by_broadcast(spark, monkeypatch):
-    rows = _rows(spark)
-    small = _drawn(resample.resample(rows, ["fit"], 3, 2))
-    monkeypatch.setattr(resample, "BROADCAST_ROWS", 0)
-    assert _drawn(resample.resample(rows, ["fit"], 3, 2)) == small
+    assert sizes == {(f, r): (40 if f == "f" else 20) for f in "fg" for r in range(5)}
+    assert one != draw(rows, 10)
+    by_person = draw(rows, cluster="respondent_id")
+    assert by_person == draw(rows, cluster="respondent_id", rows_per_task=1, reps_per_task=1)
 
 
 def test_cluster_draws_keep_people_whole(spark):
-    drawn = resample.resample(_rows(spark), ["fit"], 5, 4, cluster="respondent_id").collect()
+    rows = _rows(spark)
+    drawn = resample.resample(rows, ["fit"], ["response_id"], 5, 4, cluster="respondent_id")
     times = {}
-    for r in drawn:
+    for r in drawn.join(rows.select("response_id", "respondent_id", F.col("weight").alias("one")), "response_id").collect():
+        assert r["weight"] == pytest.approx(r["times"] * r["one"])
         times.setdefault((r["fit"], r["rep"], r["respondent_id"]), set()).add(r["times"])
     assert all(len(v) == 1 for v in times.values())
     for fit in "fg":
@@ -211,9 +208,69 @@ def test_cluster_draws_keep_people_whole(spark):
             assert sum(next(iter(v)) for k, v in times.items() if k[:2] == (fit, rep)) == 7
 
 
+def test_draws_have_the_moments_of_a_multinomial():
+    size = np.array([1, 5, 50, 500, 3, 41, 4_000])
+    n, reps = size.sum(), np.arange(4_000)
+    times = multinomial.times((77, 88), reps, len(size), n, size)
+    assert (times.sum(axis=0) == n).all()
+    assert times.mean(axis=1) == pytest.approx(size, rel=0.06)
+    assert times.var(axis=1) == pytest.approx(size * (1 - size / n), rel=0.12)
+    joint = np.cov(times) + np.outer(size, size) / n
+    assert abs(joint[3, 6]) < 20  # covariances are -a b / n, here about 435
+
+
+def test_bundles_draw_as_the_whole_tree_does():
+    draw = np.random.default_rng(3)
+    for size in (draw.integers(1, 2_000, 700), np.ones(700, int)):
+        n, reps = int(size.sum()), np.arange(6)
+        whole = multinomial.times((1, 2), reps, len(size), n, size)
+        for width in (1, 8, 64, 1_024):
+            parts = [size[i : i + width] for i in range(0, len(size), width)]
+            totals = np.array([p.sum() for p in parts])
+            got = [multinomial.times((1, 2), reps, len(size), n, p, k, totals) for k, p in enumerate(parts)]
+            assert (np.concatenate(got) == whole).all()
+
+
+def test_binomial_quantiles_by_sums_and_by_integrals_agree():
+    u = np.random.default_rng(5).random(5_000)
+    for m, p in ((8_000, 0.5), (100_000, 0.03), (120_000, 0.4)):
+        m, p = np.full(len(u), m), np.full(len(u), p)
+        assert (multinomial._enumerated(m, p, u) != multinomial._integrated(m, p, u)).sum() <= 1
+    for m, p in ((131_071, 1e-5), (100_000, 2e-3)):
+        m, p = np.full(len(u), m), np.full(len(u), p)
+        rare = multinomial._enumerated(m, p, u, multinomial._log_mass_rare)
+        assert (multinomial._enumerated(m, p, u) == rare).all()
+    huge = np.full(len(u), 10**12)
+    hit = multinomial.binomial(huge, np.full(len(u), 1), np.full(len(u), 10**6 - 1), u)
+    assert hit.mean() == pytest.approx(10**6, rel=1e-4) and hit.std() == pytest.approx(10**3, rel=0.05)
+    assert multinomial.binomial(np.array([5, 5]), np.array([0, 3]), np.array([3, 0]), u[:2]).tolist() == [0, 5]
+
+
+def test_replicates_side_by_side_equal_replicates_one_by_one(spark):
+    """Two parts, one of them without a cycle; a warm start ends at the same strengths."""
+    draw = random.Random(2)
+    rows = [("x", *draw.sample((1, 2, 3, 4), 2), 1.0 + draw.random()) for _ in range(300)]
+    rows += [("x", *draw.sample((7, 8, 9), 2), 1.0) for _ in range(200)]
+    df = spark.createDataFrame(rows, "fit string, winner int, loser int, weight double")
+    found = resample.cells(df, ["fit"], ["winner", "loser"])
+    edges = paired._edges_of(found, ["fit"])
+    labels = graph.components(edges, edges.select("fit", F.explode(F.array("u", "v")).alias("node")), ["fit"])
+    blocks = resample.replicate_blocks(df, found, ["fit"], ["winner", "loser"], 6, 5, rows_per_task=64)
+    stats = resample.long(blocks, found, ["fit"], ["winner", "loser"])
+    one = paired.bt_grouped(paired._labelled(stats, labels, ["fit"]), ["fit", "rep", "label"], 0.5, 500, 1e-11)
+    want = {(r["rep"], r["item_id"]): r["theta"] for r in one.collect()}
+    start = labels.select("fit", F.col("node").alias("item_id"), (F.col("node") / 10.0).alias("theta"))
+    for begin in (None, start):
+        solved = paired.bt_blocks(blocks, found, labels, ["fit"], 0.5, 500, 1e-11, begin).collect()
+        assert len(solved) == 6 and all(r["preserved"] for r in solved)
+        got = {(r["rep"], i): t for r in solved for i, t in zip(r["items"], r["theta"], strict=True)}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k], abs=1e-7) for k in want)
+
+
 def test_poisson_draws_average_to_one(spark):
     rows = _rows(spark, 300)
-    drawn = resample.resample(rows, ["fit"], 40, 1, mode="poisson")
+    drawn = resample.poisson(rows, ["fit"], 40, 1)
     total = drawn.agg(F.sum("times")).first()[0]
     assert total / (300 * 40) == pytest.approx(1.0, abs=0.03)
 
