@@ -42,9 +42,9 @@ def poisson(rows: DataFrame, fit: Sequence[str], n_rep: int, seed: int, unit: st
     no join, and no fixed number of draws."""
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))).alias("rep")
     spread = rows.select("*", reps).withColumn("_draw", C.hash_draw(seed, *fit, "rep", unit))
-    # as a sum: inside a lambda the hash would be computed for every step
-    above = sum((F.col("_draw") >= t).cast("int") for t in poisson_steps())
-    return spread.withColumn("times", above).drop("_draw").filter("times > 0")
+    # through a lambda's variable, so that the hash is computed once and not once a step
+    steps = F.transform(F.array("_draw"), lambda d: sum((d >= t).cast("int") for t in poisson_steps()))
+    return spread.withColumn("times", steps[0]).drop("_draw").filter("times > 0")
 
 
 def cells(rows: DataFrame, fit: Sequence[str], stat: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from crowdgauge.plans import (  # noqa: F401
     people,
     publishing,
     questions,
+    replicates,
     reporting,
     sampling,
     selection,
