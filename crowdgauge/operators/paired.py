@@ -156,6 +156,29 @@ def _reached(at: np.ndarray, low: np.ndarray, begin: np.ndarray, nodes: np.ndarr
     return out
 
 
+def _order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places by code, where each code begins among them, the codes)."""
+    at = np.argsort(codes, kind="stable")
+    nodes, begin = np.unique(codes[at], return_index=True)
+    return at, begin, nodes
+
+
+def preserved(u: np.ndarray, v: np.ndarray, drawn: np.ndarray, parts: int) -> np.ndarray:
+    """Replicates (columns of ``drawn``, one row an edge) whose edges leave no more than ``parts`` parts."""
+    items, codes = np.unique(np.concatenate([u, v]), return_inverse=True)
+    half, size = len(u), len(items)
+    at, begin, nodes = _order(codes)
+    own = np.broadcast_to(np.arange(size)[:, None], (size, drawn.shape[1])).copy()
+    there = np.concatenate([drawn, drawn])
+    while True:
+        far = np.where(there, np.concatenate([own[codes[half:]], own[codes[:half]]]), size)
+        new = np.minimum(own, _reached(at, far, begin, nodes, size))
+        new = np.take_along_axis(new, new, axis=0)
+        if np.array_equal(new, own):
+            return (own == np.arange(size)[:, None]).sum(axis=0) == parts
+        own = new
+
+
 class _Graph:
     """The edges of one fit as codes, with what a node's sums over its edges need."""
 
@@ -163,34 +186,14 @@ class _Graph:
         self.items, codes = np.unique(np.concatenate([winner, loser]), return_inverse=True)
         half, self.size = len(winner), len(self.items)
         self.winner, self.loser = codes[:half], codes[half:]
-        self.at, self.begin, self.nodes = self._order(codes)
-        self.won_at, self.won_begin, self.won_nodes = self._order(self.winner)
+        self.at, self.begin, self.nodes = _order(codes)
+        self.won_at, self.won_begin, self.won_nodes = _order(self.winner)
         parts = np.empty(self.size, label.dtype)
         parts[self.winner], parts[self.loser] = label, label
         self.labels, self.part = np.unique(parts, return_inverse=True)
-        self.part_at, self.part_begin, _ = self._order(self.part)
+        self.part_at, self.part_begin, _ = _order(self.part)
         self.part_size = np.bincount(self.part)[:, None].astype(float)
 
-    @staticmethod
-    def _order(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.argsort(codes, kind="stable")
-        nodes, begin = np.unique(codes[at], return_index=True)
-        return at, begin, nodes
-
-    def preserved(self, drawn: np.ndarray) -> np.ndarray:
-        """Replicates (columns of ``drawn``) in which every part is still joined."""
-        own = np.broadcast_to(np.arange(self.size, dtype=np.int32)[:, None], (self.size, drawn.shape[1])).copy()
-        there = np.concatenate([drawn, drawn])
-        while True:
-            far = np.where(there, np.concatenate([own[self.loser], own[self.winner]]), self.size)
-            new = np.minimum(own, _reached(self.at, far, self.begin, self.nodes, self.size))
-            new = np.take_along_axis(new, new, axis=0)
-            if np.array_equal(new, own):
-                break
-            own = new
-        roots = (own == np.arange(self.size)[:, None]).sum(axis=0)
-        return roots == len(self.labels)
-
     def settle(self, weight: np.ndarray, start: np.ndarray | None, eps: float, max_iter: int, tol: float) -> np.ndarray:
         """Log-strengths [item, replicate]; every replicate stops when none of its parts moves."""
         won = np.zeros((self.size, weight.shape[1]))
@@ -251,7 +254,7 @@ def bt_blocks(
         drawn = np.add.reduceat(np.stack(part["times"].to_numpy()), begin, axis=0) > 0
         edges = part.iloc[begin]
         g = _Graph(*(edges[c].to_numpy() for c in ("winner", "loser", "label")))
-        good = g.preserved(drawn)
+        good = preserved(edges["winner"].to_numpy(), edges["loser"].to_numpy(), drawn, len(g.labels))
         theta0 = None
         if warm:
             theta0 = np.empty(g.size)
