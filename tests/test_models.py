@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crowdgauge.operators import behaviour, graph, multinomial, ordinal, paired, resample
+from crowdgauge.operators import behaviour, graph, multinomial, newton, ordinal, paired, resample
 from crowdgauge.operators.scan import OrderedGroups
 
 WIN = "fit string, winner int, loser int, weight double"
@@ -306,12 +306,24 @@ def _answers(spark):
     )
 
 
+def _lane_problem(spark):
+    rows = _answers(spark)
+    stat = ["item_a", "item_b", "level"]
+    found = resample.cells(rows, ["role"], stat)
+    ends = F.array(F.struct(F.col("item_a").alias("u"), F.col("item_b").alias("v")))
+    sided = ordinal._lane_sides(found).withColumn("ends", ends)
+    edges = ordinal._lane_edges(found, ["role"])
+    labels = graph.components(edges, edges.select("role", F.explode(F.array("u", "v")).alias("node")), ["role"])
+    return rows, stat, found, sided, labels
+
+
 def test_ordinal_fit_reaches_a_zero_gradient(spark):
-    stats = ordinal._lane_sides(ordinal.lane_stats(_answers(spark), ["role"]))
-    params = ordinal.ordinal_grouped(stats, ["role"], 5, "epsilon", {"item": 0.5}, 100, 1e-12)
+    _, _, _, sided, labels = _lane_problem(spark)
+    model = (labels, ["role"], 5, "epsilon", {"item": 0.5}, 100, 1e-12)
+    params = ordinal.long_params(ordinal.ordinal_blocks(ordinal.whole(sided, ["role"]), sided, *model), ["role"])
     raw, taus = ordinal.split_taus(params, ["role"])
     slopes = ordinal.penalised(
-        ordinal.ordinal_gradient(stats, raw, taus, ["role"], 5), raw, ["role"], "epsilon", F.lit(0.5)
+        ordinal.ordinal_gradient(sided, raw, taus, ["role"], 5), raw, ["role"], "epsilon", F.lit(0.5)
     ).collect()
     assert len(slopes) == 6
     assert max(abs(r["slope"]) for r in slopes) < 1e-6
@@ -321,15 +333,62 @@ def test_ordinal_fit_reaches_a_zero_gradient(spark):
     assert 0 < tau["tau1"] < tau["tau2"]
 
 
-def test_ordinal_by_joins_approaches_the_grouped_fit(spark):
-    stats = ordinal._lane_sides(ordinal.lane_stats(_answers(spark), ["role"]))
-    exact = ordinal.ordinal_grouped(stats, ["role"], 5, "epsilon", {"item": 0.5}, 100, 1e-12)
-    slow = ordinal.ordinal_iterate(stats, ["role"], 5, "epsilon", F.lit(0.5), 16, 1e-9, 2)
-    want = {r["param"]: r["value"] for r in exact.collect()}
-    got = {r["param"]: r["value"] for r in slow.collect()}
-    assert got.keys() == want.keys()
-    for name, value in want.items():
-        assert got[name] == pytest.approx(value, abs=0.1), name
+def test_spread_rows_end_where_rows_in_one_task_end(spark):
+    """One solver: the same replicates with every sum a job, and from a warm start."""
+    rows, stat, found, sided, labels = _lane_problem(spark)
+    blocks = resample.replicate_blocks(rows, found, ["role"], stat, 3, 5)
+    model = (labels, ["role"], 5, "epsilon", {"item": 0.5}, 30, 1e-9)
+    read = lambda df: {(r["rep"], p): v for r in df.collect() for p, v in zip(r["names"], r["values"], strict=True)}
+    near = ordinal.ordinal_blocks(blocks, sided, *model)
+    want = read(near)
+    assert all(r["preserved"] for r in near.collect())
+    begin = ordinal.ordinal_blocks(ordinal.whole(sided, ["role"]), sided, *model).select("role", "names", "values")
+    for other in (
+        ordinal.ordinal_blocks(blocks, sided, *model, rows_per_task=0),
+        ordinal.ordinal_blocks(blocks, sided, *model, start=begin),
+    ):
+        got = read(other)
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_sparse_newton_equals_a_dense_one():
+    """Rows of up to six parameters, a ridge: the gradient is zero and every part of it is right."""
+    draw = np.random.default_rng(4)
+    index = np.array([draw.choice(9, 6, replace=False) for _ in range(40)])
+    sign = np.tile([1.0, 1.0, 1.0, -1.0, -1.0, -1.0], (40, 1))
+    for levels in (3, 5):
+        weight = draw.random((40, levels, 2)) * (draw.random((40, levels, 2)) > 0.3)
+        rows, ridge = newton.Rows(index, sign, weight, 9), newton.Ridge(np.linspace(0.1, 1.0, 9))
+        x, tau = newton.maximise(rows, 9, levels, 2, ridge, weight.sum(axis=(0, 1)), 100, 1e-12)
+        cost = lambda x, tau: rows.value(x, tau) - ridge.cost(x)  # noqa: B023, E731
+        top = cost(x, tau)
+        for i in range(9 + len(tau)):
+            for h in (1e-4, -1e-4):
+                y, t = x.copy(), tau.copy()
+                (y if i < 9 else t)[i if i < 9 else i - 9] += h
+                assert (cost(y, t) <= top + 1e-12).all()
+        v = draw.normal(size=(9 + len(tau), 2))
+        ahead, behind = (rows.slope(x + s * v[:9], tau + s * v[9:]) for s in (1e-6, -1e-6))
+        change = (np.concatenate(behind[:2]) - np.concatenate(ahead[:2])) / 2e-6
+        assert rows.curve(x, tau, v) == pytest.approx(change, abs=1e-4)
+
+
+def test_margins_of_pairs_over_replicates(spark, monkeypatch):
+    """Percentiles of every pair's margin, also with items in several blocks."""
+    monkeypatch.setattr(ordinal, "ITEMS_PER_BLOCK", 2)
+    draw = np.random.default_rng(1)
+    values = draw.normal(size=(7, 5)).tolist()
+    rows = [("mid", r, [*"12345", "tau1", "tau2"], [*values[r], 0.4, 1.1]) for r in range(7)]
+    solved = spark.createDataFrame(rows, "role string, rep int, names array<string>, values array<double>")
+    labels = spark.createDataFrame([("mid", i, 1 if i < 5 else 9) for i in range(1, 6)], "role string, node int, label int")
+    pool = spark.createDataFrame([(i, ["mid"]) for i in range(1, 6)], "item_id int, roles array<string>")
+    got = {(r["item_a"], r["item_b"]): (r["low"], r["high"]) for r in ordinal.margin_intervals(solved, labels, pool).collect()}
+    assert got.keys() == {(a, b) for a in range(1, 5) for b in range(a + 1, 5)}
+    for (a, b), ends in got.items():
+        d = np.array([v[a - 1] - v[b - 1] for v in values])
+        reach = [1 / (1 + np.exp(c - d)) for c in (-1.1, -0.4, 0.4, 1.1)]
+        assert ends == pytest.approx(tuple(np.percentile(sum(reach) / 2 - 1, [2.5, 97.5])))
 
 
 def test_streaks_in_blocks(spark):
