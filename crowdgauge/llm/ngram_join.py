@@ -30,6 +30,8 @@ from crowdgauge.runtime import pin, unpin
 
 _U = np.uint64
 #: Rows of a block when members of a group are compared with each other.
+#: Further centres that a bucket's members are compared with before they are compared with each other.
+ROUNDS = 2
 BLOCK = 1024
 #: Ids that are broadcast to pick documents; above it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -239,6 +241,28 @@ def _compare(percent: int):
     return run
 
 
+def _still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, cls, center): members apart from their bucket's centre, with the smallest of them as the next one.
+
+    A bucket whose open members are in one component with each other has nothing more to ask of them.
+    """
+    label = labels.select(F.col("node").alias("cls"), F.col("component").alias("label"))
+    main = labels.select(F.col("node").alias("center"), F.col("component").alias("main"))
+    marked = (
+        buckets.join(label, "cls", "left")
+        .join(main, "center", "left")
+        .filter(F.coalesce("label", "cls") != F.coalesce("main", "center"))
+        .withColumn("label", F.coalesce("label", "cls"))
+    )
+    following = pin(
+        marked.groupBy("key")
+        .agg(F.min("cls").alias("center"), F.min("label").alias("low"), F.max("label").alias("high"))
+        .filter("low < high")
+        .select("key", "center")
+    )
+    return marked.select("key", "cls").join(following, "key")
+
+
 def _within_groups(buckets: DataFrame, labels: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs (a, b) that meet in a bucket and have different labels.
 
@@ -314,8 +338,9 @@ def jaccard_components(
     Documents link when ``100 * |intersection| >= percent * |union|`` of their distinct shingles of
     ``words`` words; a shorter text is one shingle. ``component_id`` is the smallest doc_id that links
     reach. No link is lost: documents with equal sets are one class; every member of a bucket is first
-    compared with the bucket's smallest, its centre, and then all members that are not yet in one
-    component with it are compared with the whole bucket.
+    compared with the bucket's smallest, its centre; those that it does not link to are compared with the
+    smallest of themselves, ``ROUNDS`` times over; then members that are not in one component with the
+    first centre are compared with the whole bucket, but for members of their own component.
 
     Null and empty texts have the empty set, size 0 and link with nothing. A null doc_id keeps its
     row, with a null component. Rows that repeat a doc_id are one document with several texts. Other
@@ -328,7 +353,8 @@ def jaccard_components(
 
     same = ["set_sum", "set_xor", "n_shingles"]
     small = signs.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *same)
-    classes = small.groupBy(*same).agg(F.min("doc_id").alias("cls"))
+    # written first: a join with a table of its own can split a hot key, one with an aggregate cannot
+    classes = pin(small.groupBy(*same).agg(F.min("doc_id").alias("cls")))
     member = pin(small.join(classes, same).select("doc_id", "cls").distinct())
 
     rows = signs.filter("doc_id IS NOT NULL").select("doc_id", F.explode("keys").alias("key"))
@@ -343,7 +369,6 @@ def jaccard_components(
 
     places = pin(met.join(member, "doc_id").select("key", "cls").distinct())
     shared = places.groupBy("key").agg(F.min("cls").alias("center"), F.max("cls").alias("top"))
-    # written first: a join with a table of its own can split a hot key, one with an aggregate cannot
     shared = pin(shared.filter("center < top").drop("top"))
     buckets = pin(places.join(shared, "key"))
     unpin(met, shared, places)
@@ -354,13 +379,21 @@ def jaccard_components(
     likely = pin(likely.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = _linked(likely, docs, words, fold, percent)
     labels = components(links)
-    rest = pin(_within_groups(buckets, labels, sketches, percent).join(likely, ["a", "b"], "left_anti"))
+    asked, open_ = likely, buckets
+    for _ in range(ROUNDS):
+        open_ = pin(_still_open(open_, labels))
+        if open_.isEmpty():
+            break
+        centers = open_.filter("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b"))
+        near = _plausible(centers.distinct(), sketches, percent).join(asked, ["a", "b"], "left_anti")
+        near = pin(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        links = links.unionByName(_linked(near, docs, words, fold, percent))
+        labels, asked = components(links), asked.unionByName(near)
+    rest = pin(_within_groups(buckets, labels, sketches, percent).join(asked, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = _linked(rest, docs, words, fold, percent)
-        unpin(labels)
         labels = components(links.unionByName(more))
-        unpin(more)
-    unpin(buckets, likely, rest, links)
+    unpin(buckets, likely, rest)
 
     found = labels.select(F.col("node").alias("cls"), "component")
     named = member.join(found, "cls", "left").withColumn("cls", F.coalesce("component", "cls"))

@@ -297,6 +297,32 @@ def test_mixing(docs, rows, empty):
     assert mixing.demand(empty).count() == 0
 
 
+def test_copies_just_below_the_centre_are_not_compared_with_each_other(spark, monkeypatch):
+    """Texts alike that all just miss the smallest id: the next centre joins them, no pair each."""
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choices("abcdefghij", k=7))
+    base = [word() for _ in range(2_000)]
+
+    def changed(words, places):
+        out = list(words)
+        for i in places:
+            out[i] = word()
+        return " ".join(out)
+
+    pairs = []
+    inside = ngram_join._within_groups
+    monkeypatch.setattr(ngram_join, "_within_groups", lambda *a: pairs.append(n := inside(*a)) or n)
+    for copies in (30, 60):
+        far = changed(base, range(20, 20 + 38 * 50, 50))
+        texts = [far] + [changed(base, draw.sample(range(2_000), 2)) for _ in range(copies)]
+        table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(table, words=3, percent=90).collect()}
+        sets = [{tuple(t.split()[i : i + 3]) for i in range(1_998)} for t in texts]
+        assert max(len(sets[0] & s) / len(sets[0] | s) for s in sets[1:]) < 0.9
+        assert got == {0: 0} | {i: 1 for i in range(1, copies + 1)}
+        assert pairs[-1].count() <= copies
+
+
 def test_near_duplicate_vectors(spark):
     draw = np.random.default_rng(1)
     centers = draw.normal(size=(6, 16))

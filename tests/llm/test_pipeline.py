@@ -7,6 +7,7 @@ import string
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from compare import compare, connect
@@ -72,6 +73,42 @@ def test_mix_of_rows_without_an_id_and_with_the_same(spark):
     assert {tuple(m.values()) for m in mixed} <= set(rows)
 
 
+CLASHES = (
+    "score known spans lang_pred _repeats _lines _removed _id _position _row passes size target row digest order "
+    "component_id n_shingles extra id key words turn place hashed taken cls first"
+).split()
+
+
+def test_extra_columns_of_any_name_pass_through(spark):
+    """Every name that a stage uses inside, at once; values stay with their rows."""
+    docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet").limit(60)
+    kept = pin(docs.select("*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in [*CLASHES, "extra column 1"])))
+    columns = kept.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = pin(stage(spark, kept, DIRECTORY))
+        assert kept.columns == columns, name
+        for c in CLASHES:
+            assert kept.filter(F.col(c) != F.concat(F.lit(c), F.col("doc_id"))).isEmpty(), (name, c)
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, DIRECTORY).count() >= kept.count() > 30
+
+
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    """Texts of one id stay if they differ; copies go, also those without an id; every run keeps the same."""
+    draw = random.Random(8)
+    text = lambda: " ".join("".join(draw.choices(string.ascii_lowercase, k=6)) for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (1, b), (1, a), (2, near), (None, a), (None, c), (None, c), (None, d), (3, c), (4, None), (4, None), (5, "")]
+    rows += [(i, text()) for i in range(10, 20)]
+    form = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    full = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    for shuffled in (full, full[::-1]):
+        docs = spark.createDataFrame(shuffled, form).repartition(3)
+        kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, DIRECTORY).collect()), key=repr)
+        want = [(1, a), (1, b), (3, c), (None, d), (4, None), (4, None), (5, ""), *rows[12:]]
+        assert kept == sorted(want, key=repr)
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
