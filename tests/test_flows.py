@@ -140,6 +140,46 @@ def test_a_run_without_data_fails(spark):
         full.run(b.wresponses.filter("false"), b.items, b.pool, b.dimensions, b.traits, options)
 
 
+def test_a_run_is_published_whole_or_not_at_all(spark, small_run, tmp_path, monkeypatch):
+    b, result = small_run
+    out, tables = str(tmp_path / "runs"), {n: result.tables[n] for n in ("peak_timing", "champion_traits")}
+    columns = {n: S.HEADERS[n] for n in tables}
+    included = spark.createDataFrame([("peak_timing", 3, 2)], "dataset string, responses bigint, respondents bigint")
+
+    def broken(*_, **__):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:  # the files are there, the manifest is not
+        m.setattr(outputs, "manifest", broken)
+        with pytest.raises(RuntimeError):
+            outputs.publish(tables, included, "1", out, "a")
+    assert outputs.published_runs(spark, out) == []
+    with pytest.raises(outputs.NotPublished):
+        outputs.read_published(spark, columns, "1", out, "a")
+    listing = outputs.publish(tables, included, "1", out, "a")
+    assert outputs.published_runs(spark, out) == ["a"]
+    rows = {r["dataset"]: (r["digest"], r["rows"]) for r in listing.collect()}
+    assert rows == {n: tuple(outputs.digest(t).first()) for n, t in tables.items()}
+    back = outputs.read_published(spark, columns, "1", out, "a")
+    assert {n: t.count() for n, t in back.items()} == {n: t.count() for n, t in tables.items()}
+    with pytest.raises(FileExistsError):
+        outputs.publish(tables, included, "1", out, "a")
+    part = next((tmp_path / "runs" / "a" / "peak_timing_v1").glob("part-*.csv"))
+    part.write_text(part.read_text().replace("insufficient", "solid").replace("limited", "solid"))
+    with pytest.raises(outputs.NotPublished, match="peak_timing"):
+        outputs.read_published(spark, columns, "1", out, "a")
+
+
+def test_a_run_without_data_writes_nothing(spark, tmp_path):
+    b, out = binding.Binding(spark, DIRECTORY), str(tmp_path / "runs")
+    with pytest.raises(full.NoDataError):
+        full.run_and_publish(
+            b.wresponses.filter("false"), b.items, b.pool, b.dimensions, b.traits,
+            full.RunOptions("w", binding.EXPORTED_AT, n_rep=2), "1", out, "a",
+        )
+    assert not (tmp_path / "runs").exists()
+
+
 def test_next_questions_are_new_distinct_and_varied(spark):
     variants = ["pairwise_dimension", "peak_timing", "lane_1v1", "duo_synergy"]
     hot = spark.createDataFrame(
