@@ -140,10 +140,10 @@ def test_a_run_without_data_fails(spark):
         full.run(b.wresponses.filter("false"), b.items, b.pool, b.dimensions, b.traits, options)
 
 
-def test_a_run_is_published_whole_or_not_at_all(spark, small_run, tmp_path, monkeypatch):
-    b, result = small_run
-    out, tables = str(tmp_path / "runs"), {n: result.tables[n] for n in ("peak_timing", "champion_traits")}
-    columns = {n: S.HEADERS[n] for n in tables}
+def test_a_run_is_published_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    out, columns = str(tmp_path / "runs"), {"peak_timing": ("key", "level"), "champion_traits": ("key", "value")}
+    rows = [(f"k{i}", "limited" if i % 2 else None) for i in range(40)]
+    tables = {n: spark.createDataFrame(rows, [f"{c}" for c in names]).repartition(3) for n, names in columns.items()}
     included = spark.createDataFrame([("peak_timing", 3, 2)], "dataset string, responses bigint, respondents bigint")
 
     def broken(*_, **__):
@@ -165,7 +165,8 @@ def test_a_run_is_published_whole_or_not_at_all(spark, small_run, tmp_path, monk
     with pytest.raises(FileExistsError):
         outputs.publish(tables, included, "1", out, "a")
     part = next((tmp_path / "runs" / "a" / "peak_timing_v1").glob("part-*.csv"))
-    part.write_text(part.read_text().replace("insufficient", "solid").replace("limited", "solid"))
+    part.write_text(part.read_text().replace("limited", "solid"))
+    (part.parent / f".{part.name}.crc").unlink()  # a change that the file system does not notice
     with pytest.raises(outputs.NotPublished, match="peak_timing"):
         outputs.read_published(spark, columns, "1", out, "a")
 
