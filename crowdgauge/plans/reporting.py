@@ -317,7 +317,7 @@ def g8_consistency_checks(b):
 
 
 # -------------------------------------------------------------------------------------- graphs
-#: The part of a dimension's pairs that makes its backbone.
+#: The part of a dimension's pairs that e14 plans bridges for; the graph of all pairs is in one part here.
 BACKBONE = 0.1
 _PAIRS = """
 counted AS (SELECT dimension_id, item_a AS u, item_b AS v, count(*) AS n FROM wpairs WHERE choice IN ('a', 'b')
@@ -329,10 +329,6 @@ walk AS (SELECT dimension_id, node, node AS seen FROM nodes
   UNION SELECT w.dimension_id, w.node, b.v FROM walk w JOIN both_ b ON b.dimension_id = w.dimension_id AND b.u = w.seen),
 comp AS (SELECT dimension_id, node, min(seen) AS label FROM walk GROUP BY 1, 2)"""
 _EDGES = f"{_PAIRS}, e AS (SELECT dimension_id, u, v FROM counted), {_WALK}"
-_BACKBONE = f"""{_PAIRS}, e AS (SELECT dimension_id, u, v FROM counted
-  QUALIFY percent_rank() OVER (PARTITION BY dimension_id ORDER BY n DESC) < {BACKBONE}), {_WALK}"""
-
-
 def _nodes(b):
     from crowdgauge.operators import select
 
@@ -355,26 +351,46 @@ def _backbone(b):
     return edges.select("dimension_id", "u", "v"), _nodes(b)
 
 
+_PATCH_WALK = """
+every AS (SELECT dimension_id, patch_id, item_a AS u, item_b AS v FROM wpairs WHERE choice IN ('a', 'b')
+  AND item_a IN (SELECT item_id FROM pool) AND item_b IN (SELECT item_id FROM pool) GROUP BY ALL),
+nodes AS (SELECT dimension_id, patch_id, item_id AS node FROM (SELECT DISTINCT dimension_id, patch_id FROM wpairs) CROSS JOIN pool),
+both_ AS (SELECT dimension_id, patch_id, u, v FROM every UNION SELECT dimension_id, patch_id, v, u FROM every),
+walk AS (SELECT dimension_id, patch_id, node, node AS seen FROM nodes
+  UNION SELECT w.dimension_id, w.patch_id, w.node, b.v FROM walk w
+  JOIN both_ b ON b.dimension_id = w.dimension_id AND b.patch_id = w.patch_id AND b.u = w.seen),
+comp AS (SELECT dimension_id, patch_id, node, min(seen) AS label FROM walk GROUP BY ALL)"""
+_GRAPH = ["dimension_id", "patch_id"]
+
+
+def _by_patch(b):
+    """Components of all comparisons of every dimension and patch inside the pool."""
+    from crowdgauge.operators import select
+
+    said = estimate.decisive(b.wpairs).select(*_GRAPH, F.col("item_a").alias("u"), F.col("item_b").alias("v"))
+    graphs = b.wpairs.select(*_GRAPH).distinct()
+    nodes = select.with_catalog(b.pool.select("item_id"), graphs, _GRAPH).withColumnRenamed("item_id", "node")
+    return graph.components(graph.inside(said.distinct(), b.pool), nodes, _GRAPH)
+
+
 @query(
     "e10_connected_components",
-    "wpairs pool dimensions",
-    f"WITH RECURSIVE {_BACKBONE} SELECT dimension_id, node, label FROM comp",
+    "wpairs pool",
+    f"WITH RECURSIVE {_PATCH_WALK} SELECT dimension_id, patch_id, node, label FROM comp",
 )
 def e10_connected_components(b):
-    edges, nodes = _backbone(b)
-    return graph.components(edges, nodes, ["dimension_id"])
+    return _by_patch(b)
 
 
 @query(
     "e11_largest_component",
-    "wpairs pool dimensions",
+    "wpairs pool",
     f"""
-WITH RECURSIVE {_BACKBONE}, s AS (SELECT dimension_id, label, count(*) AS n FROM comp GROUP BY 1, 2)
-SELECT dimension_id, min_by(label, (-n, label)) AS main, max(n) AS largest, count(*) AS components FROM s GROUP BY 1""",
+WITH RECURSIVE {_PATCH_WALK}, s AS (SELECT dimension_id, patch_id, label, count(*) AS n FROM comp GROUP BY ALL)
+SELECT dimension_id, patch_id, min_by(label, (-n, label)) AS main, max(n) AS largest, count(*) AS components FROM s GROUP BY ALL""",
 )
 def e11_largest_component(b):
-    edges, nodes = _backbone(b)
-    return graph.largest(graph.components(edges, nodes, ["dimension_id"]), ["dimension_id"])
+    return graph.largest(_by_patch(b), _GRAPH)
 
 
 @query(
