@@ -31,7 +31,7 @@ from crowdgauge.runtime import pin, unpin
 _U = np.uint64
 #: Rows of a block when members of a group are compared with each other.
 #: Further centres that a bucket's members are compared with before they are compared with each other.
-ROUNDS = 2
+ROUNDS = 1
 BLOCK = 1024
 #: Ids that are broadcast to pick documents; above it they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
