@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crowdgauge import settings as S
 from crowdgauge.functions import columns as C
 from crowdgauge.operators import behaviour, select
+from crowdgauge.operators.scan import OrderedGroups
 from crowdgauge.runtime import pin
 
 VARIANT_TYPE = {
@@ -21,6 +22,10 @@ VARIANT_TYPE = {
     "duo_synergy": "duo_synergy",
     "trait_multiselect": "trait_multiselect",
 }
+#: Lists of candidates, in the order in which a question in several of them counts.
+BRIDGE, HOT, COLD = 0, 1, 2
+#: Places at the front of a list that many respondents want, and the parts their rows are dealt to.
+FRONT, SALTS = 256, 32
 
 
 def priority(weights: Mapping[str, float] = S.DEFAULTS["sampler.weights"]) -> Column:
@@ -36,6 +41,23 @@ def priority(weights: Mapping[str, float] = S.DEFAULTS["sampler.weights"]) -> Co
     )
 
 
+def open_questions(
+    questions: DataFrame,
+    pool: DataFrame,
+    weights: Mapping[str, float] = S.DEFAULTS["sampler.weights"],
+    cold: int = 0,
+    patch_id: int | None = None,
+) -> DataFrame:
+    """(question_id, variant, priority) of all questions that are not gold, have at least ``cold``
+    answers and all members in the pool; with ``patch_id`` only those of that patch."""
+    kept = questions.filter(~F.col("is_gold") & (F.col("exposure_count") >= cold))
+    if patch_id is not None:
+        kept = kept.filter(F.col("patch_id") == patch_id)
+    return select.members_inside(kept, pool).select(
+        "question_id", C.variant("type", "item_c").alias("variant"), priority(weights).alias("priority")
+    )
+
+
 def priority_topk(
     questions: DataFrame,
     pool: DataFrame,
@@ -50,51 +72,50 @@ def priority_topk(
 
     Keeping the first k of a window prunes before the shuffle, so six groups are no bottleneck.
     """
-    open_questions = questions.filter(~F.col("is_gold") & (F.col("exposure_count") >= cold))
-    if patch_id is not None:
-        open_questions = open_questions.filter(F.col("patch_id") == patch_id)
-    hot = select.members_inside(open_questions, pool).select(
-        "question_id", C.variant("type", "item_c").alias("variant"), priority(weights).alias("priority")
-    )
+    hot = open_questions(questions, pool, weights, cold, patch_id)
     place = Window.partitionBy("variant").orderBy(F.desc("priority"), "question_id")
     return hot.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k)
 
 
-def _draw_variant(draw: Column, blocked: Column) -> Column:
-    """A variant by weight among the open ones (columns ``_w_<variant>``) of another type than
-    the blocked one."""
+def _draw_variant(draw: Column, blocked: Column, left: Column) -> Column:
+    """A variant by weight among those with questions ``left`` and of another type than the blocked one."""
 
-    def weight(name: str) -> Column:
+    def weight(i: int, name: str) -> Column:
         barred = F.coalesce(blocked == F.lit(VARIANT_TYPE[name]), F.lit(False))
-        return F.when(barred, F.lit(0.0)).otherwise(F.col(f"_w_{name}"))
+        return F.when((F.get(left, F.lit(i)) > 0) & ~barred, float(S.VARIANT_WEIGHTS[name])).otherwise(0.0)
 
-    total = reduce(lambda x, y: x + y, [weight(n) for n in S.VARIANTS])
+    total = reduce(lambda x, y: x + y, [weight(i, n) for i, n in enumerate(S.VARIANTS)])
     result, passed = None, F.lit(0.0)
-    for name in S.VARIANTS:
-        passed = passed + weight(name)
-        test = (weight(name) > 0) & (draw * total < passed)
+    for i, name in enumerate(S.VARIANTS):
+        passed = passed + weight(i, name)
+        test = (weight(i, name) > 0) & (draw * total < passed)
         result = F.when(test, F.lit(name)) if result is None else result.when(test, F.lit(name))
     return result
 
 
-def _folded(hot: DataFrame, cold: DataFrame, bridges: DataFrame) -> DataFrame:
-    """The candidate lists as one row: question ids per variant in place order, and the bridges."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def per_variant(df: DataFrame, place: Column, name: str) -> DataFrame:
-        entry = F.struct(place.cast("bigint").alias("p"), F.col("question_id").cast("bigint").alias("q"))
-        ids = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["q"])
-        lists = df.groupBy("variant").agg(ids.alias("ids"))
-        return lists.agg(F.map_from_entries(F.collect_list(F.struct("variant", "ids"))).alias(name))
 
-    entry = F.struct(F.col("place").cast("bigint").alias("p"), F.col("question_id").cast("bigint").alias("q"))
-    joining = bridges.agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["q"]).alias("_bridges")
-    )
-    return (
-        per_variant(hot, F.col("place"), "_hot_all")
-        .join(F.broadcast(per_variant(cold, F.lit(0), "_cold_all")), F.lit(True))
-        .join(F.broadcast(joining), F.lit(True))
+def _candidate_index(hot: DataFrame, cold: DataFrame, bridges: DataFrame, seed: int) -> DataFrame:
+    """Every candidate once, in the first of its lists, with its place there: (list, variant, at,
+    question_id). Cold questions stand in an order drawn by hash. Lists of any length."""
+
+    def tagged(df: DataFrame, number: int, variant: Column, order: Column) -> DataFrame:
+        entry = F.struct(
+            F.lit(number).alias("list"), variant.alias("variant"), order.cast("double").alias("order")
+        )
+        return df.select(F.col("question_id").cast("bigint").alias("question_id"), entry.alias("entry"))
+
+    every = (
+        tagged(bridges, BRIDGE, F.lit("pairwise_dimension"), F.col("place"))
+        .unionByName(tagged(hot, HOT, F.col("variant"), F.col("place")))
+        .unionByName(tagged(cold, COLD, F.col("variant"), C.hash_draw(seed, "question_id", F.lit("cold"))))
     )
+    once = pin(every.groupBy("question_id").agg(F.min("entry").alias("e")).select("question_id", "e.*"))
+    placed = OrderedGroups(once, ["list", "variant"], ["order", "question_id"]).with_position("at").result
+    return pin(placed.select("list", "variant", F.col("at").cast("bigint").alias("at"), "question_id"))
 
 
 def next_questions(
@@ -110,109 +131,143 @@ def next_questions(
     """A batch of ``n`` questions for every respondent: (respondent_id, slot, variant, question_id).
 
     ``hot`` (variant, place, question_id), ``cold`` (variant, question_id) and ``bridges``
-    (place, question_id) are candidate lists of bounded length, so they travel as one broadcast
-    row. A respondent brings only the candidates already answered and the last types
-    (``recent``, oldest first) and ``answers_count``. The first positions are paired comparisons,
-    no type comes four times in a row while another is open, and a paired slot takes the best
-    unanswered bridge first. All randomness is a hash of seed, respondent and place.
+    (place, question_id) may have any length; a smaller place comes first, ties by question_id, and
+    a question in several lists counts as a bridge, then as hot. A respondent brings the answered
+    questions, the last types (``recent``, oldest first) and ``answers_count``. The first positions
+    are paired comparisons, no type comes four times in a row while another is open, and a paired
+    slot takes the best unanswered bridge first. Then a draw chooses between the best hot question
+    and a cold one; the cold ones form a circle in hash order, in which each respondent and variant
+    starts at a place of their own. All randomness is a hash of seed, respondent and place.
+
+    Nobody meets a whole list: the m-th question not answered is m plus the number of answered ones
+    before it, which follows from the answered places alone. A slot stays empty only if nothing is
+    left to ask. Rows that repeat an answer count once; empty lists have no share in the draws.
     """
-    empty = F.array().cast("array<bigint>")
-    listed = reduce(
-        lambda x, y: x.unionByName(y), [df.select("question_id") for df in (hot, cold, bridges)]
-    ).distinct()
-    seen = (
-        answered.join(listed, "question_id", "left_semi")
-        .groupBy("respondent_id")
-        .agg(F.collect_set(F.col("question_id").cast("bigint")).alias("_seen"))
+    index = _candidate_index(hot, cold, bridges, seed)
+    key = F.concat_ws(" ", F.col("list").cast("string"), "variant")
+    sizes = index.groupBy("list", "variant").agg(F.count("*").alias("size"))  # a row per list and variant
+    start = F.when(
+        F.col("list") == COLD,
+        F.floor(C.hash_draw(seed, "respondent_id", "variant", F.lit("start")) * F.col("size")),
+    ).otherwise(F.lit(0))
+    met = (
+        answered.select("respondent_id", F.col("question_id").cast("bigint").alias("question_id"))
+        .join(index, "question_id")
+        .join(F.broadcast(sizes), ["list", "variant"])
+        .select("respondent_id", "list", "variant", F.pmod(F.col("at") - start, F.col("size")).alias("at"))
+        .distinct()
     )
+    groups = ["respondent_id", "list", "variant"]
+    missing = F.col("at") - F.col("i")  # places not answered before an answered one
+    passed = (
+        OrderedGroups(pin(met), groups, ["at"]).with_position("i").result.groupBy(*groups)
+        .agg(
+            F.count("*").alias("seen"),
+            F.array(*[F.count_if(missing <= m) for m in range(n)]).alias("skip"),
+        )
+        .groupBy("respondent_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct(key, F.struct("seen", "skip")))).alias("_met"))
+    )
+    all_sizes = sizes.agg(F.map_from_entries(F.collect_list(F.struct(key, "size"))).alias("_size"))
     who = (
         respondents.select("respondent_id", "answers_count", "recent")
-        .join(seen, "respondent_id", "left")
-        .join(F.broadcast(_folded(hot, cold, bridges)), F.lit(True))
-        .withColumn("_seen", F.coalesce("_seen", empty))
+        .join(passed, "respondent_id", "left")
+        .join(F.broadcast(all_sizes), F.lit(True))
     )
 
-    def left(name: str, variant: Column) -> Column:
-        all_ids = F.coalesce(F.try_element_at(F.col(name), variant), empty)
-        return F.array_except(all_ids, F.col("_seen"))
-
-    for name in S.VARIANTS:
-        some = F.size(left("_hot_all", F.lit(name))) + F.size(left("_cold_all", F.lit(name)))
-        if name == "pairwise_dimension":
-            some = some + F.size(F.array_except("_bridges", "_seen"))
-        who = who.withColumn(
-            f"_w_{name}", F.when(some > 0, float(S.VARIANT_WEIGHTS[name])).otherwise(0.0)
-        )
+    def left(number: int, variant: Column) -> Column:
+        name = F.concat(F.lit(f"{number} "), variant)
+        seen = F.try_element_at("_met", name)["seen"]
+        return F.coalesce(F.try_element_at("_size", name), F.lit(0)) - F.coalesce(seen, F.lit(0))
 
     def step(state: Column, slot: Column) -> Column:
         same = (state["a"] == state["b"]) & (state["b"] == state["c"])
-        warm = (F.col("answers_count") + slot < S.WARMUP_PAIRWISE) & (
-            F.col("_w_pairwise_dimension") > 0
-        )
+        warm = (F.col("answers_count") + slot < S.WARMUP_PAIRWISE) & (F.get(state["l"], F.lit(0)) > 0)
+
+        def choose(draw: Column) -> Column:
+            free = _draw_variant(draw, F.lit(None).cast("string"), state["l"])
+            varied = F.coalesce(_draw_variant(draw, state["c"], state["l"]), free)
+            return F.when(warm, F.lit("pairwise_dimension")).otherwise(F.when(same, varied).otherwise(free))
+
+        def after(chosen: Column) -> Column:
+            taken = [F.when(chosen == F.lit(name), 1).otherwise(0) for name in S.VARIANTS]
+            return F.struct(
+                F.concat(state["out"], F.array(chosen)).alias("out"),
+                state["b"].alias("a"),
+                state["c"].alias("b"),
+                C.lookup(chosen, VARIANT_TYPE).alias("c"),
+                F.array(*[F.get(state["l"], F.lit(i)) - t for i, t in enumerate(taken)]).alias("l"),
+            )
+
         draw = C.hash_draw(seed, "respondent_id", slot, F.lit("variant"))
-        free = _draw_variant(draw, F.lit(None).cast("string"))
-        varied = F.when(same, F.coalesce(_draw_variant(draw, state["c"]), free)).otherwise(free)
-        chosen = F.when(warm, F.lit("pairwise_dimension")).otherwise(varied)
-        return F.struct(
-            F.concat(state["out"], F.array(chosen)).alias("out"),
-            state["b"].alias("a"),
-            state["c"].alias("b"),
-            C.lookup(chosen, VARIANT_TYPE).alias("c"),
-        )
+        return _let(_let(draw, choose), after)
 
-    start = F.struct(
+    lefts = F.array(
+        *[
+            sum((left(x, F.lit(v)) for x in (HOT, COLD)), left(BRIDGE, F.lit(v))).cast("bigint")
+            for v in S.VARIANTS
+        ]
+    )
+    first = F.struct(
         F.array().cast("array<string>").alias("out"),
         *[F.get("recent", F.size("recent") - back).alias(k) for k, back in (("a", 3), ("b", 2), ("c", 1))],
+        F.col("_left").alias("l"),
     )
-    slots = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, step, lambda s: s["out"])
-    # one row per respondent and variant, with the slots it fills
-    wanted = (
-        who.withColumn("_slots", slots)
-        .select(
-            "respondent_id", "_seen", "_hot_all", "_cold_all", "_bridges", "_slots",
-            F.explode(F.array_compact(F.array_distinct("_slots"))).alias("variant"),
-        )
-        .withColumn(
-            "_at",
-            F.filter(
-                F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("_slots", i) == F.col("variant")
-            ),
-        )
-        .withColumn("_hot", left("_hot_all", F.col("variant")))
-        .withColumn("_cold", left("_cold_all", F.col("variant")))
-    )
+    slots = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), first, step, lambda s: s["out"])
 
     def take(state: Column, j: Column) -> Column:
-        """The j-th pick of a variant: explore or exploit by a draw, the other list when one ends."""
+        """The j-th pick of a variant: the list it comes from and its number among the unanswered."""
         draw = C.hash_draw(seed, "respondent_id", "variant", j, F.lit("branch"))
-        has_cold, has_hot = state["c"] < F.size("_drawn"), state["h"] < F.size("_hot")
-        from_cold = has_cold & ((draw < F.lit(float(epsilon))) | ~has_hot)
-        found = F.when(from_cold, F.get("_drawn", state["c"])["q"]).otherwise(F.get("_hot", state["h"]))
-        return F.struct(
-            F.concat(state["out"], F.array(found)).alias("out"),
-            (state["c"] + F.when(from_cold, 1).otherwise(0)).alias("c"),
-            (state["h"] + F.when(from_cold, 0).otherwise(1)).alias("h"),
+        bridge, has_hot, has_cold = (
+            F.get(state["n"], F.lit(x)) < F.get("_lists", F.lit(x)) for x in (BRIDGE, HOT, COLD)
         )
-
-    drawn = F.array_sort(
-        F.transform(
-            "_cold",
-            lambda q: F.struct(F.xxhash64(F.lit(seed), F.col("respondent_id"), q).alias("h"), q.alias("q")),
+        explore = has_cold & ((draw < F.lit(float(epsilon))) | ~has_hot)
+        source = F.when(bridge, BRIDGE).when(explore, COLD).when(has_hot, HOT)
+        return _let(
+            source,
+            lambda x: F.struct(
+                F.concat(
+                    state["out"], F.array(F.struct(x.alias("list"), F.get(state["n"], x).alias("m")))
+                ).alias("out"),
+                F.transform(state["n"], lambda c, i: c + F.when(i == x, 1).otherwise(0)).alias("n"),
+            ),
         )
+
+    zero = F.struct(
+        F.array().cast("array<struct<list:int,m:int>>").alias("out"), F.array(*[F.lit(0)] * 3).alias("n")
     )
-    zero = F.struct(empty.alias("out"), F.lit(0).alias("c"), F.lit(0).alias("h"))
-    merged = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), zero, take, lambda s: s["out"])
-    joining = F.when(
-        F.col("variant") == "pairwise_dimension", F.array_except("_bridges", "_seen")
-    ).otherwise(empty)
-    return (
-        wanted.withColumn("_drawn", drawn)
-        .withColumn("_chain", F.array_distinct(F.array_compact(F.concat(joining, merged))))
-        .select("respondent_id", "variant", "_chain", F.posexplode("_at").alias("j", "slot"))
-        .withColumn("question_id", F.get("_chain", F.col("j")))
-        .filter(F.col("question_id").isNotNull())
-        .select("respondent_id", "slot", "variant", "question_id")
+    picks = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), zero, take, lambda s: s["out"])
+    of_variant = F.filter(
+        F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("_slots", i) == F.col("variant")
+    )
+    name = F.concat_ws(" ", F.col("pick.list").cast("string"), "variant")
+    skipped = F.get(F.try_element_at("_met", name)["skip"], F.col("pick.m"))
+    wanted = (
+        who.withColumn("_left", lefts)
+        .withColumn("_slots", slots)
+        .select(
+            "respondent_id", "_met", "_size", "_slots",
+            F.explode(F.array_compact(F.array_distinct("_slots"))).alias("variant"),
+        )
+        .withColumn("_lists", F.array(*[left(x, F.col("variant")) for x in (BRIDGE, HOT, COLD)]))
+        .withColumn("_picks", picks)
+        .select("respondent_id", "variant", "_met", "_size", "_picks", F.posexplode(of_variant).alias("j", "slot"))
+        .withColumn("pick", F.get("_picks", F.col("j")))
+        .withColumn("list", F.col("pick.list"))
+        .withColumn("size", F.try_element_at("_size", name))
+        .withColumn("_m", F.col("pick.m") + F.coalesce(skipped, F.lit(0)))
+        .withColumn("at", F.pmod(F.col("_m") + start, F.col("size")))
+        .select("respondent_id", "slot", "variant", "list", "at")
+    )
+    # everybody starts at the front of the bridges and hot lists: those places are salted
+    front = (F.col("list") != COLD) & (F.col("at") < FRONT)
+    salted = wanted.withColumn(
+        "_salt", F.when(front, F.pmod(F.xxhash64("respondent_id"), F.lit(SALTS)).cast("int")).otherwise(0)
     )
+    spread = F.when(front, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return salted.join(
+        index.withColumn("_salt", F.explode(spread)), ["list", "variant", "at", "_salt"]
+    ).select("respondent_id", "slot", "variant", "question_id")
 
 
 def due_flags(
@@ -299,8 +354,10 @@ def unseen_gold(
     """
     circle = gold.select("question_id").distinct()
     size = circle.agg(F.count("*").cast("bigint").alias("_size"))
-    place = F.row_number().over(Window.orderBy(C.hash_draw(seed, "question_id"), "question_id")) - 1
-    placed = pin(circle.withColumn("_g", place.cast("bigint")).join(F.broadcast(size), F.lit(True)))
+    drawn = circle.withColumn("_draw", C.hash_draw(seed, "question_id"))
+    # always in blocks: one sort by ranges, one row per block carries the count on
+    placed = OrderedGroups(drawn, [], ["_draw", "question_id"], rows_per_task=0).with_position("_g").result
+    placed = pin(placed.select("question_id", F.col("_g").cast("bigint").alias("_g")).join(F.broadcast(size), F.lit(True)))
     start = F.pmod(F.xxhash64(F.lit(seed), "respondent_id"), F.col("_size"))
     seen = (
         responses.select("respondent_id", "question_id")

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from crowdgauge import settings as S
 from crowdgauge.functions import columns as C
 from crowdgauge.operators import behaviour, candidates, select
+from crowdgauge.plans.draws import hash_sql
 from crowdgauge.plans.registry import query
+from crowdgauge.runtime import pin
 from crowdgauge.sources import binding as B
 
 P = C.plain
@@ -65,18 +68,74 @@ def _people(b):
     )
 
 
-@query("h2_next_questions")
+SLOTS, EPSILON, SEED, COLD = 6, 0.5, 11, 5
+
+
+def _number(*keys: str) -> str:
+    return f"({hash_sql(13, SEED, *keys)} / 4503599627370496::DOUBLE)"
+
+
+def _pick_variant(blocked: str) -> str:
+    """The variant whose share of the open weights holds the draw, as a chain of cases."""
+    open_ = [
+        f"CASE WHEN l[{i}] > 0 AND coalesce({blocked} <> '{candidates.VARIANT_TYPE[v]}', true) THEN {S.VARIANT_WEIGHTS[v]}.0::DOUBLE ELSE 0 END"
+        for i, v in enumerate(S.VARIANTS, 1)
+    ]
+    cases = [
+        f"WHEN {w} > 0 AND draw * ({' + '.join(open_)}) < {' + '.join(open_[: i + 1])} THEN '{S.VARIANTS[i]}'"
+        for i, w in enumerate(open_)
+    ]
+    return f"CASE {' '.join(cases)} END"
+
+
+_TYPE_OF = " ".join(f"WHEN '{v}' THEN '{t}'" for v, t in candidates.VARIANT_TYPE.items())
+_SAID = ", ".join(f"('{v}', {i})" for i, v in enumerate(S.VARIANTS, 1))
+_TAKEN = ", ".join(f"l[{i}] - CASE WHEN chosen = '{v}' THEN 1 ELSE 0 END" for i, v in enumerate(S.VARIANTS, 1))
+_NEXT = f"""
+WITH RECURSIVE {_Q.replace("exposure_count >= 2", "true").replace("AS variant,", "AS variant, exposure_count, bridge_priority,")},
+cand AS (SELECT question_id, variant, priority, CASE WHEN bridge_priority THEN 0 WHEN exposure_count >= {COLD} THEN 1 ELSE 2 END AS list FROM hot),
+spot AS (SELECT question_id, list, variant, count(*) OVER (PARTITION BY list, variant) AS size, row_number() OVER (PARTITION BY list, variant
+  ORDER BY CASE WHEN list = 2 THEN {_number("question_id", "'cold'")} ELSE -priority END, question_id) - 1 AS pos FROM cand),
+heads AS (SELECT s.respondent_id, s.response_id, s.created_at, s.type FROM responses s LEFT JOIN rankings k USING (ranking_id)
+  WHERE s.ranking_id IS NULL OR question_id = anchor_question_id),
+last AS (SELECT *, row_number() OVER (PARTITION BY respondent_id ORDER BY created_at DESC, response_id DESC) AS back FROM heads),
+people AS (SELECT respondent_id, count(h.response_id) AS answers_count, max(CASE WHEN back = 3 THEN type END) AS a, max(CASE WHEN back = 2 THEN type END) AS b,
+  max(CASE WHEN back = 1 THEN type END) AS c FROM respondents LEFT JOIN last h USING (respondent_id) GROUP BY 1),
+starts AS (SELECT respondent_id, variant, {_number("respondent_id", "variant", "'start'")} AS draw FROM respondents CROSS JOIN (SELECT DISTINCT variant FROM spot)),
+unasked AS (SELECT s.respondent_id, p.list, p.variant, p.question_id, row_number() OVER (PARTITION BY s.respondent_id, p.list, p.variant
+    ORDER BY (pos + size - CASE WHEN list = 2 THEN CAST(floor(draw * size) AS BIGINT) ELSE 0 END) % size) - 1 AS m
+  FROM starts s JOIN spot p USING (variant) ANTI JOIN (SELECT DISTINCT respondent_id, question_id FROM responses) x
+    ON x.respondent_id = s.respondent_id AND x.question_id = p.question_id),
+lefts AS (SELECT respondent_id, list, variant, count(*) AS n FROM unasked GROUP BY ALL),
+v(variant, i) AS (VALUES {_SAID}),
+per AS (SELECT respondent_id, variant, i, coalesce(sum(n) FILTER (list = 0), 0) AS nb, coalesce(sum(n) FILTER (list = 1), 0) AS nh,
+  coalesce(sum(n) FILTER (list = 2), 0) AS nc FROM (SELECT respondent_id, variant, i FROM respondents CROSS JOIN v) LEFT JOIN lefts USING (respondent_id, variant) GROUP BY ALL),
+base AS (SELECT respondent_id, list(CAST(nb + nh + nc AS BIGINT) ORDER BY i) AS l FROM per GROUP BY 1),
+st AS (SELECT respondent_id, -1 AS slot, CAST(NULL AS VARCHAR) AS chosen, a, b, c, answers_count, l FROM people JOIN base USING (respondent_id)
+  UNION ALL SELECT respondent_id, slot, chosen, b, c, CASE chosen {_TYPE_OF} END, answers_count, [{_TAKEN}] FROM (
+    SELECT *, CASE WHEN answers_count + slot < 3 AND l[1] > 0 THEN 'pairwise_dimension' WHEN a = b AND b = c THEN coalesce({_pick_variant("c")}, {_pick_variant("NULL")})
+      ELSE {_pick_variant("NULL")} END AS chosen
+    FROM (SELECT respondent_id, slot + 1 AS slot, a, b, c, answers_count, l, {_number("respondent_id", "slot + 1", "'variant'")} AS draw FROM st WHERE slot < {SLOTS - 1}))),
+slots AS (SELECT respondent_id, slot, chosen AS variant, row_number() OVER (PARTITION BY respondent_id, chosen ORDER BY slot) - 1 AS j FROM st WHERE slot >= 0 AND chosen IS NOT NULL),
+pk AS (SELECT respondent_id, variant, -1 AS j, CAST(NULL AS INT) AS list, CAST(NULL AS BIGINT) AS m, 0 AS tb, 0 AS th, 0 AS tc, nb, nh, nc FROM per
+  UNION ALL SELECT respondent_id, variant, j, src, CASE src WHEN 0 THEN tb WHEN 1 THEN th ELSE tc END, tb + CAST(src = 0 AS INT), th + CAST(src = 1 AS INT), tc + CAST(src = 2 AS INT), nb, nh, nc
+  FROM (SELECT *, CASE WHEN tb < nb THEN 0 WHEN tc < nc AND (draw < {EPSILON}::DOUBLE OR th >= nh) THEN 2 WHEN th < nh THEN 1 END AS src
+    FROM (SELECT * EXCLUDE (j), j + 1 AS j, {_number("respondent_id", "variant", "j + 1", "'branch'")} AS draw FROM pk WHERE j < {SLOTS - 1})) WHERE src IS NOT NULL)
+SELECT respondent_id, slot, variant, question_id FROM slots JOIN pk USING (respondent_id, variant, j) JOIN unasked USING (respondent_id, list, variant, m)"""
+
+
+@query("h2_next_questions", "responses rankings respondents pool", _NEXT)
 def h2_next_questions(b):
+    """All bridges, all cold and all hot questions of the patch; nothing is cut."""
     q = _questions(b)
-    hot = candidates.priority_topk(q, b.pool, cold=5, k=K, patch_id=B.CURRENT_PATCH)
-    cold = (
-        candidates.priority_topk(q.filter("exposure_count < 5"), b.pool, cold=0, k=K, patch_id=B.CURRENT_PATCH)
-        .select("variant", "question_id")
-    )
-    bridges = hot.join(q.filter("bridge_priority").select("question_id"), "question_id", "left_semi")
-    bridges = bridges.select("place", "question_id")
+    free = candidates.open_questions(q, b.pool, patch_id=B.CURRENT_PATCH)
+    free = free.join(q.select("question_id", "exposure_count", "bridge_priority"), "question_id")
+    free = pin(free.withColumn("place", -F.col("priority")))
+    hot, cold = free.filter(F.col("exposure_count") >= COLD), free.filter(F.col("exposure_count") < COLD)
     answered = b.responses.select("respondent_id", "question_id")
-    return candidates.next_questions(_people(b), hot, cold, bridges, answered, 6, 0.5, seed=11)
+    return candidates.next_questions(
+        _people(b), hot, cold, free.filter("bridge_priority"), answered, SLOTS, EPSILON, seed=SEED
+    )
 
 
 @query(

@@ -213,6 +213,42 @@ def test_next_questions_are_new_distinct_and_varied(spark):
             assert len(set(kinds[i : i + 4])) > 1, (who, kinds)
 
 
+def test_next_questions_of_long_lists_reach_every_question(spark):
+    """Bridges beyond the salted front, cold questions without a cut, and slots until nothing is left."""
+    bridges = spark.createDataFrame([(i // 2, i) for i in range(400)], "place int, question_id bigint")
+    hot = spark.createDataFrame([("peak_timing", 1, 5000), ("pairwise_dimension", 1, 7)], "variant string, place int, question_id bigint")
+    cold = spark.createDataFrame(
+        [("duo_synergy", 1000 + i) for i in range(900)] + [("peak_timing", 5000)], "variant string, question_id bigint"
+    )
+    done = {"late": set(range(300)) | {310}, "all": set(range(400)) | {5000} | set(range(1000, 1898)), "new": set()}
+    log = [(w, q) for w, asked in done.items() for q in asked] + [("late", 0), ("all", 1000), ("stranger", 3)]
+    answered = spark.createDataFrame(log, "respondent_id string, question_id bigint")
+    people = spark.createDataFrame(
+        [*((w, 99, []) for w in done), *((f"p{i}", 99, ["peak_timing"] * 2) for i in range(300))],
+        "respondent_id string, answers_count int, recent array<string>",
+    )
+    rows = candidates.next_questions(people, hot, cold, bridges, answered, 5, 0.5, seed=9).collect()
+    per, explored = {}, set()
+    for r in sorted(rows, key=lambda r: r["slot"]):
+        per.setdefault(r["respondent_id"], []).append((r["slot"], r["variant"], r["question_id"]))
+    for who, batch in per.items():
+        asked, paired = done.get(who, set()), [q for _, v, q in batch if v == "pairwise_dimension"]
+        assert paired == [q for q in range(400) if q not in asked][: len(paired)], who
+        assert [s for s, _, _ in batch] == list(range(2 if who == "all" else 5)), who
+        found = [q for _, _, q in batch]
+        assert len(set(found)) == len(found) and not set(found) & asked, who
+        explored |= {q for q in found if 1000 <= q < 1900}
+    assert {q for _, _, q in per["all"]} == {1898, 1899} and len(per) == 303
+    assert len(explored) > 50 and max(explored) - min(explored) > 700
+
+
+def test_next_questions_without_candidates(spark):
+    people = spark.createDataFrame([("a", 0, [])], "respondent_id string, answers_count int, recent array<string>")
+    none = spark.createDataFrame([], "variant string, place int, question_id bigint")
+    seen = spark.createDataFrame([("a", 1)], "respondent_id string, question_id bigint")
+    assert candidates.next_questions(people, none, none, none, seen, 3).count() == 0
+
+
 def test_streams_over_many_files_equal_the_batch(spark, tmp_path):
     """The same log in eight files, one per trigger and newest first, against the batch twins.
 
