@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crowdgauge.functions import columns as C
@@ -15,6 +14,7 @@ from crowdgauge.plans.estimation import _MEDIAN_SQL, _TRAITS_SQL
 from crowdgauge.plans.people import _SEGMENT, _GOLD, _RC, _RETEST
 from crowdgauge.plans.questions import _AGG, _current
 from crowdgauge.plans.registry import query
+from crowdgauge.runtime import pin
 from crowdgauge.sources import binding as B
 
 P = C.plain
@@ -317,8 +317,6 @@ def g8_consistency_checks(b):
 
 
 # -------------------------------------------------------------------------------------- graphs
-#: The part of a dimension's pairs that e14 plans bridges for; the graph of all pairs is in one part here.
-BACKBONE = 0.1
 _PAIRS = """
 counted AS (SELECT dimension_id, item_a AS u, item_b AS v, count(*) AS n FROM wpairs WHERE choice IN ('a', 'b')
   AND item_a IN (SELECT item_id FROM pool) AND item_b IN (SELECT item_id FROM pool) GROUP BY ALL)"""
@@ -341,16 +339,6 @@ def _whole(b):
     return graph.inside(graph.comparison_edges(b.wpairs), b.pool), _nodes(b)
 
 
-def _backbone(b):
-    """The most compared tenth of each dimension's pairs, counted over all comparisons: graphs in
-    several parts. The rank is over pairs of catalog items, never over answers."""
-    pair = ["dimension_id", F.col("item_a").alias("u"), F.col("item_b").alias("v")]
-    counted = graph.inside(estimate.decisive(b.wpairs).groupBy(*pair).agg(F.count("*").alias("n")), b.pool)
-    rank = F.percent_rank().over(Window.partitionBy("dimension_id").orderBy(F.desc("n")))
-    edges = counted.withColumn("rank", rank).filter(F.col("rank") < BACKBONE)
-    return edges.select("dimension_id", "u", "v"), _nodes(b)
-
-
 _PATCH_WALK = """
 every AS (SELECT dimension_id, patch_id, item_a AS u, item_b AS v FROM wpairs WHERE choice IN ('a', 'b')
   AND item_a IN (SELECT item_id FROM pool) AND item_b IN (SELECT item_id FROM pool) GROUP BY ALL),
@@ -363,14 +351,19 @@ comp AS (SELECT dimension_id, patch_id, node, min(seen) AS label FROM walk GROUP
 _GRAPH = ["dimension_id", "patch_id"]
 
 
-def _by_patch(b):
-    """Components of all comparisons of every dimension and patch inside the pool."""
+def _patches(b):
+    """Edges of all comparisons of every dimension and patch inside the pool, and the pool's nodes."""
     from crowdgauge.operators import select
 
     said = estimate.decisive(b.wpairs).select(*_GRAPH, F.col("item_a").alias("u"), F.col("item_b").alias("v"))
     graphs = b.wpairs.select(*_GRAPH).distinct()
     nodes = select.with_catalog(b.pool.select("item_id"), graphs, _GRAPH).withColumnRenamed("item_id", "node")
-    return graph.components(graph.inside(said.distinct(), b.pool), nodes, _GRAPH)
+    return graph.inside(said.distinct(), b.pool), nodes
+
+
+def _by_patch(b):
+    """Components of all comparisons of every dimension and patch inside the pool."""
+    return graph.components(*_patches(b), _GRAPH)
 
 
 @query(
@@ -402,22 +395,90 @@ def e13_comparison_edges(b):
     return graph.comparison_edges(b.wpairs)
 
 
-def _marked(b):
+def _marked(b, keys=("dimension_id",)):
     """Marked bridges: one question per pair whose ids add up to a multiple of seven."""
     q = b.questions.filter(
         (F.col("type") == "pairwise_dimension") & ((F.col("item_a") + F.col("item_b")) % 7 == 0)
     )
-    marked = q.groupBy("dimension_id", F.col("item_a").alias("u"), F.col("item_b").alias("v")).agg(
+    marked = q.groupBy(*keys, F.col("item_a").alias("u"), F.col("item_b").alias("v")).agg(
         F.min("question_id").alias("question_id")
     )
     return graph.inside(marked, b.pool)
 
 
+def _patch_bridges(b):
+    """(edges, nodes, marked bridges, gold pairs) of every dimension and patch, named by one column."""
+
+    def named(df):
+        return df.withColumn("graph", F.concat_ws("|", *_GRAPH)).drop(*_GRAPH)
+
+    edges, nodes = _patches(b)
+    gold = b.questions.filter("is_gold").select(*_GRAPH, "item_a", "item_b").distinct()
+    return named(edges), named(nodes), named(_marked(b, _GRAPH)), named(gold)
+
+
+def _unnamed(df):
+    """The frame with its graph's dimension and patch again."""
+    part = F.split("graph", r"\|")
+    return df.select(
+        *[part[i].cast("bigint").alias(k) for i, k in enumerate(_GRAPH)], *[c for c in df.columns if c != "graph"]
+    )
+
+
 @query("e14_bridge_plan")
 def e14_bridge_plan(b):
-    edges, nodes = _backbone(b)
-    gold = b.questions.filter("is_gold").select("dimension_id", "item_a", "item_b").distinct()
-    return graph.bridge_plan(edges, nodes, _marked(b), gold, seed=7)
+    """Over all comparisons of every dimension and patch."""
+    return _unnamed(graph.bridge_plan(*_patch_bridges(b), seed=7, key="graph"))
+
+
+@query(
+    "e14_bridge_effect",
+    "wpairs pool questions",
+    f"""
+WITH RECURSIVE {_PATCH_WALK},
+m AS (SELECT dimension_id, patch_id, item_a, item_b, min(question_id) AS question_id FROM questions WHERE type = 'pairwise_dimension'
+  AND (item_a + item_b) % 7 = 0 AND item_a IN (SELECT item_id FROM pool) AND item_b IN (SELECT item_id FROM pool) GROUP BY ALL),
+x AS (SELECT m.*, cu.label AS lu, cv.label AS lv FROM m
+  JOIN comp cu ON cu.dimension_id = m.dimension_id AND cu.patch_id = m.patch_id AND cu.node = m.item_a
+  JOIN comp cv ON cv.dimension_id = m.dimension_id AND cv.patch_id = m.patch_id AND cv.node = m.item_b),
+hop AS (SELECT question_id, dimension_id, patch_id, lu AS s, lv AS t FROM x WHERE lu <> lv
+  UNION ALL SELECT question_id, dimension_id, patch_id, lv, lu FROM x WHERE lu <> lv),
+reach AS (SELECT question_id, dimension_id, patch_id, lu AS label FROM x WHERE lu <> lv
+  UNION SELECT r.question_id, r.dimension_id, r.patch_id, h.t FROM reach r JOIN hop h
+    ON h.dimension_id = r.dimension_id AND h.patch_id = r.patch_id AND h.s = r.label AND h.question_id < r.question_id),
+marks AS (SELECT x.*, lu <> lv AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.question_id = x.question_id AND r.label = x.lv) AS stays FROM x),
+bridges AS (SELECT dimension_id, patch_id, count(*) FILTER (stays) AS kept, sum(question_id) FILTER (stays) AS kept_ids,
+  count(*) FILTER (NOT stays) AS cleared, sum(question_id) FILTER (NOT stays) AS cleared_ids FROM marks GROUP BY ALL),
+parts AS (SELECT dimension_id, patch_id, count(DISTINCT label) AS components FROM comp GROUP BY ALL)
+SELECT dimension_id, patch_id, components, coalesce(kept, 0) AS kept, CAST(coalesce(kept_ids, 0) AS BIGINT) AS kept_ids, coalesce(cleared, 0) AS cleared,
+  CAST(coalesce(cleared_ids, 0) AS BIGINT) AS cleared_ids, components - coalesce(kept, 0) - 1 AS marked, 0 AS gold_marked, 1 AS components_after
+FROM parts LEFT JOIN bridges USING (dimension_id, patch_id)""",
+)
+def e14_bridge_effect(b):
+    """What the plan keeps and clears in every graph, and that its new pairs, none of them gold, leave
+    one component: as many as components less one, so none is wasted."""
+    edges, nodes, marked, gold = _patch_bridges(b)
+    labels = pin(graph.components(edges, nodes, ["graph"]))
+    plan = pin(graph.bridge_plan(edges, nodes, marked, gold, seed=7, key="graph"))
+    said = lambda action, value: F.sum(F.when(F.col("action") == action, value).otherwise(0))
+    done = plan.groupBy("graph").agg(
+        said("keep", F.lit(1)).alias("kept"),
+        said("keep", F.col("question_id")).alias("kept_ids"),
+        said("clear", F.lit(1)).alias("cleared"),
+        said("clear", F.col("question_id")).alias("cleared_ids"),
+        said("mark", F.lit(1)).alias("marked"),
+    )
+    wrong = plan.filter("action = 'mark'").join(gold, ["graph", "item_a", "item_b"], "left_semi")
+    joining = plan.filter("action <> 'clear'").select("graph", F.col("item_a").alias("u"), F.col("item_b").alias("v"))
+    parts = labels.groupBy("graph").agg(F.count_distinct("label").alias("components"))
+    same = labels.select("graph", F.col("node").alias("u"), F.col("label").alias("v")).filter("u <> v")
+    after = graph.components(joining.unionByName(same), nodes, ["graph"])
+    found = (
+        parts.join(done, "graph", "left")
+        .join(wrong.groupBy("graph").agg(F.count("*").alias("gold_marked")), "graph", "left")
+        .join(after.groupBy("graph").agg(F.count_distinct("label").alias("components_after")), "graph")
+    )
+    return _unnamed(found.na.fill(0))
 
 
 @query(
