@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +56,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, whole, sorted by training position.
 
-    The files that are written keep that order, their reading back does not, so later stages take the
-    repeats and not the order. Rows are told apart by a number that is written with them, so those without a doc_id and those that
-    repeat one are documents of their own.
+    The files that are written keep that order, and ``pack_sequences`` takes it from them. Rows are told
+    apart by a number that is written with them, so those without a doc_id and those that repeat one are
+    documents of their own.
     """
     rows = pin(docs.withColumn("_row", F.monotonically_increasing_id()), codec="zstd")
     plan = mixing.demand(rows, key="_row")
@@ -65,9 +66,29 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(order, "_row").orderBy("_position", "doc_id", "_row").select(*docs.columns)
 
 
+def _as_written(docs: DataFrame) -> DataFrame:
+    """The rows in the order in which they were written: by number of the file, then by place in it.
+
+    Reading alone takes files by size. What is not read from Parquet, or has a column ``_metadata`` of its
+    own, stays as it comes.
+    """
+    if "_metadata" in docs.columns:
+        return docs
+    try:
+        name, place = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+        rows = docs.select("doc_id", "text", F.length(name).alias("digits"), name, place)
+    except AnalysisException:
+        return docs
+    return rows.orderBy("digits", "file_name", "row_index").select("doc_id", "text")
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids, as the pieces of documents they hold."""
-    return packing.pack(docs)
+    """Sequences of at most 2048 ids, as the pieces of documents they hold.
+
+    Sequence ids follow the order in which the documents were written, the training order, but for the
+    windows that a task holds open and for what is left over at the end of a few tasks.
+    """
+    return packing.pack(_as_written(docs))
 
 
 def _shielded(stage):
@@ -90,7 +111,7 @@ STAGES = [
     ("pack_sequences", _shielded(pack_sequences)),
 ]
 
-#: Models, sketches and tokenizer ids are beyond SQL; tests/llm/test_pipeline.py checks the stages one by one.
+#: Models, sketches and tokenizer ids are beyond SQL; tests/llm/test_pipeline.py holds the rows against brute force.
 ORACLE_SQL = None
 
 
