@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import functions as F
 
 from crowdgauge.functions import columns as C
@@ -166,23 +168,36 @@ def e8_bootstrap_by_respondent(b):
     return _draw_summary(drawn)
 
 
+def admissible_sql(fit: Sequence[str], rows: str) -> str:
+    """CTEs of the draws of every fit and of the graphs they keep: ``k`` has the parts of a replicate, those
+    of all comparisons as replicate -1, and ``s`` the attempts that kept as many."""
+    f = ", ".join(fit)
+    of = lambda x: ", ".join(f"{x}.{c}" for c in fit)
+    same = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in fit)
+    return f"""
+r AS ({rows}),
+{_units_sql(f)},
+{times_sql("units", list(fit), _TRIES, SEED)},
+e AS (SELECT DISTINCT {f}, rep, least(winner, loser) AS u, greatest(winner, loser) AS v FROM times JOIN units USING ({f}, i)
+  UNION ALL SELECT DISTINCT {f}, -1, least(winner, loser), greatest(winner, loser) FROM r),
+both_ AS (SELECT {f}, rep, u, v FROM e UNION SELECT {f}, rep, v, u FROM e),
+walk AS (SELECT {f}, rep, node, node AS seen FROM (SELECT DISTINCT {f}, unnest([winner, loser]) AS node FROM r), (SELECT unnest(range(-1, {_TRIES})) AS rep)
+  UNION SELECT {of("w")}, w.rep, w.node, b.v FROM walk w JOIN both_ b ON {same("b", "w")} AND b.rep = w.rep AND b.u = w.seen),
+k AS (SELECT {f}, rep, count(DISTINCT label) AS parts FROM (SELECT {f}, rep, node, min(seen) AS label FROM walk GROUP BY ALL) GROUP BY ALL),
+good AS (SELECT {of("k")}, k.rep, row_number() OVER (PARTITION BY {of("k")} ORDER BY k.rep) AS place
+  FROM k JOIN k f ON {same("f", "k")} AND f.rep = -1 AND f.parts = k.parts WHERE k.rep >= 0),
+s AS (SELECT {of("f")}, any_value(f.parts) AS parts, count(place) AS got, max(good.rep) FILTER (place = {REPS}) + 1 AS tries
+  FROM k f LEFT JOIN good USING ({f}) WHERE f.rep = -1 GROUP BY ALL)"""
+
+
+#: Of the rows of ``s``: attempts, how many of them are discarded, and whether the fit has too few replicates.
+ATTEMPTS = f"coalesce(tries, {_TRIES}) AS attempts, coalesce(tries - {REPS}, {_TRIES} - got) AS discarded, got < {REPS} AS failed"
+
+
 @query(
     "e12_replicate_admissibility",
     "wpairs",
-    f"""
-WITH RECURSIVE r AS ({_COMPARED}),
-{_units_sql()},
-{times_sql("units", ["dimension_id"], _TRIES, SEED)},
-e AS (SELECT DISTINCT dimension_id, rep, least(winner, loser) AS u, greatest(winner, loser) AS v FROM times JOIN units USING (dimension_id, i)
-  UNION ALL SELECT DISTINCT dimension_id, -1, least(winner, loser), greatest(winner, loser) FROM r),
-both_ AS (SELECT dimension_id, rep, u, v FROM e UNION SELECT dimension_id, rep, v, u FROM e),
-walk AS (SELECT dimension_id, rep, node, node AS seen FROM (SELECT DISTINCT dimension_id, unnest([winner, loser]) AS node FROM r), (SELECT unnest(range(-1, {_TRIES})) AS rep)
-  UNION SELECT w.dimension_id, w.rep, w.node, b.v FROM walk w JOIN both_ b ON b.dimension_id = w.dimension_id AND b.rep = w.rep AND b.u = w.seen),
-k AS (SELECT dimension_id, rep, count(DISTINCT label) AS parts FROM (SELECT dimension_id, rep, node, min(seen) AS label FROM walk GROUP BY ALL) GROUP BY ALL),
-good AS (SELECT k.dimension_id, k.rep, row_number() OVER (PARTITION BY k.dimension_id ORDER BY k.rep) AS place
-  FROM k JOIN k f ON f.dimension_id = k.dimension_id AND f.rep = -1 AND f.parts = k.parts WHERE k.rep >= 0),
-s AS (SELECT f.dimension_id, count(place) AS got, max(good.rep) FILTER (place = {REPS}) + 1 AS tries FROM k f LEFT JOIN good USING (dimension_id) WHERE f.rep = -1 GROUP BY 1)
-SELECT dimension_id, coalesce(tries, {_TRIES}) AS attempts, coalesce(tries - {REPS}, {_TRIES} - got) AS discarded, got < {REPS} AS failed FROM s""",
+    f"WITH RECURSIVE {admissible_sql(['dimension_id'], _COMPARED)} SELECT dimension_id, {ATTEMPTS} FROM s",
 )
 def e12_replicate_admissibility(b):
     """Replicates of all comparisons, and which of them keep the graph."""

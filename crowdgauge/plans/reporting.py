@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from crowdgauge.functions import columns as C
 from crowdgauge.operators import agreement as AG
 from crowdgauge.operators import annotators as A
-from crowdgauge.operators import estimate, graph
+from crowdgauge.operators import estimate, graph, paired, resample
 from crowdgauge.operators import question_stats as Q
 from crowdgauge.operators import report as R
 from crowdgauge.plans.estimation import _MEDIAN_SQL, _TRAITS_SQL
+from crowdgauge.plans.models import ATTEMPTS, REPS, SEED, admissible_sql
 from crowdgauge.plans.people import _SEGMENT, _GOLD, _RC, _RETEST
 from crowdgauge.plans.questions import _AGG, _current
-from crowdgauge.plans.registry import query
+from crowdgauge.plans.registry import ORACLES, query
 from crowdgauge.runtime import pin
 from crowdgauge.sources import binding as B
 
@@ -537,6 +538,13 @@ UNION ALL SELECT 'patch_without_gold', version, 0.0 FROM patches p WHERE NOT EXI
 UNION ALL SELECT 'traits_uneven', CAST(item_id AS VARCHAR), CAST(count(DISTINCT n) AS DOUBLE) FROM un GROUP BY item_id HAVING count(DISTINCT n) > 1""",
 )
 def g9_findings(b):
+    """The rules that need no fit."""
+    no_fits = b.spark.createDataFrame([], "fit string, failed boolean, discarded bigint, components bigint")
+    no_trigger = b.spark.createDataFrame([], "dimensions bigint, finding boolean, which string")
+    return _findings(b, no_fits, no_trigger)
+
+
+def _findings(b, fits, trigger):
     from crowdgauge.operators import select
 
     snapshots = b.raw("orders").select(F.year("o_orderdate").alias("patch_id"))
@@ -547,13 +555,11 @@ def g9_findings(b):
         .groupBy("item_id", "trait")
         .agg(F.count("*").alias("n"))
     )
-    no_fits = "fit string, failed boolean, discarded bigint, components bigint"
-    no_trigger = "dimensions bigint, finding boolean, which string"
     found = R.findings(
         AG.agreement(b.wresponses, b.traits),
-        b.spark.createDataFrame([], no_fits),
+        fits,
         R.concentration(b.wpairs),
-        b.spark.createDataFrame([], no_trigger),
+        trigger,
         A.gold_report(b.retested, b.identities, 5),
         ready,
         R.uneven_traits(marks),
@@ -561,6 +567,43 @@ def g9_findings(b):
     return found.withColumn("value", P("value"))
 
 
+_PATCH_ROWS = """SELECT dimension_id, patch_id, weight, CASE choice WHEN 'a' THEN item_a ELSE item_b END AS winner,
+  CASE choice WHEN 'a' THEN item_b ELSE item_a END AS loser FROM wpairs WHERE choice IN ('a', 'b')"""
+
+
+@query(
+    "g9_findings_of_all_rules",
+    "wpairs",
+    f"""
+WITH RECURSIVE {admissible_sql(_GRAPH, _PATCH_ROWS)},
+fits AS (SELECT 'score ' || dimension_id || ' patch ' || patch_id AS fit, parts, {ATTEMPTS} FROM s)
+SELECT 'fit_failed' AS rule, fit AS subject, CAST(discarded AS DOUBLE) AS value FROM fits WHERE failed
+UNION ALL SELECT 'graph_split', fit, CAST(parts AS DOUBLE) FROM fits WHERE parts > 1
+UNION ALL SELECT 'segments_disagree', which, CAST(dimensions AS DOUBLE) FROM ({ORACLES["d48_segment_trigger"]}) WHERE finding
+UNION ALL SELECT rule, subject, value FROM ({ORACLES["g9_findings"]})""",
+)
+def g9_findings_of_all_rules(b):
+    """All eight rules: the fits are those of every dimension and patch, judged by their replicates and
+    graphs, and the trigger compares the rank segments."""
+    a_won = F.col("choice") == "a"
+    rows = estimate.decisive(b.wpairs).select(
+        *_GRAPH,
+        "respondent_id",
+        F.when(a_won, F.col("item_a")).otherwise(F.col("item_b")).alias("winner"),
+        F.when(a_won, F.col("item_b")).otherwise(F.col("item_a")).alias("loser"),
+        "weight",
+    )
+    edges = paired._edges_of(rows, _GRAPH)
+    nodes = edges.select(*_GRAPH, F.explode(F.array("u", "v")).alias("node"))
+    labels = pin(graph.components(edges, nodes, _GRAPH))
+    _, report = resample.replicate_stats(rows, labels, _GRAPH, ["winner", "loser"], paired._edges_of, REPS, SEED)
+    name = F.concat(F.lit("score "), F.col("dimension_id"), F.lit(" patch "), F.col("patch_id"))
+    fits = report.join(graph.largest(labels, _GRAPH), _GRAPH).select(
+        name.alias("fit"), "failed", "discarded", "components"
+    )
+    return _findings(b, fits, R.segment_trigger(R.compare_segments(_shares(b), "rank")))
+
+
 @query(
     "g16_estimates_against_truth",
     "wpeaks traits pool",
