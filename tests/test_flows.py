@@ -346,3 +346,27 @@ def test_gold_catalog_files_are_checked(spark):
         (5, "expected"),
         (5, "no_rationale"),
     }
+
+
+def _partitions(df, condition):
+    return df.filter(condition).select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_answers_without_a_ranking_are_spread_over_tasks(spark):
+    """The key they lack must not put them all into one task."""
+    rows = [(i, i % 7 if i % 4 == 0 else None, i % 3) for i in range(400)]
+    log = spark.createDataFrame(rows, "response_id bigint, ranking_id bigint, question_id bigint")
+    anchors = [(0, 0), (1, 1), (2, None), (None, 1), (3, 0), (3, 0)]
+    rankings_ = spark.createDataFrame(anchors, "ranking_id bigint, anchor_question_id bigint")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(held, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        found = select.heads(log, rankings_)
+        assert _partitions(found, "ranking_id is null") > 1
+        got = sorted(r["response_id"] for r in found.collect())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    wanted = [i for i, k, q in rows for a, x in anchors if k is not None and a == k and x == q]
+    assert got == sorted(wanted + [i for i, k, _ in rows if k is None])
