@@ -114,9 +114,9 @@ def running_counters(stream: DataFrame, originals: DataFrame) -> DataFrame:
     )
     same = C.consistent(F.col("type"), F.col("_first"), F.col("_repeat"))
     gold = F.when(F.col("is_gold") & F.col("is_retest_of").isNull(), annotators.gold_outcome())
+    # most answers repeat nothing
     counted = (
-        stream.withColumn("_repeat", answer)
-        .join(old, "is_retest_of", "left")
+        select.join_spread(stream.withColumn("_repeat", answer), old, "is_retest_of", "response_id")
         .withColumn("_same", F.when(F.col("is_retest_of").isNotNull(), same))
         .withColumn("_gold", gold)
         .groupBy("respondent_id")

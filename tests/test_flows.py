@@ -370,3 +370,16 @@ def test_answers_without_a_ranking_are_spread_over_tasks(spark):
             spark.conf.set(k, v)
     wanted = [i for i, k, q in rows for a, x in anchors if k is not None and a == k and x == q]
     assert got == sorted(wanted + [i for i, k, _ in rows if k is None])
+
+
+def test_answers_that_repeat_nothing_are_spread_over_tasks(spark):
+    rows = [(i, i % 5, "pairwise_dimension", False, "a", "a", i - 5 if i % 10 == 9 else None) for i in range(100)]
+    log = spark.createDataFrame(
+        rows,
+        "response_id bigint, respondent_id bigint, type string, is_gold boolean, choice string, expected string, is_retest_of bigint",
+    ).withColumn("created_at", F.timestamp_seconds(F.col("response_id")))
+    state = streams.running_counters(log, log)
+    plan = state._jdf.queryExecution().optimizedPlan().toString()
+    assert "hash(response_id" in plan
+    got = {r["respondent_id"]: (r["answers_count"], r["retest_pairs"], r["retest_consistent"]) for r in state.collect()}
+    assert got == {i: (20, 10, 10) if i == 4 else (20, 0, 0) for i in range(5)}
