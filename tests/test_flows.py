@@ -383,3 +383,11 @@ def test_answers_that_repeat_nothing_are_spread_over_tasks(spark):
     assert "hash(response_id" in plan
     got = {r["respondent_id"]: (r["answers_count"], r["retest_pairs"], r["retest_consistent"]) for r in state.collect()}
     assert got == {i: (20, 10, 10) if i == 4 else (20, 0, 0) for i in range(5)}
+
+
+def test_questions_come_out_of_the_log_without_sorting_it(spark):
+    b = binding.Binding(spark, DIRECTORY)
+    plan = b.questions._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(" not in plan and "count(1)" in plan
+    ids = b.questions.select("question_id")
+    assert ids.count() == ids.distinct().count() == b.responses.select("question_id").distinct().count()
