@@ -11,6 +11,7 @@ from crowdgauge import settings as S
 from crowdgauge.functions import columns as C
 from crowdgauge.operators import select
 from crowdgauge.operators.grid import playing
+from crowdgauge.runtime import pin
 
 TOTAL = "_total"
 QUESTION_KEY = ("question_id", "type")
@@ -219,8 +220,11 @@ def question_stats(
     dimensions: DataFrame,
     traits: DataFrame,
 ) -> DataFrame:
-    """All denormalised statistics of the given questions, recomputed from scratch."""
-    cells = coverage_cells(aggregable)
+    """All denormalised statistics of the given questions, recomputed from scratch.
+
+    Questions and cells are read twice, so they are kept: each scans the log behind it once.
+    """
+    questions, cells = pin(questions), pin(coverage_cells(aggregable))
     medians = coverage_median(cells, pool_cells(pool, dimensions))
     stats = entropies(answer_counts(responses), traits)
     deficit = coverage_deficit(questions, cells, medians)
@@ -261,7 +265,11 @@ def majority(counts: DataFrame, threshold: int, without_unknown: bool = True) ->
 
 
 def consensus(counts: DataFrame, threshold: int) -> DataFrame:
-    """Share of every choice of the questions with enough support."""
+    """Share of every choice of the questions with enough support.
+
+    The histogram is read twice, so it is kept: the log behind it is scanned once.
+    """
+    counts = pin(counts)
     top = majority(counts, threshold, without_unknown=False)
     return counts.join(top, "question_id").select(
         "question_id",
@@ -274,7 +282,7 @@ def consensus(counts: DataFrame, threshold: int) -> DataFrame:
 
 def consensus_feedback(responses: DataFrame, counts: DataFrame, threshold: int) -> DataFrame:
     """Whether each answer agrees with the exact most frequent choice."""
-    top = majority(counts, threshold, without_unknown=False)
+    top = pin(majority(counts, threshold, without_unknown=False))
     return responses.join(top, "question_id").select(
         "response_id",
         "question_id",
@@ -296,9 +304,10 @@ def trait_consensus(
         return F.array_contains("traits", code) == (share > 0.5)
 
     asked = maps.filter((F.col("type") == "trait_multiselect") & (total >= threshold))
+    asked = pin(asked.select("question_id", "answer_counts"))
     return (
         responses.filter(F.col("type") == "trait_multiselect")
-        .join(asked.select("question_id", "answer_counts"), "question_id")
+        .join(asked, "question_id")
         .join(F.broadcast(codes), F.lit(True))
         .select(
             "response_id",
@@ -313,7 +322,7 @@ def ranking_agreement(rows: DataFrame, counts: DataFrame, threshold: int) -> Dat
     """Per ranking: pairs with support, pairs that agree with the majority, answers behind them."""
     decided = rows.filter(F.col("ranking_id").isNotNull() & (F.col("choice") != "unknown"))
     return (
-        decided.join(majority(counts, threshold), "question_id")
+        decided.join(pin(majority(counts, threshold)), "question_id")
         .groupBy("ranking_id")
         .agg(
             F.count_if(F.col("choice") == F.col("majority")).alias("agreed"),
@@ -326,10 +335,14 @@ def ranking_agreement(rows: DataFrame, counts: DataFrame, threshold: int) -> Dat
 def agreement_rate(
     responses: DataFrame, counts: DataFrame, respondents: DataFrame, threshold: int
 ) -> DataFrame:
-    """Share of a respondent's choices that equal the majority; 0.0 with none eligible."""
+    """Share of a respondent's choices that equal the majority; 0.0 with none eligible.
+
+    The majorities are kept, so that their true size decides how they meet the log: a few questions
+    hold most of its rows.
+    """
     own = responses.filter(F.col("choice").isNotNull() & (F.col("choice") != "unknown"))
     rated = (
-        own.join(majority(counts, threshold), "question_id")
+        own.join(pin(majority(counts, threshold)), "question_id")
         .groupBy("respondent_id")
         .agg(F.avg((F.col("choice") == F.col("majority")).cast("double")).alias("rate"))
     )

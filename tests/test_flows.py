@@ -391,3 +391,28 @@ def test_questions_come_out_of_the_log_without_sorting_it(spark):
     assert "first(" not in plan and "count(1)" in plan
     ids = b.questions.select("question_id")
     assert ids.count() == ids.distinct().count() == b.responses.select("question_id").distinct().count()
+
+
+def test_histograms_scan_the_log_once(spark):
+    from crowdgauge.operators import agreement
+    from crowdgauge.operators import question_stats as Q
+
+    log = spark.range(120).select(
+        (F.col("id") % 4).alias("question_id"), F.lit("lane_matchup").alias("type"), F.col("id").alias("respondent_id"),
+        F.when(F.col("id") % 3 == 0, "even").otherwise("a_slight").alias("choice"), F.lit(1).alias("minute"),
+        F.array(F.lit("A")).alias("traits"), F.lit(None).cast("bigint").alias("is_retest_of"),
+    )
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+
+    counts = Q.answer_counts(log)
+    shares = Q.consensus(counts, 5)
+    assert scans(shares) == 0 and shares.count() == 8
+    rate = Q.agreement_rate(log, counts, spark.createDataFrame([(1,), (3,)], "respondent_id bigint"), 5)
+    assert scans(rate) == 1 and {r[0]: r[1] for r in rate.collect()} == {1: 1.0, 3: 0.0}
+    units = log.select(
+        F.lit("m").alias("magnitude"), F.lit("nominal").alias("scale"), F.col("question_id").cast("string").alias("unit"),
+        (F.col("choice") == "even").cast("double").alias("value"),
+    )
+    assert scans(agreement.alpha(units)) == 0
