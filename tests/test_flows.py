@@ -416,3 +416,17 @@ def test_histograms_scan_the_log_once(spark):
         (F.col("choice") == "even").cast("double").alias("value"),
     )
     assert scans(agreement.alpha(units)) == 0
+
+
+def test_published_run_counts_the_log_that_the_run_kept(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    kept = spark.createDataFrame([("pairwise_dimension", "a", 7)], "type string, choice string, respondent_id bigint")
+    result = full.RunResult({}, kept, kept, kept, {"log": kept})
+    seen = SimpleNamespace()
+    monkeypatch.setattr(full, "run", lambda *a: result)
+    monkeypatch.setattr(full.estimate, "included", lambda log: log)
+    monkeypatch.setattr(full.outputs, "publish", lambda tables, log, *a, **k: setattr(seen, "log", log))
+    options = full.RunOptions("w", "2030-01-01")
+    full.run_and_publish(None, None, None, None, None, options, "16.1", "out", "first")
+    assert seen.log is kept
