@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from crowdgauge.functions import columns as C
 from crowdgauge.operators import behaviour, graph, multinomial, newton, ordinal, paired, resample
 from crowdgauge.operators.scan import OrderedGroups
 
@@ -400,3 +401,16 @@ def test_streaks_in_blocks(spark):
     for limit in (10**6, 2):
         row = behaviour.answer_streak(heads, 30, rows_per_task=limit).first()
         assert (row["current_streak"], row["best_streak"]) == (1, 4)
+
+
+def test_poisson_hashes_a_draw_once(spark):
+    rows = spark.range(50).select(F.lit("f").alias("fit"), F.col("id").alias("response_id"))
+    drawn = resample.poisson(rows, ["fit"], 10, 1)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and "lambda" not in plan
+    steps = resample.poisson_steps()
+    wanted = spark.range(50).select(F.col("id"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("rep")).select(
+        "rep", "id", C.hash_draw(1, F.lit("f"), "rep", "id").alias("d")
+    )
+    times = {(r["rep"], r["id"]): sum(r["d"] >= t for t in steps) for r in wanted.collect()}
+    assert {(r["rep"], r["response_id"]): r["times"] for r in drawn.collect()} == {k: n for k, n in times.items() if n}
