@@ -302,8 +302,10 @@ def retest_candidates(
 
     At least ``min_distance`` submissions old, of a question still admissible, never retested, not
     gold and not 'unknown'. Of a ranking only its extreme pair qualifies, and the age is that of
-    the ranking's head.
+    the ranking's head. Admissible ids, heads and old submissions are kept: their true size decides
+    how they meet the log, where a few questions hold most of the rows.
     """
+    admissible = pin(admissible.select("question_id"))
     current = responses.filter(F.col("patch_id") == patch_id)
     repeated = responses.select(F.col("is_retest_of").alias("response_id")).filter(
         F.col("response_id").isNotNull()
@@ -315,14 +317,16 @@ def retest_candidates(
             & (F.coalesce("choice", F.lit("")) != "unknown")
         )
         .join(repeated, "response_id", "left_anti")
-        .join(admissible.select("question_id"), "question_id", "left_semi")
+        .join(admissible, "question_id", "left_semi")
     )
     heads = select.heads(responses, rankings)
-    slim = heads.select("respondent_id", "response_id", "created_at", "ranking_id")
+    slim = pin(heads.select("respondent_id", "response_id", "created_at", "ranking_id"))
     placed = behaviour.positions(slim)
     volume = placed.groupBy("respondent_id").agg(F.count("*").alias("answers_count"))
-    old = placed.join(volume, "respondent_id").filter(
-        F.col("position") <= F.col("answers_count") - min_distance
+    old = pin(
+        placed.join(volume, "respondent_id")
+        .filter(F.col("position") <= F.col("answers_count") - min_distance)
+        .select("response_id", "ranking_id")
     )
     single = eligible.filter(F.col("type") != "pairwise_dimension").join(
         old.select("response_id"), "response_id", "left_semi"
@@ -332,7 +336,7 @@ def retest_candidates(
     )
     extremes = (
         rankings.filter(F.col("submitted_order").isNotNull() & (F.col("patch_id") == patch_id))
-        .join(old.select("ranking_id"), "ranking_id", "left_semi")
+        .join(old.select("ranking_id").filter("ranking_id is not null"), "ranking_id", "left_semi")
         .select("respondent_id", "dimension_id", low.alias("item_a"), high.alias("item_b"))
         .distinct()
     )
@@ -352,7 +356,7 @@ def unseen_gold(
     one not seen. That is the smallest number missing among the places already seen, so nobody
     meets the whole catalog: a respondent's window holds only the gold they answered.
     """
-    circle = gold.select("question_id").distinct()
+    circle = pin(gold.select("question_id").distinct())  # its size and its order are read apart
     size = circle.agg(F.count("*").cast("bigint").alias("_size"))
     drawn = circle.withColumn("_draw", C.hash_draw(seed, "question_id"))
     # always in blocks: one sort by ranges, one row per block carries the count on

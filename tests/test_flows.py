@@ -430,3 +430,32 @@ def test_published_run_counts_the_log_that_the_run_kept(spark, monkeypatch):
     options = full.RunOptions("w", "2030-01-01")
     full.run_and_publish(None, None, None, None, None, options, "16.1", "out", "first")
     assert seen.log is kept
+
+
+def test_gold_bridges_and_old_answers_are_taken_from_the_log_once(spark):
+    from crowdgauge.plans import reporting
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    for part in reporting._patch_bridges(binding.Binding(spark, DIRECTORY)):
+        assert "l_orderkey" not in plan(part) and "o_orderkey" not in plan(part)
+    gold = spark.range(0, 5, 1, 1).withColumnRenamed("id", "question_id")
+    people = spark.createDataFrame([(1,), (2,)], "respondent_id bigint")
+    answers = spark.createDataFrame([(1, i) for i in range(5)], "respondent_id bigint, question_id bigint")
+    found = candidates.unseen_gold(people, gold, answers, 3)
+    assert "Range (" not in plan(found)
+    assert {r["respondent_id"]: (r["unseen"], r["question_id"] is None) for r in found.collect()} == {1: (0, True), 2: (5, False)}
+    log = spark.range(40).select(
+        F.col("id").alias("response_id"), F.lit(1).alias("respondent_id"), (F.col("id") % 2).alias("question_id"),
+        F.lit("lane_matchup").alias("type"), F.timestamp_seconds("id").alias("created_at"), F.lit("even").alias("choice"),
+        F.lit(False).alias("is_gold"), F.lit(1).alias("patch_id"), F.lit(None).cast("bigint").alias("ranking_id"),
+        F.lit(None).cast("bigint").alias("is_retest_of"), F.lit(1).alias("dimension_id"), F.lit(1).alias("item_a"), F.lit(2).alias("item_b"),
+    )
+    none = spark.createDataFrame(
+        [], "ranking_id bigint, anchor_question_id bigint, respondent_id int, patch_id int, dimension_id int, submitted_order array<int>"
+    )
+    asked = spark.range(0, 1, 1, 1).withColumnRenamed("id", "question_id")
+    again = candidates.retest_candidates(log, none, asked, 1, 15)
+    assert "Range (0, 1," not in plan(again)
+    assert sorted(r["response_id"] for r in again.collect()) == list(range(0, 26, 2))
