@@ -365,7 +365,7 @@ def jaccard_components(
         )
     )
     sizes = pin(signs.select("doc_id", "n_shingles"))
-    unpin(signs)
+    unpin(signs, classes)
 
     places = pin(met.join(member, "doc_id").select("key", "cls").distinct())
     shared = places.groupBy("key").agg(F.min("cls").alias("center"), F.max("cls").alias("top"))
@@ -393,7 +393,7 @@ def jaccard_components(
     if not rest.isEmpty():
         more = _linked(rest, docs, words, fold, percent)
         labels = components(links.unionByName(more))
-    unpin(buckets, likely, rest)
+    unpin(buckets, likely, rest, sketches)
 
     found = labels.select(F.col("node").alias("cls"), "component")
     named = member.join(found, "cls", "left").withColumn("cls", F.coalesce("component", "cls"))

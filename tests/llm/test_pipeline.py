@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from compare import compare, connect
 from crowdgauge.llm import langid, mixing, queries
-from crowdgauge.runtime import pin
+from crowdgauge.runtime import ensure_checkpoint_dir, pin
 
 DIRECTORY = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DIRECTORY).exists(), reason="test tables not present")
@@ -251,6 +251,38 @@ def test_sequences_follow_the_training_order(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, own, DIRECTORY).count() >= 20
 
 
+def test_rows_are_numbered_without_a_copy_of_the_texts(spark, tmp_path):
+    """What near dedup and the mix leave in the checkpoint folder is far less than the texts."""
+    draw = random.Random(8)
+    text = lambda: " ".join("".join(draw.choices(string.ascii_letters, k=7)) for _ in range(300))
+    rows = [(i % 900 if i % 50 else None, text(), ("s", None, "t")[i % 3]) for i in range(1000)]
+    rows += rows[:40]  # rows that are equal in all columns
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    docs.write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    size = lambda top: sum(f.stat().st_size for f in Path(top).rglob("part-*"))
+    shared = ensure_checkpoint_dir(spark).removeprefix("file:")
+    given, before = size(tmp_path / "docs"), size(shared)
+    kept = corpus_pipeline.near_dedup(spark, read, DIRECTORY).collect()
+    mixed = corpus_pipeline.mix_sources(spark, read, DIRECTORY).collect()
+    assert size(shared) - before < given / 4
+    assert Counter(kept) == Counter(set(docs.collect()))
+    assert {r.text for r in mixed} <= {r[1] for r in rows} and len(mixed) > 1000
+
+
+def test_rows_from_one_place_in_a_file_have_numbers_of_their_own(spark, tmp_path):
+    """Rows made several times of a row that is read, as ``explode`` does; and what comes from no file."""
+    spark.range(50, numPartitions=3).withColumn("text", F.lit("a b c")).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    twice = read.withColumn("turn", F.explode(F.array(F.lit(1), F.lit(2))))
+    for docs in (read, twice, read.union(read), read.withColumn("_metadata", F.lit(1)), spark.range(50)):
+        found = corpus_pipeline._numbered(docs)
+        assert found.columns == [*docs.columns, "_row"]
+        assert found.select("_row").distinct().count() == found.count() == docs.count()
+    again = [sorted(corpus_pipeline._numbered(read).collect()) for _ in range(2)]
+    assert again[0] == again[1]
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{DIRECTORY}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
