@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from crowdgauge.functions import columns as C
 from crowdgauge.operators import behaviour, graph, multinomial, newton, ordinal, paired, resample
 from crowdgauge.operators.scan import OrderedGroups
+from crowdgauge.plans import models, replicates
 
 WIN = "fit string, winner int, loser int, weight double"
 
@@ -209,6 +211,42 @@ def test_cluster_draws_keep_people_whole(spark):
             assert sum(next(iter(v)) for k, v in times.items() if k[:2] == (fit, rep)) == 7
 
 
+def test_units_of_many_bundles_travel_once(spark):
+    """Few bundles are dealt out by runs of replicates, many go to one task each; the draws are the same."""
+    rows = _rows(spark, 1200)
+    found = resample.cells(rows, ["fit"], ["cell_of"])
+    blocks = lambda **o: resample.replicate_blocks(rows, found, ["fit"], ["cell_of"], 21, 9, **o)
+    firsts = lambda df: {r["first"] for r in df.collect()}
+    assert firsts(blocks()) == {0, 11} and firsts(blocks(rows_per_task=1)) == {0}
+    drawn = [_drawn(resample.long(b, found, ["fit"], ["cell_of"])) for b in (blocks(), blocks(rows_per_task=1))]
+    assert drawn[0] == drawn[1] == _drawn(resample.resample(rows, ["fit"], ["cell_of"], 21, 9, reps_per_task=8))
+
+
+def test_both_widths_read_the_log_once(spark):
+    draw = random.Random(6)
+    rows = [(1, i % 17, *sorted(draw.sample((1, 2, 3, 4), 2)), draw.choice("ab"), 1.0) for i in range(400)]
+    columns = "dimension_id int, respondent_id int, item_a int, item_b int, choice string, weight double"
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for part in batches:
+            read.add(len(part))
+            yield part
+
+    log = spark.createDataFrame(rows, columns).mapInPandas(counted, columns)
+    pool = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "item_id int")
+    for plan in (models.g10_bootstrap_width_ratio, replicates.g10_width_ratio_fixed_rounds):
+        read.value = 0
+        ratio = plan(SimpleNamespace(wpairs=log, pool=pool)).collect()
+        assert read.value == 400 and len(ratio) == 1 and ratio[0]["ratio"] > 0
+    apart, _ = paired.fit_dimensions(log, pool, n_rep=20, seed=3, cluster="respondent_id")
+    ready = paired.compared(log)
+    paired.fit_dimensions(log, pool, n_rep=20, seed=3, ready=ready)
+    shared, _ = paired.fit_dimensions(log, pool, n_rep=20, seed=3, cluster="respondent_id", ready=ready)
+    ends = lambda df: sorted((r["item_id"], r["n"], r["support"], *(round(r[c], 9) for c in ("value", "low", "high"))) for r in df.collect())
+    assert ends(apart) == ends(shared)
+
+
 def test_draws_have_the_moments_of_a_multinomial():
     size = np.array([1, 5, 50, 500, 3, 41, 4_000])
     n, reps = size.sum(), np.arange(4_000)
