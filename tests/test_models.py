@@ -452,3 +452,27 @@ def test_poisson_hashes_a_draw_once(spark):
     )
     times = {(r["rep"], r["id"]): sum(r["d"] >= t for t in steps) for r in wanted.collect()}
     assert {(r["rep"], r["response_id"]): r["times"] for r in drawn.collect()} == {k: n for k, n in times.items() if n}
+
+
+def test_published_peaks_take_all_replicates_of_a_run(monkeypatch):
+    import __spark_entry__ as entry
+    from crowdgauge import settings as S
+
+    asked = []
+    monkeypatch.setattr(replicates.full, "fit_peaks", lambda w, pool, n_rep, seed: asked.append(n_rep))
+    monkeypatch.setattr(replicates.outputs, "peak_table", lambda *_: None)
+    replicates.a7_peak_table(SimpleNamespace(wpeaks=None, pool=None, items=None))
+    assert asked == [S.DEFAULTS["aggregation.bootstrap_samples"]] == [2000]
+    assert "range(2000)" in entry.oracle_sql()["a7_peak_table"]
+
+
+def test_sql_of_single_draws_sums_to_the_same_times():
+    import duckdb
+
+    from crowdgauge.plans.draws import drawn_sql, times_sql
+
+    rows = ", ".join(f"({k}, {i}, {1 + (7 * i + k) % 900})" for k in (1, 2) for i in range(3 + 40 * k))
+    units = f"WITH units(k, i, c) AS (VALUES {rows}), "
+    said = duckdb.sql(f"{units}{times_sql('units', ['k'], 3, 5)} SELECT * FROM times ORDER BY ALL").fetchall()
+    summed = "SELECT k, rep, i, sum(times)::BIGINT AS times FROM drawn GROUP BY ALL ORDER BY ALL"
+    assert said and duckdb.sql(f"{units}{drawn_sql('units', ['k'], 3, 5)} {summed}").fetchall() == said
