@@ -12,7 +12,7 @@ from crowdgauge import settings as S
 from crowdgauge.functions import columns as C
 from crowdgauge.operators import behaviour, select
 from crowdgauge.operators.scan import OrderedGroups
-from crowdgauge.runtime import pin
+from crowdgauge.runtime import pin, unpin
 
 VARIANT_TYPE = {
     "pairwise_dimension": "pairwise_dimension",
@@ -320,14 +320,16 @@ def retest_candidates(
         .join(admissible, "question_id", "left_semi")
     )
     heads = select.heads(responses, rankings)
-    slim = pin(heads.select("respondent_id", "response_id", "created_at", "ranking_id"))
+    slim = pin(heads.select("respondent_id", "response_id", "created_at", "ranking_id"), "zstd")
     placed = behaviour.positions(slim)
     volume = placed.groupBy("respondent_id").agg(F.count("*").alias("answers_count"))
     old = pin(
         placed.join(volume, "respondent_id")
         .filter(F.col("position") <= F.col("answers_count") - min_distance)
-        .select("response_id", "ranking_id")
+        .select("response_id", "ranking_id"),
+        "zstd",
     )
+    unpin(slim)
     single = eligible.filter(F.col("type") != "pairwise_dimension").join(
         old.select("response_id"), "response_id", "left_semi"
     )

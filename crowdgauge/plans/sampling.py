@@ -127,6 +127,7 @@ SELECT respondent_id, slot, variant, question_id FROM slots JOIN pk USING (respo
 @query("h2_next_questions", "responses rankings respondents pool", _NEXT)
 def h2_next_questions(b):
     """All bridges, all cold and all hot questions of the patch; nothing is cut."""
+    b = b.keep()
     q = _questions(b)
     free = candidates.open_questions(q, b.pool, patch_id=B.CURRENT_PATCH)
     free = free.join(q.select("question_id", "exposure_count", "bridge_priority"), "question_id")
@@ -172,6 +173,7 @@ UNION ALL SELECT respondent_id, response_id, question_id FROM el WHERE type = 'p
 )
 def h4_retest_candidates(b):
     """Questions whose first item is in the pool stand for the admissible ones here."""
+    b = b.keep()
     ok = b.questions.join(
         b.pool.select(F.col("item_id").alias("item_a")), "item_a", "left_semi"
     )

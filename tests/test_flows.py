@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -459,3 +460,61 @@ def test_gold_bridges_and_old_answers_are_taken_from_the_log_once(spark):
     again = candidates.retest_candidates(log, none, asked, 1, 15)
     assert "Range (0, 1," not in plan(again)
     assert sorted(r["response_id"] for r in again.collect()) == list(range(0, 26, 2))
+
+
+def _small_tables(spark, folder):
+    """Orders of seven lines, some of them twice, without a customer, brand, key or known part."""
+    day = F.make_date(F.lit(1995) + F.col("id").cast("int") % 7, F.lit(2), F.lit(3)).cast("timestamp")
+    status = F.element_at(F.array(*[F.lit(x) for x in "FOP"]), (F.col("id") % 3 + 1).cast("int"))
+    orders = spark.range(60).select(
+        F.when(F.col("id") != 7, F.col("id")).alias("o_orderkey"),
+        F.when(F.col("id") % 11 != 3, F.col("id") % 4 + 20).alias("o_custkey"), status.alias("o_orderstatus"),
+        F.concat((F.col("id") % 5 + 1).cast("string"), F.lit("-X")).alias("o_orderpriority"), day.alias("o_orderdate"),
+    )
+    lines = spark.range(420).select(
+        F.when(F.col("id") % 60 != 7, F.col("id") % 60).alias("l_orderkey"), (F.col("id") * 7 % 31).alias("l_partkey"),
+        F.when(F.col("id") % 13 != 5, (F.col("id") % 50).cast("double")).alias("l_quantity"),
+        (F.col("id") * 37 % 100).cast("double").alias("l_extendedprice"),
+        F.when(F.col("id") % 9 != 2, F.element_at(F.array(F.lit("A"), F.lit("N")), (F.col("id") % 2 + 1).cast("int"))).alias("l_returnflag"),
+    )
+    part = spark.range(30).select(
+        F.col("id").alias("p_partkey"),
+        F.when(F.col("id") != 4, F.concat(F.lit("Brand#"), F.col("id") % 14 + 11)).alias("p_brand"),
+    )
+    customer = spark.range(20, 24).select(F.col("id").alias("c_custkey"), F.lit("S").alias("c_mktsegment"))
+    twice = {"orders": orders.union(orders.limit(9)), "lineitem": lines.union(lines.limit(20)), "part": part, "customer": customer}
+    for name, df in twice.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_kept_submissions_bind_the_same_rows(spark, tmp_path):
+    d = _small_tables(spark, tmp_path)
+    plain, kept = binding.Binding(spark, d), binding.Binding(spark, d).keep()
+    for view in ("responses", "rankings", "pairs", "lane", "peaks", "duos", "wresponses", "wpeaks", "wpairs", "questions"):
+        a, b = getattr(plain, view), getattr(kept, view)
+        assert a.schema.names == b.schema.names
+        rows = [sorted(map(repr, x.collect())) for x in (a, b)]
+        assert rows[0] == rows[1] and rows[0], view
+        assert "l_orderkey" not in b._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    from crowdgauge import runtime
+
+    before = spark.conf.get(runtime.CLEAR, None)
+    folders = [f.getPath() for f in spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {str(p) for f in folders for p in Path(f).rglob("shuffle_*.data")}
+    there = files()
+    assert runtime.pin(spark.range(0, 50_000, 1, 4).groupBy((F.col("id") % 999).alias("k")).count()).count() == 999
+    assert not files() - there
+    assert spark.conf.get(runtime.CLEAR, None) == before
+
+
+def test_retest_candidates_read_the_lines_once(spark, tmp_path):
+    from crowdgauge.plans import sampling
+
+    found = sampling.h4_retest_candidates(binding.Binding(spark, _small_tables(spark, tmp_path)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
+    found.collect()
