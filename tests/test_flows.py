@@ -506,15 +506,16 @@ def test_what_is_written_leaves_no_shuffle_files(spark):
     folders = [f.getPath() for f in spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
     files = lambda: {str(p) for f in folders for p in Path(f).rglob("shuffle_*.data")}
     there = files()
-    assert runtime.pin(spark.range(0, 50_000, 1, 4).groupBy((F.col("id") % 999).alias("k")).count()).count() == 999
+    kept = runtime.pin(spark.range(0, 50_000, 1, 4).groupBy((F.col("id") % 999).alias("k")).count())
     assert not files() - there
+    assert kept.count() == 999
     assert spark.conf.get(runtime.CLEAR, None) == before
 
 
-def test_retest_candidates_read_the_lines_once(spark, tmp_path):
+@pytest.mark.parametrize("name", ["h4_retest_candidates", "h2_next_questions"])
+def test_questions_to_ask_read_the_lines_once(spark, tmp_path, name):
     from crowdgauge.plans import sampling
 
-    found = sampling.h4_retest_candidates(binding.Binding(spark, _small_tables(spark, tmp_path)))
+    found = getattr(sampling, name)(binding.Binding(spark, _small_tables(spark, tmp_path)))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "o_orderkey" not in plan
-    found.collect()
