@@ -519,3 +519,18 @@ def test_questions_to_ask_read_the_lines_once(spark, tmp_path, name):
     found = getattr(sampling, name)(binding.Binding(spark, _small_tables(spark, tmp_path)))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan and "o_orderkey" not in plan
+
+
+def test_findings_of_all_rules_read_the_lines_once(spark, tmp_path, monkeypatch):
+    from crowdgauge.plans import reporting
+
+    class Reached(Exception):
+        pass
+
+    def fits(rows, labels, *_):
+        raise Reached(rows._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(reporting.resample, "replicate_stats", fits)
+    with pytest.raises(Reached) as plan:
+        reporting.g9_findings_of_all_rules(binding.Binding(spark, _small_tables(spark, tmp_path)))
+    assert "winner" in str(plan.value) and "l_orderkey" not in str(plan.value)
