@@ -264,7 +264,7 @@ def _still_open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _within_groups(buckets: DataFrame, labels: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (a, b) that meet in a bucket and have different labels.
+    """Plausible pairs (a, b) that meet in a bucket and have different labels, pinned.
 
     Buckets of one label are settled. The members of all other buckets are gathered by the bucket's
     centre, once for each centre and member, and only members apart from the centre's label are
@@ -305,7 +305,9 @@ def _within_groups(buckets: DataFrame, labels: DataFrame, signs: DataFrame, perc
     data = blocked.withColumn("q", every("asks")).withColumn("query", F.lit(False))
     queries = blocked.filter(apart).withColumn("d", every("blocks")).withColumn("query", F.lit(True))
     rows = data.select(*columns).unionByName(queries.select(*columns))
-    return rows.groupBy("center", "d", "q").applyInArrow(_compare(percent), "a bigint, b bigint").distinct()
+    found = pin(rows.groupBy("center", "d", "q").applyInArrow(_compare(percent), "a bigint, b bigint").distinct())
+    unpin(members)
+    return found
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, k: int, fold: bool, percent: int) -> DataFrame:
